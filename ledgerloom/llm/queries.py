@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.llm.common import table
+from ledgerloom.llm.decontaminate import decontaminate
+from ledgerloom.llm.quality import op5_quality
 from ledgerloom.llm.token_counts import count_tokens
 
 
@@ -19,8 +21,15 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(docs).drop("text")
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate(docs, table(spark, sf_dir, "benchmark")).drop("text", "items", "spans")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op3_decontaminate": op3_decontaminate,
+    "op5_quality": op5_quality,
 }
 
 #: DuckDB SQL of the queries that SQL can express.

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ledgerloom.llm.common import table
 from ledgerloom.llm.decontaminate import decontaminate
 from ledgerloom.llm.quality import op5_quality
+from ledgerloom.llm.simhash import near_duplicates
 from ledgerloom.llm.token_counts import count_tokens
 
 
@@ -26,10 +27,15 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(docs, table(spark, sf_dir, "benchmark")).drop("text", "items", "spans")
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op3_decontaminate": op3_decontaminate,
     "op5_quality": op5_quality,
+    "op7_simhash": op7_simhash,
 }
 
 #: DuckDB SQL of the queries that SQL can express.

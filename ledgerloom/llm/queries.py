@@ -10,8 +10,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerloom.llm.binary_output import token_output
 from ledgerloom.llm.common import table
 from ledgerloom.llm.decontaminate import decontaminate
+from ledgerloom.llm.mixing import ORACLE as MIXING_SQL
+from ledgerloom.llm.mixing import op4_mixing
 from ledgerloom.llm.quality import op5_quality
 from ledgerloom.llm.simhash import near_duplicates
 from ledgerloom.llm.token_counts import count_tokens
@@ -31,12 +34,18 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op3_decontaminate": op3_decontaminate,
+    "op4_mixing": op4_mixing,
     "op5_quality": op5_quality,
     "op7_simhash": op7_simhash,
+    "op9_binary_output": op9_binary_output,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_mixing": MIXING_SQL}

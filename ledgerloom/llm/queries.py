@@ -11,11 +11,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.llm.binary_output import token_output
+from ledgerloom.llm.chat import ORACLE as CHAT_SQL
+from ledgerloom.llm.chat import op10_chat
 from ledgerloom.llm.common import table
 from ledgerloom.llm.decontaminate import decontaminate
 from ledgerloom.llm.mixing import ORACLE as MIXING_SQL
 from ledgerloom.llm.mixing import op4_mixing
 from ledgerloom.llm.quality import op5_quality
+from ledgerloom.llm.secret_scan import op6_secrets
 from ledgerloom.llm.simhash import near_duplicates
 from ledgerloom.llm.token_counts import count_tokens
 
@@ -43,9 +46,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontaminate": op3_decontaminate,
     "op4_mixing": op4_mixing,
     "op5_quality": op5_quality,
+    "op6_secrets": op6_secrets,
     "op7_simhash": op7_simhash,
     "op9_binary_output": op9_binary_output,
+    "op10_chat": op10_chat,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {"op4_mixing": MIXING_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_mixing": MIXING_SQL, "op10_chat": CHAT_SQL}

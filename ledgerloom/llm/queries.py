@@ -15,6 +15,7 @@ from ledgerloom.llm.chat import ORACLE as CHAT_SQL
 from ledgerloom.llm.chat import op10_chat
 from ledgerloom.llm.common import table
 from ledgerloom.llm.decontaminate import decontaminate
+from ledgerloom.llm.fingerprints import op8_fingerprints
 from ledgerloom.llm.mixing import ORACLE as MIXING_SQL
 from ledgerloom.llm.mixing import op4_mixing
 from ledgerloom.llm.quality import op5_quality
@@ -48,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality": op5_quality,
     "op6_secrets": op6_secrets,
     "op7_simhash": op7_simhash,
+    "op8_fingerprints": op8_fingerprints,
     "op9_binary_output": op9_binary_output,
     "op10_chat": op10_chat,
 }

@@ -1,13 +1,67 @@
-"""The corpus pipeline: stages over documents, each written and read again."""
+"""The corpus pipeline: stages over documents, each written as Parquet and read again.
+
+Each stage takes (spark, docs, sf_dir).  All but the last return documents' columns;
+the last one returns what token output says of its input.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ledgerloom.llm.binary_output import token_output
+from ledgerloom.llm.common import shared_dir, table
+from ledgerloom.llm.decontaminate import decontaminate
+from ledgerloom.llm.mixing import mix
+from ledgerloom.llm.quality import keep_good
+from ledgerloom.llm.simhash import drop_near_duplicates
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest doc_id stays."""
+    return drop_near_duplicates(docs)
+
+
+def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with words in an occurrence of a benchmark window go."""
+    found = decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    return found.where(~F.col("contaminated")).select(*docs.columns)
+
+
+def to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix draws it, shuffled within the mix's shards."""
+    return mix(docs).drop("shard")
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix as token-id files, and what they hold of each document."""
+    return token_output(docs)
+
+
+STAGES = [
+    ("quality", good_quality),
+    ("near_dedup", near_dedup),
+    ("decontaminate", clean_of_benchmark),
+    ("mix", to_weights),
+    ("token_output", tokens),
+]
 
-STAGES: list = []
+#: None: the classifier, XXH64 fingerprints and the tokenizer can't be expressed in SQL; tests/llm compare with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs
+    """The last stage's rows for the documents of sf_dir."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        path = f"{shared_dir(spark)}/corpus-{name}-{uuid.uuid4().hex}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -16,6 +16,7 @@ from ledgerloom.llm.chat import op10_chat
 from ledgerloom.llm.common import table
 from ledgerloom.llm.decontaminate import decontaminate
 from ledgerloom.llm.fingerprints import op8_fingerprints
+from ledgerloom.llm.language_id import op2_language_id
 from ledgerloom.llm.mixing import ORACLE as MIXING_SQL
 from ledgerloom.llm.mixing import op4_mixing
 from ledgerloom.llm.quality import op5_quality
@@ -44,6 +45,7 @@ def op9_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_language_id": op2_language_id,
     "op3_decontaminate": op3_decontaminate,
     "op4_mixing": op4_mixing,
     "op5_quality": op5_quality,

@@ -244,3 +244,20 @@ def grouped(prints: DataFrame, most_bits: int = MOST_BITS, bucket: int = BUCKET,
     known = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     best = known.groupBy("root").agg(F.min("first").alias("component_id"))
     return prints.join(known.join(best, "root").select("fp", "component_id"), "fp")
+
+
+def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most_bits: int = MOST_BITS) -> DataFrame:
+    """docs, of each group of near duplicates the row with the smallest doc_id only, with all its columns.
+
+    Rows that share that doc_id and fingerprint are reduced to one.  Null doc_ids come last.
+    """
+    prints = cut(with_fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text").drop("text"))
+    nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    roots = components(linked(nodes, most_bits))
+    known = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    # one row for each group: the fingerprint and doc_id that stay (null doc_ids lose)
+    stay = known.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "fp")).alias("s")).select(F.col("s.first").alias("__first"), F.col("s.fp").alias("__stay"))
+    printed = with_fingerprints(docs, text, "__fp")
+    kept = printed.join(stay, (F.col("__fp") == F.col("__stay")) & F.col(doc_id).eqNullSafe(F.col("__first")))
+    one = kept.dropDuplicates([doc_id, "__fp"])
+    return one.select(*docs.columns)

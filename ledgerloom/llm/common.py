@@ -9,6 +9,7 @@ while every other column of a row is handed through untouched.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -42,6 +43,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """As cut(), but as a Parquet table in the shared folder: smaller, and columns are read singly."""
+    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def append(df: DataFrame, fields: T.StructType, make: Callable[[], Callable[[pa.RecordBatch], list]]) -> DataFrame:
     """df with more columns, computed batch by batch; rows and other columns stay as they are.
 

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import cut, table
+from ledgerloom.llm.common import stored, table
 
 STRONG, WEAK = 32, 128
 #: A word ends a piece if its checksum has these low bits set: every eighth on average.
@@ -66,8 +66,11 @@ class Fingerprint:
     def delete(self, some: list[str]) -> None:
         self.vector -= summed(some)
 
+    def raw(self) -> bytes:
+        return self.vector.astype(">u2").tobytes()
+
     def hex(self) -> str:
-        return self.vector.astype(">u2").tobytes().hex()
+        return self.raw().hex()
 
     def likeness(self, other: Fingerprint) -> float:
         if (self.vector == other.vector).all():
@@ -123,11 +126,11 @@ def compared(text: str, own: Fingerprint, following: str, others: Fingerprint) -
     edited.delete(paragraphs(text)[kept:])
     edited.insert(paragraphs(new)[kept:])
     digest = hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest()
-    return digest, own.hex(), edited.hex(), own.likeness(edited), own.likeness(others)
+    return digest, own.raw(), edited.raw(), own.likeness(edited), own.likeness(others)
 
 
-COLUMNS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-_KIND = {"doc_id": pa.int64(), "n_chars": pa.int64(), "edited_sha256": pa.string(), "fingerprint": pa.string(), "edited_fingerprint": pa.string(), "near_edited": pa.float64(), "near_next": pa.float64(), "part": pa.int32(), "head": pa.string(), "tail": pa.string()}
+COLUMNS = "doc_id long, n_chars long, edited_sha256 string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
+_KIND = {"doc_id": pa.int64(), "n_chars": pa.int64(), "edited_sha256": pa.string(), "fingerprint": pa.binary(), "edited_fingerprint": pa.binary(), "near_edited": pa.float64(), "near_next": pa.float64(), "part": pa.int32(), "head": pa.string(), "tail": pa.string()}
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -135,7 +138,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """COLUMNS of each document, against its edited text and the next document."""
+    """COLUMNS of each document (fingerprints as hexadecimal text), against its edited text and the next document."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
 
@@ -157,7 +160,7 @@ def edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
         if last is not None:
             yield _batch([(last[0], None, None, None, None, None, None, part, None, last[1])])
 
-    walked = cut(ordered.mapInArrow(walk, COLUMNS + ", part int, head string, tail string"))
+    walked = stored(ordered.mapInArrow(walk, COLUMNS + ", part int, head string, tail string"))
     # two rows a partition: each tail meets the head of the next partition that has rows, the last one the first
     ends = walked.where("part is not null").groupBy("part").agg(F.max("head").alias("head"), F.max("tail").alias("tail"), F.max("doc_id").alias("doc_id"))
     in_order = Window.orderBy("part")
@@ -170,7 +173,8 @@ def edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
                 yield _batch(rows).select(list(_KIND)[:7])
 
     last_ones = met.select("doc_id", "tail", "next").mapInArrow(meet, COLUMNS)
-    return walked.where("part is null").select(*last_ones.columns).unionByName(last_ones)
+    digits = {c: F.lower(F.hex(c)) for c in ("fingerprint", "edited_fingerprint")}
+    return walked.where("part is null").select(*last_ones.columns).unionByName(last_ones).withColumns(digits)
 
 
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,8 +26,10 @@ from 65,536 on raise ValueError, and so does a block whose checksum is wrong.
 
 from __future__ import annotations
 
+import re
 import uuid
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,60 +38,94 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm import context_mixing as cm
 from ledgerloom.llm.common import portions, shared_dir
-from ledgerloom.llm.token_counts import tokenizer
+from ledgerloom.llm.token_counts import byte_lengths, tokenizer
 
 END_ID = 2
 #: Ids of a segment (a longer document makes a longer one), and ids that are coded in step.
 SEGMENT, TOGETHER = 1 << 18, 1 << 23
-#: Known pieces of text with their ids that a task keeps.
-KNOWN = 400_000
+#: Known pre-tokens with their ids that a worker keeps.
+KNOWN = 500_000
 MAGIC = b"LLT1"
 
 
+#: What the tokenizer's splitting pattern gives over ASCII and the Latin-1 letters, and characters beyond those.
+_L, _W = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff", "\t-\r "
+_SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[0-9]+| ?[^{_W}0-9{_L}]+|[{_W}]+(?![^{_W}])|[{_W}]+")
+_BEYOND = re.compile(f"[^\\x00-\\x7f{_L}]")
+
+
 class PieceEncoder:
-    """Ids of whole texts, encoding each distinct piece once.
+    """Ids of whole texts, encoding each distinct pre-token once.
 
-    A blank between two characters that aren't white space always starts a
-    pre-token, so the pieces between such blanks can be encoded apart.  A text with
-    any other white space beside a blank is encoded whole.
+    Ids depend on the pre-token only.  Texts over ASCII and Latin-1 letters are split here; any
+    other text, and one that holds a special token's string, is encoded whole.  New pre-tokens
+    are encoded many at a time: those of a blank and a word one behind the other (a blank after a
+    word always starts a pre-token), other words on lines of their own, and the rest singly.
     """
 
     def __init__(self, name: str) -> None:
         self.tok = tokenizer(name)
+        self.lengths = byte_lengths(name)
+        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
 
     def _encode(self, items: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").astype("<u2").tobytes() for part in portions(items, 4096) for e in self.tok.encode_batch_fast(part, add_special_tokens=False)]
 
-    @staticmethod
-    def _plain(piece: str) -> bool:
-        return piece != "" and not piece[0].isspace() and not piece[-1].isspace()
+    def _encode_joined(self, items: list[str], between: str) -> list[bytes]:
+        """Ids of items, encoded as one text with a one-token separator (or none) and cut at their last bytes."""
+        out: list[bytes] = []
+        for part in portions(items, 1 << 16, 1 << 18):
+            ids = np.array(self.tok.encode(between.join(part), add_special_tokens=False).ids, dtype=np.int64)
+            sizes = np.array([len(p.encode("utf-8")) for p in part])
+            last = np.cumsum(sizes + len(between)) - len(between)
+            ends = np.searchsorted(np.cumsum(self.lengths[ids]), last) + 1
+            starts = np.concatenate([[0], ends[:-1] + len(between)])
+            raw = ids.astype("<u2").tobytes()
+            out += [raw[a:b] for a, b in zip((2 * starts).tolist(), (2 * ends).tolist())]
+        return out
+
+    def _learn(self, new: set[str]) -> None:
+        kinds: tuple[list[str], list[str], list[str]] = ([], [], [])
+        for p in sorted(new):
+            if not p.isascii() and _BEYOND.search(p):
+                continue
+            kinds[0 if p[0] == " " and len(p) > 1 and not p[1].isspace() else 1 if not p[0].isspace() else 2].append(p)
+        for items, ids in ((kinds[0], self._encode_joined(kinds[0], "")), (kinds[1], self._encode_joined(kinds[1], "\n")), (kinds[2], self._encode(kinds[2]))):
+            self.known.update(zip(items, ids, strict=True))
 
     def __call__(self, items: list[str]) -> list[bytes]:
         if len(self.known) > KNOWN:
             self.known = {}
-        known, out = self.known, [b""] * len(items)
-        cut, new, whole = {}, set(), []
+        get, out = self.known.get, [b""] * len(items)
+        cut: dict[int, list[str]] = {}
+        whole = []
         for i, text in enumerate(items):
-            if not text:
+            if any(s in text for s in self.special):
+                whole.append(i)
                 continue
-            pieces = text.split(" ")
-            pieces[1:] = [" " + p for p in pieces[1:]]
-            missing = [p for p in set(pieces) if p not in known]
-            if all(self._plain(p[1:] if p[:1] == " " and len(p) > 1 else p) for p in missing):
-                new.update(missing)
+            pieces = _SPLIT.findall(text)
+            try:
+                out[i] = b"".join(map(get, pieces))
+            except TypeError:  # a piece is new
                 cut[i] = pieces
-            else:
-                whole.append(i)
-        fresh = sorted(new)
-        known.update(zip(fresh, self._encode(fresh), strict=True))
+        self._learn({p for pieces in cut.values() for p in pieces if p not in self.known})
         for i, pieces in cut.items():
-            out[i] = b"".join([known[p] for p in pieces])
+            try:
+                out[i] = b"".join(map(get, pieces))
+            except TypeError:  # a piece has characters beyond those that _SPLIT is for
+                whole.append(i)
         for i, ids in zip(whole, self._encode([items[i] for i in whole]), strict=True):
             out[i] = ids
         return out
 
 
+@lru_cache(maxsize=2)
+def piece_encoder(name: str) -> PieceEncoder:
+    """A worker's encoder, which keeps what it has learnt from one task to the next."""
+    return PieceEncoder(name)
+
+
 def pack(doc_ids: list[int | None], ids: list[bytes]) -> tuple[list[np.ndarray], dict]:
     """A segment's blocks of ranks, and what image() needs besides their codes."""
     flat = np.frombuffer(b"".join(ids), dtype="<u2")
@@ -163,7 +199,7 @@ def write_tokens(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
 
         if tokenizer(tokenizer_file).get_vocab_size() > 1 << 16:
             raise ValueError("ids must be below 65,536")
-        encoder, part = PieceEncoder(tokenizer_file), TaskContext.get().partitionId()
+        encoder, part = piece_encoder(tokenizer_file), TaskContext.get().partitionId()
         end = np.array([end_id], dtype="<u2").tobytes()
         names, ids, size, ready, waiting, number, before = [], [], 0, [], 0, 0, 0
 

@@ -3,10 +3,11 @@
 Each block is coded on its own from a fresh model.  An id is first replaced by its
 rank among the segment's ids by frequency.  Three predictions are mixed for each
 rank: order 2 and order 1 propose the rank that followed the last two, or the
-last one, before (with a confidence); order 0 is an adaptive distribution over
-the rank's bit length.  The mixture weights are hit rates that the block learns
-for each order and confidence.  One range-coding step codes "the order-2 proposal",
-"the order-1 proposal" or a bit length, a second one the bits below the leading one.
+last one, before; order 0 is an adaptive distribution over the rank's bit length,
+learnt anew every PERIOD positions.  A proposal's share of the mixture follows its
+context's own record of hits and misses.  Range coding says which: the order-2
+proposal, the order-1 proposal, or a bit length; the bits below a length's leading
+one are as good as uniform and follow in a bit string of their own.
 
 numpy works on one position of all blocks at a time, so the cost of a step is
 shared by thousands of blocks.
@@ -16,115 +17,173 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Ids of a block; slots of a block's order-1 and order-2 tables; confidence levels.
-BLOCK, SLOTS, LEVELS = 4096, 2048, 8
-#: Bit lengths 0..16, probabilities as parts of 2^15, the least one, speed of learning.
-LENGTHS, UNIT, LEAST, SPEED = 17, 1 << 15, 16, 5
+#: Ids of a block; slots of a block's order-1 and order-2 tables.
+BLOCK, SLOTS = 2048, 1024
+#: Bit lengths 0..16, probabilities as parts of 2^15, the least one, positions between renewals, weight of one occurrence.
+LENGTHS, UNIT, LEAST, PERIOD, STEP = 17, 1 << 15, 16, 32, 24
+#: Share of the mixture's 2^16 parts by a context's trust (0: it has no proposal yet).  What remains is 2^12 at least.
+SHARES = np.array([0, 5000, 14000, 26000, 38000, 47000, 54000, 60000], dtype=np.int64)
+MOST = 61440
 #: The range coder's limits: 64-bit low, words of 16 bits.
 TOP, BOTTOM = np.uint64(1 << 48), np.uint64(1 << 32)
-_16, _48 = np.uint64(16), np.uint64(48)
-_AIM = np.array([[LEAST * i if i <= b else UNIT - LEAST * (LENGTHS - i) for i in range(LENGTHS + 1)] for b in range(LENGTHS)], dtype=np.int32)
+_16, _48, _0, _LOW = np.uint64(16), np.uint64(48), np.uint64(0), np.uint64((1 << 32) - 1)
+_BELOW = np.maximum(np.arange(LENGTHS) - 1, 0)
+#: By trust and, from 8 on, trust of a proposal that was right: change of trust, and whether the new rank replaces it.
+_CHANGE = np.array([0, 0, -1, -1, -1, -1, -1, -1, 1, 1, 1, 1, 1, 1, 1, 0], dtype=np.int32)
+_REPLACE = np.array([True, True, *[False] * 14])
 _LENGTH = np.array([int(i).bit_length() for i in range(1 << 16)], dtype=np.int64)
 
 
 class Model:
-    """The state of n blocks."""
+    """The state of n blocks; a step works on the first m of them."""
 
     def __init__(self, n: int) -> None:
+        self.n = n
         self.lane = np.arange(n, dtype=np.int64)
+        self.home = self.lane * SLOTS
         self.slots = [np.zeros(n * SLOTS, dtype=np.int32) for _ in range(2)]
-        self.rates = [np.full(n * LEVELS, 1 << 14, dtype=np.int64) for _ in range(2)]
-        self.cum = np.tile(np.linspace(0, UNIT, LENGTHS + 1).astype(np.int32), (n, 1))
+        self.counts = np.full((LENGTHS, n), STEP, dtype=np.int64)
+        self.cum = np.zeros((LENGTHS + 1, n), dtype=np.int64)
         self.last = np.zeros(n, dtype=np.int64)
         self.before = np.zeros(n, dtype=np.int64)
+        self.steps = 0
 
-    def predict(self, m: int) -> None:
-        """Proposals and weights of the first m blocks."""
-        a, b, lane = self.last[:m], self.before[:m], self.lane[:m]
-        mixed = a * 40503
-        self.at = [lane * SLOTS + ((mixed >> 4) & (SLOTS - 1)), lane * SLOTS + (((mixed + b * 60493) >> 4) & (SLOTS - 1))]
-        entry = [np.take(t, i) for t, i in zip(self.slots, self.at, strict=True)]
-        self.proposal, self.trust = [e >> 3 for e in entry], [e & 7 for e in entry]
-        self.rate_at = [lane * LEVELS + t for t in self.trust]
-        self.rate = [np.take(r, i) for r, i in zip(self.rates, self.rate_at, strict=True)]
-        first, second = self.trust[1] > 0, (self.trust[0] > 0) & ((self.trust[1] == 0) | (self.proposal[0] != self.proposal[1]))
-        self.w2 = first * (1 + (self.rate[1] * 60000 >> 16))
-        self.w1 = second * (1 + ((61440 - self.w2) * self.rate[0] >> 16))
-        self.rest = 65536 - self.w2 - self.w1
+    def contexts(self, m: int) -> tuple[np.ndarray, np.ndarray]:
+        """Slots of the order-1 and the order-2 context."""
+        return slots_of(self.last[:m], self.before[:m], self.home[:m])
+
+    def predict(self, m: int, at: tuple[np.ndarray, np.ndarray]) -> None:
+        """Proposals and shares."""
+        if self.steps % PERIOD == 0:
+            spread = UNIT - LEAST * LENGTHS
+            np.cumsum(self.counts * spread // self.counts.sum(axis=0) + LEAST, axis=0, out=self.cum[1:])
+            self.cum[LENGTHS] = UNIT
+        self.steps += 1
+        self.m, self.at = m, at
+        one, two = self.slots[0].take(at[0]), self.slots[1].take(at[1])
+        self.entry, self.proposal, self.trust = (one, two), (one >> 3, two >> 3), (one & 7, two & 7)
+        self.w2 = SHARES.take(self.trust[1])
+        self.w1 = (MOST - self.w2) * SHARES.take(self.trust[0]) >> 16
+        self.w1 *= self.proposal[0] != self.proposal[1]
         self.base = self.w2 + self.w1
-        self.m = m
+        self.rest = 65536 - self.base
 
     def bounds(self, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and end of each block's bit length in the mixture's 2^16 parts."""
-        at = self.lane[: self.m] * (LENGTHS + 1) + length
+        """Start and size of each block's bit length in the mixture's 2^16 parts."""
+        at = length * self.n + self.lane[: self.m]
         flat = self.cum.reshape(-1)
-        return self.base + (np.take(flat, at) * self.rest >> 15), self.base + (np.take(flat, at + 1) * self.rest >> 15)
+        start = flat.take(at) * self.rest >> 15
+        return self.base + start, (flat.take(at + self.n) * self.rest >> 15) - start
 
     def length_of(self, v: np.ndarray) -> np.ndarray:
         """The bit length whose interval holds v."""
-        starts = self.cum[: self.m, 1:LENGTHS] * self.rest[:, None] >> 15
-        return (starts <= (v - self.base)[:, None]).sum(axis=1)
+        u = ((np.maximum(v - self.base, 0) + 1 << 15) - 1) // self.rest
+        return (self.cum[1:LENGTHS, : self.m] <= u).sum(axis=0)
 
     def update(self, rank: np.ndarray, length: np.ndarray) -> None:
         m = self.m
+        fresh = (rank << 3 | 1).astype(np.int32)
         for k in range(2):
-            p, t = self.proposal[k], self.trust[k]
-            right = p == rank
-            np.put(self.rates[k], self.rate_at[k], self.rate[k] + (((right * 65535) - self.rate[k]) >> 4))
-            level = np.where(right, np.minimum(t + 1, LEVELS - 1), np.maximum(t - 1, 1))
-            np.put(self.slots[k], self.at[k], np.where(right | (t > 1), p, rank) << 3 | level)
-        c = self.cum[:m]
-        c += (_AIM[length] - c) >> SPEED
+            case = self.trust[k] + ((self.proposal[k] == rank) << 3)
+            self.slots[k][self.at[k]] = np.where(_REPLACE.take(case), fresh, self.entry[k] + _CHANGE.take(case))
+        self.counts.reshape(-1)[length * self.n + self.lane[:m]] += STEP
         self.before[:m] = self.last[:m]
         self.last[:m] = rank
 
 
+def slots_of(last: np.ndarray, before: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    mixed = last * 40503
+    return home + (mixed >> 4 & SLOTS - 1), home + (mixed + before * 60493 >> 4 & SLOTS - 1)
+
+
 class Coder:
     """The range coder's state of n blocks; words are what it has written or reads."""
 
-    def __init__(self, n: int, words: np.ndarray, reading: bool) -> None:
+    def __init__(self, words: np.ndarray, reading: bool) -> None:
+        n, self.width = words.shape
         self.low, self.range = np.zeros(n, dtype=np.uint64), np.full(n, np.iinfo(np.uint64).max, dtype=np.uint64)
-        self.words, self.width = words.reshape(-1), words.shape[1]
-        self.at = np.arange(n, dtype=np.int64) * self.width
+        self.words, self.first = words.reshape(-1), np.arange(n, dtype=np.int64) * self.width
+        self.at, self.reading = self.first.copy(), reading
         self.code = np.zeros(n, dtype=np.uint64)
         if reading:
             for _ in range(4):
-                self.code = self.code << _16 | np.take(self.words, self.at).astype(np.uint64)
+                self.code = self.code << _16 | self.words.take(self.at)
                 self.at += 1
-        self.reading = reading
 
     def target(self, m: int) -> np.ndarray:
         return np.minimum((self.code[:m] - self.low[:m]) // (self.range[:m] >> _16), np.uint64(65535)).astype(np.int64)
 
     def step(self, start: np.ndarray, size: np.ndarray) -> None:
         m = len(start)
-        part = self.range[:m] >> _16
-        low = self.low[:m]
-        low += start.astype(np.uint64) * part
-        np.multiply(part, size.astype(np.uint64), out=self.range[:m])
-        while True:
-            r = self.range[:m]
-            settled = (low ^ (low + r)) < TOP
-            i = np.flatnonzero(settled | (r < BOTTOM))
-            if not len(i):
-                return
-            x = low[i]
-            y = np.where(settled[i], r[i], (np.uint64(0) - x) & (BOTTOM - np.uint64(1)))
+        low, r = self.low[:m], self.range[:m]
+        r >>= _16
+        low += start.view(np.uint64) * r
+        r *= size.view(np.uint64)
+        i = np.flatnonzero(((low ^ (low + r)) < TOP) | (r < BOTTOM))
+        while len(i):
+            x, y, at = low[i], r[i], self.at[i]
+            y = np.where((x ^ (x + y)) < TOP, y, (_0 - x) & _LOW)
             if self.reading:
-                self.code[i] = self.code[i] << _16 | self.words[self.at[i]].astype(np.uint64)
+                self.code[i] = self.code[i] << _16 | self.words[at]
             else:
-                self.words[self.at[i]] = (x >> _48).astype(np.uint16)
-            self.at[i] += 1
-            low[i] = x << _16
-            self.range[i] = y << _16
+                self.words[at] = x >> _48
+            self.at[i] = at + 1
+            x, y = x << _16, y << _16
+            low[i], r[i] = x, y
+            i = i[((x ^ (x + y)) < TOP) | (y < BOTTOM)]
 
     def finish(self) -> np.ndarray:
         """Writes what is left; gives each block's number of words."""
         for _ in range(4):
-            self.words[self.at] = (self.low >> _48).astype(np.uint16)
+            self.words[self.at] = self.low >> _48
             self.low <<= _16
             self.at += 1
-        return self.at - np.arange(len(self.at)) * self.width
+        return self.at - self.first
+
+
+class Bits:
+    """A string of up to 15 bits at a time for each of n blocks, in words of 32 bits; checked every other step."""
+
+    def __init__(self, words: np.ndarray, reading: bool) -> None:
+        n, self.width = words.shape
+        self.words, self.first = words.reshape(-1), np.arange(n, dtype=np.int64) * self.width
+        self.at, self.held, self.fill = self.first.copy(), np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+
+    def write(self, value: np.ndarray, bits: np.ndarray, odd: bool) -> None:
+        m = len(value)
+        held, fill = self.held[:m], self.fill[:m]
+        held <<= bits
+        held |= value
+        fill += bits
+        if odd:
+            self._flush(np.flatnonzero(fill >= 32))
+
+    def _flush(self, i: np.ndarray) -> None:
+        left = self.fill[i] - 32
+        self.words[self.at[i]] = self.held[i] >> left & 0xFFFFFFFF
+        self.held[i] &= (1 << left) - 1
+        self.fill[i] = left
+        self.at[i] += 1
+
+    def finish(self) -> np.ndarray:
+        self._flush(np.flatnonzero(self.fill >= 32))
+        i = np.flatnonzero(self.fill)
+        self.words[self.at[i]] = self.held[i] << 32 - self.fill[i]
+        self.at[i] += 1
+        return self.at - self.first
+
+    def read(self, bits: np.ndarray, odd: bool) -> np.ndarray:
+        m = len(bits)
+        held, fill = self.held[:m], self.fill[:m]
+        if not odd:
+            i = np.flatnonzero(fill < 30)
+            held[i] = held[i] << 32 | self.words[self.at[i]]
+            fill[i] += 32
+            self.at[i] += 1
+        fill -= bits
+        out = held >> fill
+        held &= (1 << fill) - 1
+        return out
 
 
 def _active(lengths: np.ndarray) -> list[int]:
@@ -133,33 +192,42 @@ def _active(lengths: np.ndarray) -> list[int]:
 
 
 def encode(blocks: list[np.ndarray]) -> list[bytes]:
-    """The code of each block of ranks (below 2^16, at least one each)."""
+    """The code of each block of ranks (below 2^16, at least one each): bytes of the range code, that code, the bit string."""
     if not blocks:
         return []
     lengths = np.array([len(b) for b in blocks])
     order = np.argsort(-lengths, kind="stable")
     lengths = lengths[order]
-    ranks = np.zeros((lengths[0], len(blocks)), dtype=np.int64)
+    n = len(blocks)
+    ranks = np.zeros((lengths[0], n), dtype=np.int32)
     for k, i in enumerate(order):
         ranks[: lengths[k], k] = blocks[i]
-    model = Model(len(blocks))
-    coder = Coder(len(blocks), np.zeros((len(blocks), 3 * lengths[0] + 8), dtype=np.uint16), reading=False)
+    model = Model(n)
+    coder, bits = Coder(np.zeros((n, lengths[0] + 16), dtype=np.uint16), False), Bits(np.zeros((n, lengths[0] // 2 + 4), dtype=np.uint32), False)
     for at, m in enumerate(_active(lengths)):
-        x = ranks[at, :m]
-        model.predict(m)
+        x = ranks[at, :m].astype(np.int64)
+        model.predict(m, model.contexts(m))
         two = (model.proposal[1] == x) & (model.w2 > 0)
         one = (model.proposal[0] == x) & (model.w1 > 0)
-        length = _LENGTH[x]
-        start, end = model.bounds(length)
-        hit = two | one
-        coder.step(np.where(two, 0, np.where(one, model.w2, start)), np.where(two, model.w2, np.where(one, model.w1, end - start)))
-        bits = np.where(hit, 0, np.maximum(length - 1, 0))
-        coder.step((x & ((1 << bits) - 1)) << (16 - bits), 1 << (16 - bits))
+        length = _LENGTH.take(x)
+        start, size = model.bounds(length)
+        coder.step(np.where(two, 0, np.where(one, model.w2, start)), np.where(two, model.w2, np.where(one, model.w1, size)))
+        below = _BELOW.take(length) * ~(one | two)
+        bits.write(x & ((1 << below) - 1), below, at & 1 == 1)
         model.update(x, length)
-    n = coder.finish()
-    out: list[bytes] = [b""] * len(blocks)
+    n_words, n_bits = coder.finish(), bits.finish()
+    out: list[bytes] = [b""] * n
     for k, i in enumerate(order):
-        out[i] = coder.words[k * coder.width : k * coder.width + n[k]].astype("<u2").tobytes()
+        a, b = coder.words[coder.first[k] : coder.first[k] + n_words[k]], bits.words[bits.first[k] : bits.first[k] + n_bits[k]]
+        out[i] = (2 * len(a)).to_bytes(4, "little") + a.astype("<u2").tobytes() + b.astype("<u4").tobytes()
+    return out
+
+
+def _rows(parts: list[bytes], kind: str) -> np.ndarray:
+    arrays = [np.frombuffer(p, dtype=kind) for p in parts]
+    out = np.zeros((len(arrays), max(map(len, arrays)) + 8), dtype=np.dtype(kind).newbyteorder("="))
+    for k, a in enumerate(arrays):
+        out[k, : len(a)] = a
     return out
 
 
@@ -167,30 +235,30 @@ def decode(codes: list[bytes], lengths: list[int]) -> list[np.ndarray]:
     """The blocks of ranks of encode()."""
     if not codes:
         return []
-    n = np.array(lengths)
-    order = np.argsort(-n, kind="stable")
-    n = n[order]
-    words = np.zeros((len(codes), max(len(c) for c in codes) // 2 + 8), dtype=np.uint16)
-    for k, i in enumerate(order):
-        w = np.frombuffer(codes[i], dtype="<u2")
-        words[k, : len(w)] = w
-    ranks = np.zeros((n[0], len(codes)), dtype=np.int64)
-    model, coder = Model(len(codes)), Coder(len(codes), words, reading=True)
-    for at, m in enumerate(_active(n)):
-        model.predict(m)
+    size = np.array(lengths)
+    order = np.argsort(-size, kind="stable")
+    size = size[order]
+    n = len(codes)
+    split = [int.from_bytes(codes[i][:4], "little") + 4 for i in order]
+    coder = Coder(_rows([codes[i][4:s] for i, s in zip(order, split, strict=True)], "<u2"), True)
+    bits = Bits(_rows([codes[i][s:] for i, s in zip(order, split, strict=True)], "<u4"), True)
+    ranks = np.zeros((size[0], n), dtype=np.int32)
+    model = Model(n)
+    for at, m in enumerate(_active(size)):
+        model.predict(m, model.contexts(m))
         v = coder.target(m)
-        two, one = v < model.w2, (v >= model.w2) & (v < model.base)
+        two, hit = v < model.w2, v < model.base
+        one = hit & ~two
         length = model.length_of(v)
-        start, end = model.bounds(length)
-        coder.step(np.where(two, 0, np.where(one, model.w2, start)), np.where(two, model.w2, np.where(one, model.w1, end - start)))
-        hit = two | one
-        bits = np.where(hit, 0, np.maximum(length - 1, 0))
-        low = coder.target(m) >> (16 - bits)
-        coder.step(low << (16 - bits), 1 << (16 - bits))
-        x = np.where(two, model.proposal[1], np.where(one, model.proposal[0], np.where(length > 0, (1 << np.maximum(length - 1, 0)) | low, 0)))
-        model.update(x, _LENGTH[x])
+        start, part = model.bounds(length)
+        coder.step(np.where(two, 0, np.where(one, model.w2, start)), np.where(two, model.w2, np.where(one, model.w1, part)))
+        below = _BELOW.take(length) * ~hit
+        x = bits.read(below, at & 1 == 1) | (length > 0) << below
+        x = np.where(two, model.proposal[1], np.where(one, model.proposal[0], x))
+        model.update(x, _LENGTH.take(x))
         ranks[at, :m] = x
-    out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(codes)
+    columns = np.ascontiguousarray(ranks.T)
+    out: list[np.ndarray] = [np.zeros(0, np.int32)] * n
     for k, i in enumerate(order):
-        out[i] = ranks[: n[k], k].copy()
+        out[i] = columns[k, : size[k]]
     return out

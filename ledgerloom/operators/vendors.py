@@ -29,23 +29,26 @@ def tier_2(left: DataFrame, sub: DataFrame, least: float = FUZZY_VENDOR) -> Data
     factor: each form is joined with the lengths in reach only.  Their character counts must overlap that much too,
     which is checked before any Python runs.  Both bounds are exact: no pair outside can pass.
     """
-    query = left.withColumn("q", F.when(F.col("norm") == "", F.lower("original")).otherwise(F.col("norm"))).select("original", "q").withColumn("n", F.length("q"))
-    forms = sub.where("norm <> ''").groupBy("norm").agg(F.max_by("original", "o").alias("matched_to"), F.min("o").alias("o")).withColumn("m", F.length("norm"))
+    query = left.withColumn("q", F.when(F.col("norm") == "", F.lower("original")).otherwise(F.col("norm"))).select("original", "q", F.length("q").alias("n"), _letters(F.col("q")).alias("ql"))
+    forms = sub.where("norm <> ''").groupBy("norm").agg(F.max_by("original", "o").alias("matched_to"), F.min("o").alias("o")).withColumn("m", F.length("norm")).withColumn("nl", _letters(F.col("norm")))
     # 2 * min(n, m) / (n + m) >= least bounds m on both sides
     low, high = F.ceil(F.col("n") * least / (2 - least)), F.floor(F.col("n") * (2 - least) / least)
     reach = query.withColumn("m", F.explode(F.sequence(low.cast("int"), F.greatest(low, high).cast("int"))))
-    pairs = reach.join(forms, "m").where(_overlap(F.col("q"), F.col("norm")) * 2 >= F.lit(least) * (F.col("n") + F.col("m")))
+    pairs = reach.join(forms, "m").where(_overlap("ql", "nl") * 2 >= F.lit(least) * (F.col("n") + F.col("m")))
     best = pairs.withColumn("s", _similarity("q", "norm")).where(F.col("s") >= least)
     first = Window.partitionBy("original").orderBy(F.desc("s"), "o")
     return best.withColumn("rn", F.row_number().over(first)).where("rn = 1").select("original", F.col("norm").alias("matched_norm"), "matched_to", F.lit("nlp").alias("match_source"), F.col("s").alias("similarity_score"))
 
 
-def _overlap(a: Column, b: Column) -> Column:
-    """Characters that both texts hold, with multiplicity, over the letters and digits; other ones count fully."""
-    plain = "abcdefghijklmnopqrstuvwxyz0123456789"
-    left = lambda x, c: F.length(x) - F.length(F.replace(x, F.lit(c), F.lit("")))
-    rest = lambda x: F.length(F.regexp_replace(x, "[a-z0-9]", ""))
-    return sum((F.least(left(a, c), left(b, c)) for c in plain[1:]), F.least(left(a, "a"), left(b, "a"))) + F.least(rest(a), rest(b))
+def _letters(x: Column) -> Column:
+    """Counts of each letter and digit, and of everything else."""
+    each = [F.length(x) - F.length(F.replace(x, F.lit(c), F.lit(""))) for c in "abcdefghijklmnopqrstuvwxyz0123456789"]
+    return F.array(*each, F.length(F.regexp_replace(x, "[a-z0-9]", "")))
+
+
+def _overlap(a: str, b: str) -> Column:
+    """Characters that both texts hold, with multiplicity, from their counts; other characters count fully."""
+    return sum((F.least(F.col(a)[i], F.col(b)[i]) for i in range(1, 37)), F.least(F.col(a)[0], F.col(b)[0]))
 
 
 def vendor_map(gl: DataFrame, sub: DataFrame, least: float = FUZZY_VENDOR, advised: DataFrame | None = None) -> DataFrame:

@@ -25,7 +25,7 @@ _MONEY = "floor({x} * 100 + 0.5) / 100"
 GL_SQL = f"""{_BASE},
 gl AS (
   SELECT 'G' || CAST(k AS VARCHAR(20)) || CASE WHEN c = 8 AND k % 20 <> 18 THEN CASE p WHEN 0 THEN 'a' ELSE 'b' END ELSE '' END AS gl_id,
-         entity, acct AS account_code, CASE WHEN k % 211 = 0 THEN NULL ELSE {_DRESS.format(by="k % 4")} END AS vendor_name, d AS transaction_date,
+         entity, acct AS account_code, CASE WHEN k % 211 = 0 THEN NULL WHEN k % 170 = 3 THEN replace(v, 'r', 'rr') WHEN k % 190 = 4 THEN 'Unlisted ' || acct ELSE {_DRESS.format(by="k % 4")} END AS vendor_name, d AS transaction_date,
          {_MONEY.format(x="(CASE WHEN c = 8 AND k % 20 <> 18 THEN CASE p WHEN 0 THEN amt * 0.6 ELSE amt * 0.4 END ELSE amt END)")} AS amount,
          'USD' AS currency, k % 97 = 0 AS exception_flag, k * 2 + p AS ord
   FROM base CROSS JOIN parts WHERE p = 0 OR (c = 8 AND k % 20 <> 18))"""

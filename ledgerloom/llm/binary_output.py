@@ -42,9 +42,9 @@ from ledgerloom.llm.token_counts import byte_lengths, tokenizer
 
 END_ID = 2
 #: Ids of a segment (a longer document makes a longer one), and ids that are coded in step.
-SEGMENT, TOGETHER = 1 << 18, 1 << 23
+SEGMENT, TOGETHER = 1 << 18, 1 << 22
 #: Known pre-tokens with their ids that a worker keeps.
-KNOWN = 500_000
+KNOWN = 250_000
 MAGIC = b"LLT1"
 
 
@@ -76,7 +76,7 @@ class PieceEncoder:
         """Ids of items, encoded as one text with a one-token separator (or none) and cut at their last bytes."""
         out: list[bytes] = []
         for part in portions(items, 1 << 16, 1 << 18):
-            ids = np.array(self.tok.encode(between.join(part), add_special_tokens=False).ids, dtype=np.int64)
+            ids = np.array(self.tok.encode_batch_fast([between.join(part)], add_special_tokens=False)[0].ids, dtype=np.int64)
             sizes = np.array([len(p.encode("utf-8")) for p in part])
             last = np.cumsum(sizes + len(between)) - len(between)
             ends = np.searchsorted(np.cumsum(self.lengths[ids]), last) + 1
@@ -87,7 +87,7 @@ class PieceEncoder:
 
     def _learn(self, new: set[str]) -> None:
         kinds: tuple[list[str], list[str], list[str]] = ([], [], [])
-        for p in sorted(new):
+        for p in new:
             if not p.isascii() and _BEYOND.search(p):
                 continue
             kinds[0 if p[0] == " " and len(p) > 1 and not p[1].isspace() else 1 if not p[0].isspace() else 2].append(p)
@@ -97,22 +97,18 @@ class PieceEncoder:
     def __call__(self, items: list[str]) -> list[bytes]:
         if len(self.known) > KNOWN:
             self.known = {}
-        get, out = self.known.get, [b""] * len(items)
+        out, whole, new = [b""] * len(items), [], set()
         cut: dict[int, list[str]] = {}
-        whole = []
         for i, text in enumerate(items):
             if any(s in text for s in self.special):
                 whole.append(i)
-                continue
-            pieces = _SPLIT.findall(text)
-            try:
-                out[i] = b"".join(map(get, pieces))
-            except TypeError:  # a piece is new
-                cut[i] = pieces
-        self._learn({p for pieces in cut.values() for p in pieces if p not in self.known})
+            else:
+                cut[i] = _SPLIT.findall(text)
+                new |= set(cut[i]).difference(self.known)
+        self._learn(new)
         for i, pieces in cut.items():
             try:
-                out[i] = b"".join(map(get, pieces))
+                out[i] = b"".join(map(self.known.get, pieces))
             except TypeError:  # a piece has characters beyond those that _SPLIT is for
                 whole.append(i)
         for i, ids in zip(whole, self._encode([items[i] for i in whole]), strict=True):
@@ -131,7 +127,7 @@ def pack(doc_ids: list[int | None], ids: list[bytes]) -> tuple[list[np.ndarray],
     flat = np.frombuffer(b"".join(ids), dtype="<u2")
     counts = np.bincount(flat, minlength=1)
     order = np.argsort(-counts, kind="stable")[: np.count_nonzero(counts)]
-    rank = np.zeros(len(counts), dtype=np.int64)
+    rank = np.zeros(len(counts), dtype=np.uint16)
     rank[order] = np.arange(len(order))
     parts = [flat[i : i + cm.BLOCK] for i in range(0, len(flat), cm.BLOCK)]
     meta = {

@@ -199,7 +199,7 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
     order = np.argsort(-lengths, kind="stable")
     lengths = lengths[order]
     n = len(blocks)
-    ranks = np.zeros((lengths[0], n), dtype=np.int32)
+    ranks = np.zeros((lengths[0], n), dtype=np.uint16)
     for k, i in enumerate(order):
         ranks[: lengths[k], k] = blocks[i]
     model = Model(n)
@@ -242,7 +242,7 @@ def decode(codes: list[bytes], lengths: list[int]) -> list[np.ndarray]:
     split = [int.from_bytes(codes[i][:4], "little") + 4 for i in order]
     coder = Coder(_rows([codes[i][4:s] for i, s in zip(order, split, strict=True)], "<u2"), True)
     bits = Bits(_rows([codes[i][s:] for i, s in zip(order, split, strict=True)], "<u4"), True)
-    ranks = np.zeros((size[0], n), dtype=np.int32)
+    ranks = np.zeros((size[0], n), dtype=np.uint16)
     model = Model(n)
     for at, m in enumerate(_active(size)):
         model.predict(m, model.contexts(m))
@@ -257,8 +257,8 @@ def decode(codes: list[bytes], lengths: list[int]) -> list[np.ndarray]:
         x = np.where(two, model.proposal[1], np.where(one, model.proposal[0], x))
         model.update(x, _LENGTH.take(x))
         ranks[at, :m] = x
-    columns = np.ascontiguousarray(ranks.T)
-    out: list[np.ndarray] = [np.zeros(0, np.int32)] * n
+    columns = ranks.T.astype(np.uint16)
+    out: list[np.ndarray] = [np.zeros(0, np.uint16)] * n
     for k, i in enumerate(order):
         out[i] = columns[k, : size[k]]
     return out

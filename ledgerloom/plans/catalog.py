@@ -15,7 +15,8 @@ from ledgerloom.functions import scores
 from ledgerloom.functions.text import STOPWORDS, SUFFIXES, normalize_vendor, with_similarity
 from ledgerloom.operators import advisor, consolidate, deterministic, export, probabilistic, profile, review, vendors
 from ledgerloom.operators.greedy import greedy_pairs
-from ledgerloom.sources import intake, ledger
+from ledgerloom.plans import session
+from ledgerloom.sources import intake, ledger, shared, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -756,3 +757,101 @@ def missing_columns(spark, d):
 def validate_file(spark, d):
     result = intake.validate(raw(spark, d), "gl")[1]
     return spark.createDataFrame([(result.is_valid, result.row_count, len(result.errors))], "is_valid boolean, row_count long, bad_columns int")
+
+
+@add(f"{_GLSUB} SELECT ord::VARCHAR AS ord, gl_id, CASE WHEN ord % 107 = 0 THEN '12,x' WHEN ord % 109 = 0 THEN 'NA' ELSE NULL END AS odd_amount FROM gl")
+def scan_csv(spark, d):
+    """Written as CSV and read back as texts."""
+    path = shared.fresh(spark, "csv")
+    sinks.write_csv(raw(spark, d).select("ord", "gl_id", "amount"), path)
+    return intake.read_csv(spark, path).select("ord", "gl_id", F.when(F.col("amount").isin("12,x", "NA"), F.col("amount")).alias("odd_amount"))
+
+
+@add(f"{_MATCHES} SELECT match_id, array_to_string(a, ',') AS a FROM m")
+def sink_csv(spark, d):
+    path = shared.fresh(spark, "csv")
+    sinks.write_csv(matches(spark, d).select("match_id", "a"), path)
+    return intake.read_csv(spark, path)
+
+
+@add("SELECT '{\"amount\":0.4,\"date\":0.15,\"vendor\":0.45}' AS criteria")
+def sink_json(spark, d):
+    import json
+
+    text = json.dumps(json.loads(sinks.criteria_json(C.WEIGHTS)), sort_keys=True, separators=(",", ":"))
+    return spark.createDataFrame([(text,)], "criteria string")
+
+
+@add()
+def export_manifest(spark, d):
+    """Digests of the exported CSV files."""
+    path = shared.fresh(spark, "export")
+    sinks.write_csv(export.audit(matches(spark, d)), path)
+    return sinks.manifest(spark, path).where("filename like 'part-%'").select("sha256", "size_bytes")
+
+
+@add("SELECT 'gl' AS file, 'GL.csv is missing' AS problem UNION ALL SELECT 'subledger', 'Subledger.csv is missing'")
+def intake_contract(spark, d):
+    try:
+        intake.intake(spark, {})
+    except intake.IntakeError as e:
+        return spark.createDataFrame([(k, p) for k, ps in e.problems.items() for p in ps], "file string, problem string")
+    raise AssertionError("intake accepted nothing")
+
+
+@add()
+def schema_hash(spark, d):
+    df = raw(spark, d)
+    return spark.createDataFrame([("gl", intake.schema_hash("gl", df, df.count()))], "file string, schema_hash string")
+
+
+@add(f"{_MATCHES} SELECT match_id, sha256(match_id || '|' || array_to_string(a, ',') || '|' || array_to_string(b, ',')) AS integrity_hash FROM m")
+def integrity_hash(spark, d):
+    text = F.concat_ws("|", "match_id", F.array_join("a", ","), F.array_join("b", ","))
+    return matches(spark, d).select("match_id", F.sha2(text.cast("binary"), 256).alias("integrity_hash"))
+
+
+def _session(spark, d) -> session.Session:
+    s = session.Session(spark, frames={"gl": ledger.gl(spark, d), "sub": ledger.sub(spark, d)})
+    for state in session.STATES[1:6]:
+        s.advance(state)
+    return s
+
+
+_LEFT = ", ".join(f"('{x}')" for x in session.STATES[:5])
+
+
+@add(f"SELECT * FROM (VALUES {_LEFT}) t(name)")
+def snapshots(spark, d):
+    return _session(spark, d).snapshots().select("name")
+
+
+_STEPS = ", ".join(f"('{x}')" for x in session.STATES[1:5])
+
+
+@add(f"SELECT * FROM (VALUES {_STEPS}) t(step)")
+def log_steps(spark, d):
+    return _session(spark, d).steps().select("step")
+
+
+@add(f"{_MATCHES} SELECT (SELECT count(*) FROM g) AS gl_rows, (SELECT count(*) FROM s) AS sub_rows, (SELECT count(*) FROM fin) AS matches")
+def log_run(spark, d):
+    g, s = sides(spark, d)
+    n = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    return n(g, "gl_rows").crossJoin(n(s, "sub_rows")).crossJoin(n(consolidate.final_results(matches(spark, d)), "matches"))  # one row each
+
+
+@add()
+def summary_narrative(spark, d):
+    stats = consolidate.narrative_stats(matches(spark, d), sides(spark, d)[0]).first()
+    return spark.createDataFrame([(session.summary_narrative(stats),)], "narrative string")
+
+
+@add()
+def profile_narrative(spark, d):
+    g = ledger.gl(spark, d)
+    rows, facts = g.count(), profile.numeric(g, "amount").first()
+    top = profile.value_counts(g, "entity", 3).collect()
+    names = ", ".join(f"{r.label} ({r['count']:,})" for r in top)
+    text = f"The ledger has {rows:,} rows with amounts from {facts['min']:,.0f} to {facts['max']:,.0f} and a total of {facts['sum']:,.0f}. Most rows: {names}."
+    return spark.createDataFrame([(text,)], "narrative string")

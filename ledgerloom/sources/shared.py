@@ -3,13 +3,27 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def folder(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir; a temporary folder of its own where that is unset."""
+    sc = spark.sparkContext
+    found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not found:
+        found = tempfile.mkdtemp(prefix="ledgerloom-")
+        sc.setCheckpointDir(found)
+    return found
+
+
+def fresh(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that no other call uses."""
+    return f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Compute df once and keep it in the session's spark.checkpoint.dir, cutting its lineage."""
-    sc = df.sparkSession.sparkContext
-    if not (sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerloom-"))
+    """Compute df once and keep it in the shared folder, cutting its lineage."""
+    folder(df.sparkSession)
     return df.checkpoint(eager=True)

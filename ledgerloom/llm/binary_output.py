@@ -37,20 +37,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import context_mixing as cm
-from ledgerloom.llm.common import portions, shared_dir
+from ledgerloom.llm.common import portions, shared_dir, sliced
 from ledgerloom.llm.token_counts import byte_lengths, tokenizer
 
 END_ID = 2
 #: Ids of a segment (a longer document makes a longer one), and ids that are coded in step.
 SEGMENT, TOGETHER = 1 << 18, 1 << 22
-#: Known pre-tokens with their ids that a worker keeps.
-KNOWN = 250_000
+#: Known pre-tokens with their ids that a worker keeps, and as many older ones.
+KNOWN = 120_000
 MAGIC = b"LLT1"
 
 
 #: What the tokenizer's splitting pattern gives over ASCII and the Latin-1 letters, and characters beyond those.
 _L, _W = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff", "\t-\r "
-_SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[0-9]+| ?[^{_W}0-9{_L}]+|[{_W}]+(?![^{_W}])|[{_W}]+")
+_SPLIT = re.compile(f" ?[{_L}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[0-9]+| ?[^{_W}0-9{_L}]+|[{_W}]+(?![^{_W}])|[{_W}]+")
 _BEYOND = re.compile(f"[^\\x00-\\x7f{_L}]")
 
 
@@ -68,6 +68,7 @@ class PieceEncoder:
         self.lengths = byte_lengths(name)
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _encode(self, items: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").astype("<u2").tobytes() for part in portions(items, 4096) for e in self.tok.encode_batch_fast(part, add_special_tokens=False)]
@@ -95,8 +96,8 @@ class PieceEncoder:
             self.known.update(zip(items, ids, strict=True))
 
     def __call__(self, items: list[str]) -> list[bytes]:
-        if len(self.known) > KNOWN:
-            self.known = {}
+        if len(self.known) > KNOWN:  # those in use come back from the older ones
+            self.older, self.known = self.known, {}
         out, whole, new = [b""] * len(items), [], set()
         cut: dict[int, list[str]] = {}
         for i, text in enumerate(items):
@@ -105,7 +106,9 @@ class PieceEncoder:
             else:
                 cut[i] = _SPLIT.findall(text)
                 new |= set(cut[i]).difference(self.known)
-        self._learn(new)
+        back = new & self.older.keys()
+        self.known.update((p, self.older[p]) for p in back)
+        self._learn(new - back)
         for i, pieces in cut.items():
             try:
                 out[i] = b"".join(map(self.known.get, pieces))
@@ -208,7 +211,7 @@ def write_tokens(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
             number, before, ready, waiting = number + len(out), before + int(starts[-1]), [], 0
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["part", "segment", "before", "n_tokens", "image"])
 
-        for b in batches:
+        for b in sliced(batches):
             doc_ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             at = 0
             for some in portions(texts):

@@ -50,6 +50,13 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, so that few of a batch's texts are Python objects at a time."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def append(df: DataFrame, fields: T.StructType, make: Callable[[], Callable[[pa.RecordBatch], list]]) -> DataFrame:
     """df with more columns, computed batch by batch; rows and other columns stay as they are.
 
@@ -62,7 +69,7 @@ def append(df: DataFrame, fields: T.StructType, make: Callable[[], Callable[[pa.
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for batch in batches:
+        for batch in sliced(batches):
             new = [pa.array(v, type=k) for v, k in zip(work(batch), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=schema.names)
 

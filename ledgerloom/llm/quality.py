@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.llm.common import append, cut, table, texts
+from ledgerloom.llm.common import append, cut, sliced, table, texts
 
 #: Weight of the pooled covariance in a class covariance, and of the scaled identity in the sum.
 TO_POOLED, TO_IDENTITY = 0.1, 0.05
@@ -182,7 +182,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFra
     model = fit(with_statistics(docs.select("doc_id", text), text).drop(text), labels)
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             s = model.scores(np.array([statistics(x) for x in texts(b, text)]).reshape(-1, len(NAMES)))
             yield b.filter(pa.array(s >= 0.5))
 

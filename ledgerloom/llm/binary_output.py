@@ -26,7 +26,6 @@ from 65,536 on raise ValueError, and so does a block whose checksum is wrong.
 
 from __future__ import annotations
 
-import re
 import uuid
 import zlib
 from functools import lru_cache
@@ -43,42 +42,86 @@ from ledgerloom.llm.token_counts import byte_lengths, tokenizer
 END_ID = 2
 #: Ids of a segment (a longer document makes a longer one), and ids that are coded in step.
 SEGMENT, TOGETHER = 1 << 18, 1 << 22
-#: Known pre-tokens with their ids that a worker keeps, and as many older ones.
-KNOWN = 120_000
+#: Known pre-tokens with their ids that a worker keeps, and as many older ones; rows and characters that are split at once.
+KNOWN, ROWS, CHARS = 200_000, 2048, 3_000_000
 MAGIC = b"LLT1"
 
 
-#: What the tokenizer's splitting pattern gives over ASCII and the Latin-1 letters, and characters beyond those.
-_L, _W = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff", "\t-\r "
-_SPLIT = re.compile(f" ?[{_L}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[0-9]+| ?[^{_W}0-9{_L}]+|[{_W}]+(?![^{_W}])|[{_W}]+")
-_BEYOND = re.compile(f"[^\\x00-\\x7f{_L}]")
+#: Classes of UTF-8 bytes for the tokenizer's splitting pattern, over ASCII and the Latin-1 letters: letters, digits, other
+#: signs, blanks, what stands between texts (a byte that UTF-8 never has), and the first byte of any other character.
+LETTER, DIGIT, SIGN, BLANK, BETWEEN, BEYOND = range(6)
+_BETWEEN = b"\xff"
+_KINDS = np.array(
+    [
+        BLANK if c in b"\t\n\v\f\r " else DIGIT if 48 <= c <= 57 else LETTER if 65 <= c <= 90 or 97 <= c <= 122 or 128 <= c < 192 or c == 0xC3 else BETWEEN if c == 255 else SIGN if c < 128 else BEYOND
+        for c in range(256)
+    ],
+    dtype=np.uint8,
+)
+
+
+def joined(raw: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The texts with a byte between them (and some behind), and each text's first byte and end."""
+    sizes = np.array([len(x) for x in raw], dtype=np.int64)
+    first = np.cumsum(sizes + 1) - sizes - 1
+    return _BETWEEN.join(raw) + 4 * _BETWEEN, first, first + sizes
+
+
+def beyond(buffer: np.ndarray) -> np.ndarray:
+    """Places of characters other than ASCII and the Latin-1 letters."""
+    lead = np.flatnonzero(buffer == 0xC3)
+    follows = buffer[lead + 1]
+    return np.concatenate([np.flatnonzero(_KINDS[buffer] == BEYOND), lead[(follows == 0x97) | (follows == 0xB7)]])
+
+
+def piece_starts(buffer: np.ndarray) -> np.ndarray:
+    """First bytes of all pre-tokens in joined texts, and of what stands between texts.
+
+    A run of one class is a piece.  The last blank of a run before something else is cut off: a
+    space begins the following piece, another blank is a piece.  An apostrophe that begins a piece takes
+    the letters of a contraction along.
+    """
+    kinds = _KINDS[buffer]
+    start = np.ones(len(buffer), dtype=bool)
+    np.not_equal(kinds[1:], kinds[:-1], out=start[1:])
+    last = np.flatnonzero((kinds[:-1] == BLANK) & (kinds[1:] < BLANK))
+    start[last] = True
+    start[last + 1] = buffer[last] != 32
+    at = np.flatnonzero(buffer == 39)
+    at = at[start[at]]
+    c, d = buffer[at + 1], buffer[at + 2]
+    one = at[np.isin(c, np.frombuffer(b"stmd", np.uint8))]
+    two = at[((c == ord("r")) & (d == ord("e"))) | ((c == ord("v")) & (d == ord("e"))) | ((c == ord("l")) & (d == ord("l")))]
+    start[one + 1], start[two + 1] = False, False
+    start[one + 2], start[two + 3] = True, True
+    return np.flatnonzero(start)
 
 
 class PieceEncoder:
     """Ids of whole texts, encoding each distinct pre-token once.
 
-    Ids depend on the pre-token only.  Texts over ASCII and Latin-1 letters are split here; any
-    other text, and one that holds a special token's string, is encoded whole.  New pre-tokens
-    are encoded many at a time: those of a blank and a word one behind the other (a blank after a
-    word always starts a pre-token), other words on lines of their own, and the rest singly.
+    Ids depend on the pre-token only.  Texts over ASCII and Latin-1 letters are split here, many
+    at a time; any other text, and one that holds a special token's string, is encoded whole.  New
+    pre-tokens are encoded many at a time: those of a blank and a word one behind the other (a
+    blank after a word always starts a pre-token), other words on lines of their own, and the rest singly.
     """
 
     def __init__(self, name: str) -> None:
         self.tok = tokenizer(name)
         self.lengths = byte_lengths(name)
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def _encode(self, items: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").astype("<u2").tobytes() for part in portions(items, 4096) for e in self.tok.encode_batch_fast(part, add_special_tokens=False)]
 
-    def _encode_joined(self, items: list[str], between: str) -> list[bytes]:
+    def _encode_joined(self, items: list[bytes], between: bytes) -> list[bytes]:
         """Ids of items, encoded as one text with a one-token separator (or none) and cut at their last bytes."""
         out: list[bytes] = []
         for part in portions(items, 1 << 16, 1 << 18):
-            ids = np.array(self.tok.encode_batch_fast([between.join(part)], add_special_tokens=False)[0].ids, dtype=np.int64)
-            sizes = np.array([len(p.encode("utf-8")) for p in part])
+            ids = np.array(self.tok.encode_batch_fast([between.join(part).decode()], add_special_tokens=False)[0].ids, dtype=np.int64)
+            sizes = np.array([len(p) for p in part])
             last = np.cumsum(sizes + len(between)) - len(between)
             ends = np.searchsorted(np.cumsum(self.lengths[ids]), last) + 1
             starts = np.concatenate([[0], ends[:-1] + len(between)])
@@ -86,35 +129,48 @@ class PieceEncoder:
             out += [raw[a:b] for a, b in zip((2 * starts).tolist(), (2 * ends).tolist())]
         return out
 
-    def _learn(self, new: set[str]) -> None:
-        kinds: tuple[list[str], list[str], list[str]] = ([], [], [])
+    def _learn(self, new: list[bytes]) -> None:
+        kinds: tuple[list[bytes], list[bytes], list[bytes]] = ([], [], [])
         for p in new:
-            if not p.isascii() and _BEYOND.search(p):
-                continue
-            kinds[0 if p[0] == " " and len(p) > 1 and not p[1].isspace() else 1 if not p[0].isspace() else 2].append(p)
-        for items, ids in ((kinds[0], self._encode_joined(kinds[0], "")), (kinds[1], self._encode_joined(kinds[1], "\n")), (kinds[2], self._encode(kinds[2]))):
+            kinds[0 if p[0] == 32 and not p[1:2].isspace() and len(p) > 1 else 1 if not p[:1].isspace() else 2].append(p)
+        for items, ids in ((kinds[0], self._encode_joined(kinds[0], b"")), (kinds[1], self._encode_joined(kinds[1], b"\n")), (kinds[2], self._encode([p.decode() for p in kinds[2]]))):
             self.known.update(zip(items, ids, strict=True))
 
-    def __call__(self, items: list[str]) -> list[bytes]:
+    def _of_pieces(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of distinct pre-tokens; none for what stands between texts."""
         if len(self.known) > KNOWN:  # those in use come back from the older ones
             self.older, self.known = self.known, {}
-        out, whole, new = [b""] * len(items), [], set()
-        cut: dict[int, list[str]] = {}
-        for i, text in enumerate(items):
-            if any(s in text for s in self.special):
-                whole.append(i)
-            else:
-                cut[i] = _SPLIT.findall(text)
-                new |= set(cut[i]).difference(self.known)
-        back = new & self.older.keys()
-        self.known.update((p, self.older[p]) for p in back)
-        self._learn(new - back)
-        for i, pieces in cut.items():
-            try:
-                out[i] = b"".join(map(self.known.get, pieces))
-            except TypeError:  # a piece has characters beyond those that _SPLIT is for
-                whole.append(i)
-        for i, ids in zip(whole, self._encode([items[i] for i in whole]), strict=True):
+        found = list(map(self.known.get, pieces))
+        missing = {p: i for i, (p, x) in enumerate(zip(pieces, found)) if x is None}
+        older = self.older
+        self.known.update({p: older[p] for p in missing if p in older})
+        self._learn([p for p in missing if p not in older and p[0] != 255])
+        for p, i in missing.items():
+            found[i] = self.known.get(p, b"")  # what stands between texts has no ids
+        return found
+
+    def _split(self, raw: list[bytes]) -> list[bytes]:
+        """Ids of texts over ASCII and Latin-1 letters without special tokens' strings."""
+        data, first, end = joined(raw)
+        buffer = np.frombuffer(data, dtype=np.uint8)
+        starts = piece_starts(buffer)
+        offsets = np.append(starts, len(buffer)).astype(np.int32)
+        pieces = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+        ids = pa.array(self._of_pieces(pieces.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.binary()).take(pieces.indices)
+        upto, out = np.frombuffer(ids.buffers()[1], dtype=np.int32), ids.buffers()[2].to_pybytes()
+        a, b = (upto[np.searchsorted(starts, x)] for x in (first, end))
+        return [out[x:y] for x, y in zip(a.tolist(), b.tolist())]
+
+    def __call__(self, items: list[str]) -> list[bytes]:
+        out = [b""] * len(items)
+        raw = [x.encode("utf-8", "surrogatepass") for x in items]
+        data, first, _ = joined(raw)
+        odd = set((np.searchsorted(first, beyond(np.frombuffer(data, dtype=np.uint8)), side="right") - 1).tolist())
+        odd |= {i for i, x in enumerate(items) if any(s in x for s in self.special)}
+        plain = [i for i in range(len(items)) if i not in odd]
+        for i, ids in zip(plain, self._split([raw[i] for i in plain]), strict=True):
+            out[i] = ids
+        for i, ids in zip(sorted(odd), self._encode([items[i] for i in sorted(odd)]), strict=True):
             out[i] = ids
         return out
 
@@ -211,10 +267,10 @@ def write_tokens(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
             number, before, ready, waiting = number + len(out), before + int(starts[-1]), [], 0
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["part", "segment", "before", "n_tokens", "image"])
 
-        for b in sliced(batches):
+        for b in sliced(batches, ROWS):
             doc_ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             at = 0
-            for some in portions(texts):
+            for some in portions(texts, ROWS, CHARS):
                 for d, x in zip(doc_ids[at : at + len(some)], encoder(some), strict=True):
                     names.append(d)
                     ids.append(x + end)

@@ -78,7 +78,7 @@ class Model:
     def length_of(self, v: np.ndarray) -> np.ndarray:
         """The bit length whose interval holds v."""
         u = ((np.maximum(v - self.base, 0) + 1 << 15) - 1) // self.rest
-        return (self.cum[1:LENGTHS, : self.m] <= u).sum(axis=0)
+        return (self.cum[1:LENGTHS, : self.m] <= u).view(np.int8).sum(axis=0, dtype=np.int8).astype(np.int64)
 
     def update(self, rank: np.ndarray, length: np.ndarray) -> None:
         m = self.m

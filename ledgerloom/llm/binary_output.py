@@ -43,7 +43,7 @@ END_ID = 2
 #: Ids of a segment (a longer document makes a longer one), and ids that are coded in step.
 SEGMENT, TOGETHER = 1 << 18, 1 << 22
 #: Known pre-tokens with their ids that a worker keeps, and as many older ones; rows and characters that are split at once.
-KNOWN, ROWS, CHARS = 200_000, 2048, 3_000_000
+KNOWN, ROWS, CHARS = 150_000, 1024, 1_500_000
 MAGIC = b"LLT1"
 
 

@@ -36,14 +36,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import context_mixing as cm
-from ledgerloom.llm.common import portions, shared_dir, sliced
+from ledgerloom.llm.common import lean, portions, shared_dir, sliced
 from ledgerloom.llm.token_counts import byte_lengths, tokenizer
 
 END_ID = 2
 #: Ids of a segment (a longer document makes a longer one), and ids that are coded in step.
 SEGMENT, TOGETHER = 1 << 18, 1 << 22
 #: Known pre-tokens with their ids that a worker keeps, and as many older ones; rows and characters that are split at once.
-KNOWN, ROWS, CHARS = 150_000, 1024, 1_500_000
+KNOWN, ROWS, CHARS = 100_000, 1024, 1_500_000
 MAGIC = b"LLT1"
 
 
@@ -287,7 +287,7 @@ def write_tokens(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
         if ready:
             yield write()
 
-    ordered.mapInArrow(run, "part int, segment int, before long, n_tokens long, image binary").write.parquet(path)
+    ordered.mapInArrow(lean(run), "part int, segment int, before long, n_tokens long, image binary").write.parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str, with_ids: bool = False, together: int = TOGETHER) -> DataFrame:
@@ -323,7 +323,7 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False, together
                 i = j
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return files.select("part", "before", "image", "n_tokens").mapInArrow(run, schema)
+    return files.select("part", "before", "image", "n_tokens").mapInArrow(lean(run), schema)
 
 
 def token_output(docs: DataFrame) -> DataFrame:

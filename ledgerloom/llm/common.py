@@ -8,6 +8,7 @@ while every other column of a row is handed through untouched.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -50,6 +51,25 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def give_back() -> None:
+    """Gives freed memory of this process back to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(c := ctypes.CDLL(None), "malloc_trim"):
+        c.malloc_trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, but a finished task leaves no freed memory with its Python worker, which stays for other stages' tasks."""
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return task
+
+
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """The same rows in smaller batches, so that few of a batch's texts are Python objects at a time."""
     for batch in batches:
@@ -73,7 +93,7 @@ def append(df: DataFrame, fields: T.StructType, make: Callable[[], Callable[[pa.
             new = [pa.array(v, type=k) for v, k in zip(work(batch), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=schema.names)
 
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(lean(run), schema)
 
 
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import stored, table
+from ledgerloom.llm.common import lean, stored, table
 
 STRONG, WEAK = 32, 128
 #: A word ends a piece if its checksum has these low bits set: every eighth on average.
@@ -160,7 +160,7 @@ def edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
         if last is not None:
             yield _batch([(last[0], None, None, None, None, None, None, part, None, last[1])])
 
-    walked = stored(ordered.mapInArrow(walk, COLUMNS + ", part int, head string, tail string"))
+    walked = stored(ordered.mapInArrow(lean(walk), COLUMNS + ", part int, head string, tail string"))
     # two rows a partition: each tail meets the head of the next partition that has rows, the last one the first
     ends = walked.where("part is not null").groupBy("part").agg(F.max("head").alias("head"), F.max("tail").alias("tail"), F.max("doc_id").alias("doc_id"))
     in_order = Window.orderBy("part")
@@ -172,7 +172,7 @@ def edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
             if rows:
                 yield _batch(rows).select(list(_KIND)[:7])
 
-    last_ones = met.select("doc_id", "tail", "next").mapInArrow(meet, COLUMNS)
+    last_ones = met.select("doc_id", "tail", "next").mapInArrow(lean(meet), COLUMNS)
     digits = {c: F.lower(F.hex(c)) for c in ("fingerprint", "edited_fingerprint")}
     return walked.where("part is null").select(*last_ones.columns).unionByName(last_ones).withColumns(digits)
 

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.llm.common import append, cut, table, texts
+from ledgerloom.llm.common import append, cut, lean, table, texts
 
 BUCKETS, TEMPER = 16_384, 0.3
 #: Pseudo-counts: of a trigram, of the overall prior in a domain's, of a domain's in a host's, of an evidence value.
@@ -78,7 +78,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array(list(sums.values()), pa.list_(pa.int64()))], names=["lang", "n"])
 
-    each = rows.mapInArrow(count, "lang string, n array<long>").select("lang", F.posexplode("n").alias("at", "n")).where("n > 0")
+    each = rows.mapInArrow(lean(count), "lang string, n array<long>").select("lang", F.posexplode("n").alias("at", "n")).where("n > 0")
     found = each.groupBy("lang", "at").agg(F.sum("n").alias("n")).toPandas()
     languages = tuple(sorted(found["lang"].unique()))
     n = np.zeros((BUCKETS, len(languages)))

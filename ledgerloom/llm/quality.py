@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.llm.common import append, cut, sliced, table, texts
+from ledgerloom.llm.common import append, cut, lean, sliced, table, texts
 
 #: Weight of the pooled covariance in a class covariance, and of the scaled identity in the sum.
 TO_POOLED, TO_IDENTITY = 0.1, 0.05
@@ -149,7 +149,7 @@ def fit(stats: DataFrame, labels: DataFrame, to_pooled: float = TO_POOLED, to_id
                 total[k] += np.concatenate([[len(y)], y.sum(axis=0), (y.T @ y).ravel()])
         yield pa.RecordBatch.from_arrays([pa.array([0, 1], pa.int32()), pa.array(list(total), pa.list_(pa.float64()))], names=["quality", "m"])
 
-    parts = rows.mapInArrow(moments, "quality int, m array<double>").select("quality", F.posexplode("m").alias("at", "v"))
+    parts = rows.mapInArrow(lean(moments), "quality int, m array<double>").select("quality", F.posexplode("m").alias("at", "v"))
     total = np.zeros((2, 1 + d + d * d))
     for r in parts.groupBy("quality", "at").agg(F.sum("v").alias("v")).collect():
         total[r.quality, r["at"]] = r.v
@@ -186,7 +186,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFra
             s = model.scores(np.array([statistics(x) for x in texts(b, text)]).reshape(-1, len(NAMES)))
             yield b.filter(pa.array(s >= 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

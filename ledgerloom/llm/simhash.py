@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.llm.common import append, cut, texts
+from ledgerloom.llm.common import append, cut, lean, texts
 
 SHINGLE, MOST_BITS = 4, 4
 #: Rows of an anchor's bucket that one task takes whole; distinct fingerprints from which pairs of segments are used.
@@ -164,7 +164,7 @@ def linked(nodes: DataFrame, most_bits: int = MOST_BITS, bucket: int = BUCKET, p
                 row, key, home = placements(fps[i : i + 4096], together, most_bits)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fps[i : i + 4096][row]), pa.array(home)], names=["bucket", "fp", "home"])
 
-    placed = nodes.select("fp").mapInArrow(place, "bucket long, fp long, home boolean")
+    placed = nodes.select("fp").mapInArrow(lean(place), "bucket long, fp long, home boolean")
     # counts of the buckets over the limit only: the others need no splitting
     large = placed.groupBy("bucket").count().where(F.col("count") > bucket).select("bucket", F.ceil(F.col("count") / bucket).cast("int").alias("n"))
     if together == 1:
@@ -206,7 +206,7 @@ def linked(nodes: DataFrame, most_bits: int = MOST_BITS, bucket: int = BUCKET, p
             yield batch_of(edges)
 
     cells = as_partner.union(as_home).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    return cells.mapInArrow(compare, "a long, b long").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return cells.mapInArrow(lean(compare), "a long, b long").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

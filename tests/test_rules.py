@@ -139,6 +139,38 @@ def test_groups_against_brute_force(spark):
     assert {(x.anchor, tuple(sorted(x.members))) for x in sets} == want
 
 
+@pytest.mark.parametrize("seed", [9, 10])
+def test_groups_of_negative_and_zero_anchors_against_brute_force(spark, seed):
+    """Credit notes and reversals: the feasibility guard holds for positive anchors only."""
+    from itertools import combinations
+
+    r, d = random.Random(seed), date(2024, 1, 1)
+    g = side(spark, [(f"G{i}", "acme", float(x), d, "X") for i, x in enumerate([-50, -50, -60, 50, *(r.randint(-90, 40) for _ in range(5))])])
+    s = side(spark, [(f"S{i}", "acme", float(x), d, "X") for i, x in enumerate([-100, 0, -40, 30, r.randint(-160, -10)])])
+    sets = probabilistic.group_candidates(s, g, C.MatchingConfig()).collect()
+    amounts = {x.id: x.amount for x in g.collect()}
+    want = set()
+    for x in s.collect():
+        if x.amount > 0 and sum(amounts.values()) < x.amount - max(0.1 * max(abs(sum(amounts.values())), x.amount), 5):
+            continue
+        for n in range(2, 6):
+            for c in combinations(sorted(amounts), n):
+                total = sum(amounts[i] for i in c)
+                gap, base = abs(total - x.amount), max(abs(total), abs(x.amount), 0.01)
+                if gap <= max(0.1 * base, 5) and 0.45 + 0.4 * max(0.0, 1 - gap / base) + 0.15 >= 0.8:
+                    want.add((x.id, c))
+    assert {(x.anchor, tuple(sorted(x.members))) for x in sets} == want
+    assert {a for a, _ in want} >= {"S0", "S1"}
+
+
+def test_credit_note_is_matched_beside_a_third_one(spark):
+    d = date(2024, 1, 1)
+    g = side(spark, [("G1", "acme", -50.0, d, "X"), ("G2", "acme", -50.0, d, "X"), ("G3", "acme", -60.0, d, "X")])
+    s = side(spark, [("S1", "acme", -100.0, d, "X")])
+    assert [(sorted(x.a), x.b) for x in probabilistic.match(g, s)[0].collect()] == [(["G1", "G2"], ["S1"])]
+    assert [(x.a, sorted(x.b)) for x in probabilistic.match(s, g)[0].collect()] == [(["S1"], ["G1", "G2"])]
+
+
 def test_config_checks():
     with pytest.raises(ValueError):
         C.MatchingConfig(weights={"vendor": 1.0, "amount": 0.5})

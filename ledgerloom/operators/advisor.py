@@ -17,7 +17,9 @@ from ledgerloom.config import ADVISED_MATCH, ADVISED_ROWS
 from ledgerloom.functions.scores import clamped, grouping_type
 from ledgerloom.functions.text import with_similarity
 from ledgerloom.operators.greedy import greedy_groups
+from ledgerloom.sources.shared import cut
 
+VENDOR_ANSWER = "matched_vendor string, confidence double"
 ANSWER = "matches array<struct<gl_ids array<string>, sub_ids array<string>, confidence double, reasoning string>>"
 Advisor = Callable[[str], str]
 
@@ -62,10 +64,41 @@ def answers(groups: DataFrame, advisor: Advisor = silent) -> DataFrame:
     return groups.withColumn("answer", ask("payload"))
 
 
+def bare(answer: Column) -> Column:
+    """An answer without a code fence around its JSON."""
+    return F.regexp_replace(F.trim(answer), r"(?s)^```(?:json)?\s*(.*?)\s*```$", "$1")
+
+
 def parsed(answer: Column) -> Column:
     """An answer's matches; a code fence around the JSON is taken off."""
-    bare = F.regexp_replace(F.trim(answer), r"(?s)^```(?:json)?\s*(.*?)\s*```$", "$1")
-    return F.from_json(bare, ANSWER)["matches"]
+    return F.from_json(bare(answer), ANSWER)["matches"]
+
+
+def vendor_payloads(left: DataFrame, sub: DataFrame) -> DataFrame:
+    """A row for each vendor left over, with all of the subledger's vendors to choose from as JSON.
+
+    Every payload holds the whole list, as one call decides a vendor.
+    """
+    names = sub.agg(F.transform(F.sort_array(F.collect_list(F.struct("o", "original"))), lambda x: x["original"]).alias("candidates"))
+    return left.crossJoin(names).select("original", F.to_json(F.struct(F.col("original").alias("vendor"), "candidates")).alias("payload"))  # names is one row
+
+
+def vendor_advice(left: DataFrame, sub: DataFrame, advisor: Advisor) -> DataFrame:
+    """original, matched_to, confidence: the advisor's answer (JSON text with matched_vendor and confidence) on each vendor."""
+    said = answers(vendor_payloads(left, sub), advisor).select("original", F.from_json(bare(F.col("answer")), VENDOR_ANSWER).alias("x"))
+    return said.select("original", F.col("x.matched_vendor").alias("matched_to"), F.col("x.confidence").alias("confidence"))
+
+
+def advised_matches(gl: DataFrame, sub: DataFrame, advisor: Advisor = silent) -> DataFrame:
+    """The whole layer on two residual pools: pending matches with their features, each group asked once.
+
+    Only rows that a payload showed can be in a match.
+    """
+    groups = cut(shared_groups(gl, sub))
+    shown = [cut(first_rows(df, groups).select(*df.columns)) for df in (gl, sub)]
+    answered = cut(answers(payloads(*shown), advisor).select("entity", "vn", "answer"))
+    text = F.concat_ws("|", F.lit("ai"), F.array_join("a", ","), F.array_join("b", ","))
+    return cut(suggestions(answered, *shown).withColumns({"match_id": F.sha2(text, 256), "status": F.lit("pending"), "overridden": F.lit(False)}))
 
 
 def suggestions(answered: DataFrame, gl: DataFrame, sub: DataFrame) -> DataFrame:

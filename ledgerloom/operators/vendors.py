@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,10 +53,11 @@ def _overlap(a: str, b: str) -> Column:
     return sum((F.least(F.col(a)[i], F.col(b)[i]) for i in range(1, 37)), F.least(F.col(a)[0], F.col(b)[0]))
 
 
-def vendor_map(gl: DataFrame, sub: DataFrame, least: float = FUZZY_VENDOR, advised: DataFrame | None = None) -> DataFrame:
+def vendor_map(gl: DataFrame, sub: DataFrame, least: float = FUZZY_VENDOR, advised: DataFrame | Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
     """A row for each GL vendor: how it was matched and its key; unmatched ones keep their own form.
 
-    advised (original, matched_to, confidence) is the optional advisor's answer for what both tiers left over.
+    advised (original, matched_to, confidence) is the optional advisor's answer for what both tiers left over,
+    or a function that gives it from the vendors left over and the subledger's.
     """
     one = cut(tier_1(gl, sub))
     rest = cut(gl.join(one.select("original"), "original", "left_anti"))
@@ -63,7 +66,7 @@ def vendor_map(gl: DataFrame, sub: DataFrame, least: float = FUZZY_VENDOR, advis
     out = one.select("original", F.col("norm").alias("key"), "matched_to", "match_source", "similarity_score").unionByName(two.select("original", F.col("matched_norm").alias("key"), "matched_to", "match_source", "similarity_score"))
     last = left.select("original", "norm", F.lit(None).cast("string").alias("matched_to"), F.lit(0.0).alias("similarity_score"))
     if advised is not None:
-        last = tier_3(left, sub, advised)
+        last = tier_3(left, sub, advised(left, sub) if callable(advised) else advised)
     return out.unionByName(last.select("original", F.col("norm").alias("key"), "matched_to", F.lit("ai").alias("match_source"), "similarity_score"))
 
 

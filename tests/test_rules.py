@@ -268,6 +268,67 @@ def test_session_and_whole_run(spark):
     assert successor(STATES[-1]) is None
 
 
+def p4(spark, last="Delta Vendor"):
+    """Fixture P4 (FIXTURES.md section 2)."""
+    cols = "entity string, vendor_name string, transaction_date date, amount double, currency string, ord int"
+    g = [("GL001", "US_CORP", "Vendor A LLC", date(2024, 1, 15), 100.0), ("GL002", "US_CORP", "Vendor B", date(2024, 1, 15), 250.5), ("GL003", "PROB_CORP", "Alpha Supplies Inc", date(2024, 3, 10), 150.0), ("GL004", "AI_ENTITY", last, date(2024, 5, 1), 1000.0)]
+    s = [("SUB001", "US_CORP", "Vendor A", date(2024, 1, 15), 100.0), ("SUB002", "US_CORP", "Vendor B", date(2024, 2, 20), 250.5), ("SUB003", "PROB_CORP", "Alpha Supplies", date(2024, 3, 10), 151.5), ("SUB004", "AI_ENTITY", "Delta Vendor", date(2024, 5, 1), 1400.0)]
+    rows = lambda x: [(*r, "USD", i) for i, r in enumerate(x)]
+    return spark.createDataFrame(rows(g), "gl_id string, " + cols), spark.createDataFrame(rows(s), "subledger_id string, " + cols)
+
+
+def stub():
+    def answer(payload):
+        import json
+
+        if json.loads(payload)["entity"] != "AI_ENTITY":
+            return '{"matches": []}'
+        return json.dumps({"matches": [{"gl_ids": ["GL004"], "sub_ids": ["SUB004"], "confidence": 0.9, "reasoning": "r"}, {"gl_ids": ["GL001"], "sub_ids": ["SUB001"], "confidence": 0.9, "reasoning": "matched before"}]})
+
+    return answer
+
+
+def reject_all(matches):
+    return matches.select("match_id", F.lit("reject").alias("decision"), F.lit(1).alias("ord"))
+
+
+def test_whole_run_with_advice(spark):
+    run = reconcile(spark, *p4(spark), advise=stub())
+    final = run.frames["final"].collect()
+    assert sorted((r.layer, *r.a, *r.b) for r in final) == [("ai", "GL004", "SUB004"), ("deterministic", "GL001", "SUB001"), ("deterministic", "GL002", "SUB002"), ("probabilistic", "GL003", "SUB003")]
+    assert [r.advised for r in final if r.layer == "ai"] == [0.9] and run.frames["ai"].first().materiality == 1000.0
+    n = run.frames["summary"].first()
+    assert (n.deterministic, n.probabilistic, n.ai, n.total, n.rejected, n.residual_gl, n.residual_sub) == (2, 1, 1, 4, 0, 0, 0)
+    assert run.frames["residual_gl"].count() == 0 and run.frames["residual_sub"].count() == 0
+
+
+def test_whole_run_with_all_rejected(spark):
+    n = reconcile(spark, *p4(spark), decide=reject_all, advise=stub(), decide_advised=reject_all).frames["summary"].first()
+    assert (n.deterministic, n.probabilistic, n.ai, n.total, n.rejected, n.residual_gl, n.residual_sub) == (2, 0, 0, 2, 2, 2, 2)
+
+
+def test_whole_run_with_advised_vendor(spark):
+    def which(payload):
+        import json
+
+        asked = json.loads(payload)
+        assert asked["candidates"] == ["Vendor A", "Vendor B", "Alpha Supplies", "Delta Vendor"]
+        return json.dumps({"matched_vendor": "Delta Vendor" if asked["vendor"] == "Triangle" else "Unknown", "confidence": 0.75})
+
+    run = reconcile(spark, *p4(spark, "Triangle"), advise=stub(), advise_vendor=which)
+    mapped = {r.original: (r.matched_to, r.match_source, r.similarity_score) for r in run.frames["vendor_map"].collect()}
+    assert mapped["Triangle"] == ("Delta Vendor", "ai", 0.75)
+    assert sorted(r.a[0] for r in run.frames["final"].collect()) == ["GL001", "GL002", "GL003", "GL004"]
+
+
+def test_only_rows_shown_to_the_advisor_can_match(spark):
+    d = date(2024, 5, 1)
+    g = side(spark, [(f"G{i}", "delta", 1000.0, d, "E") for i in range(25)])
+    s = side(spark, [("S1", "delta", 5.0, d, "E"), ("S2", "delta", 6.0, d, "E")])
+    said = '{"matches": [{"gl_ids": ["G20"], "sub_ids": ["S1"], "confidence": 0.9, "reasoning": "r"}, {"gl_ids": ["G19"], "sub_ids": ["S2"], "confidence": 0.8, "reasoning": "r"}]}'
+    assert [(r.a, r.b, r.status) for r in advisor.advised_matches(g, s, lambda _: said).collect()] == [(["G19"], ["S2"], "pending")]
+
+
 def test_intake(spark, tmp_path):
     (tmp_path / "GL.csv").write_text("gl_id,entity,account_code,vendor_name,transaction_date,amount,currency,exception_flag\nG1,E,A,V,2024-01-01,NA,USD,Y\nG2,E,A,V,2024-01-02,12.5,USD,false\n")
     (tmp_path / "Subledger.csv").write_text("subledger_id,entity,vendor_name,transaction_date,amount,currency,reference_id\nS1,E,V,2024-01-01,x,USD,\n")

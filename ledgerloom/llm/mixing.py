@@ -35,7 +35,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import cut, table
+from ledgerloom.llm.common import cut, stored, table
 
 WEIGHTS, MOST_COPIES = (1, 2, 3), 3
 BLOCK_WORDS, SEED = 65_536, "mix"
@@ -139,10 +139,12 @@ def _with_plan(docs: DataFrame, sources: DataFrame, doc_id: str, source: str, se
     return keyed.withColumn("__block", block_of(F.col("__key"), F.col("__blocks"))).withColumn("__n", drawn_copies(F.col("__block"), F.col("__key")))
 
 
-def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple = WEIGHTS, most: int = MOST_COPIES, block_words: int = BLOCK_WORDS, splits: int | None = None, seed: str = SEED) -> DataFrame:
-    """The mixed documents, each as often as it is drawn, with its column shard; shuffled within each shard."""
-    sized = cut(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size_of(text).alias("size")))
-    sources = plan(sized, weights, most, block_words, seed)
+def _sized(docs: DataFrame, doc_id: str, text: str, source: str) -> DataFrame:
+    return cut(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size_of(text).alias("size")))
+
+
+def _mixed(docs: DataFrame, sources: DataFrame, doc_id: str, source: str, splits: int | None, seed: str) -> DataFrame:
+    """mix() by the plan of its sources."""
     rows = _with_plan(docs, sources, doc_id, source, seed).where("__n > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n"))))
     many = sources.agg(F.coalesce(F.sum(F.col("blocks") * (F.col("copies") + 1)), F.lit(0))).first()[0]
     if splits is None:
@@ -153,12 +155,28 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     return rows.repartition("__shard").sortWithinPartitions("__shard", order).select(*[F.col(c) for c in docs.columns if c != "shard"], F.col("__shard").alias("shard"))
 
 
-def amounts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
-    """doc_id, size, source_size, target and taken (words the mix takes, repeats counted) of each document."""
-    sized = cut(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size_of(text).alias("size")))
-    sources = plan(sized, **options)
-    seed = options.get("seed", SEED)
-    return _with_plan(sized, sources, "doc_id", "source", seed).select("doc_id", "size", F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("size") * F.col("__n")).alias("taken"))
+def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple = WEIGHTS, most: int = MOST_COPIES, block_words: int = BLOCK_WORDS, splits: int | None = None, seed: str = SEED) -> DataFrame:
+    """The mixed documents, each as often as it is drawn, with its column shard; shuffled within each shard."""
+    sources = plan(_sized(docs, doc_id, text, source), weights, most, block_words, seed)
+    return _mixed(docs, sources, doc_id, source, splits, seed)
+
+
+def amounts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple = WEIGHTS, most: int = MOST_COPIES, block_words: int = BLOCK_WORDS, splits: int | None = None, seed: str = SEED) -> DataFrame:
+    """doc_id, size, source_size, target and taken (words the mix takes, repeats counted) of each document.
+
+    The mix is made with its texts and stored, and taken is counted in its rows.  Rows with equal doc_id, source
+    and size are drawn alike, so each has an equal part of what the mix holds of them.
+    """
+    named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(source).alias("source"))
+    sized = _sized(named, "doc_id", "text", "source")
+    sources = plan(sized, weights, most, block_words, seed)
+    mixed = stored(_mixed(named, sources, "doc_id", "source", splits, seed))
+    there = sized.withColumns({"__rows": F.lit(1).cast("long"), "__words": F.lit(0).cast("long")})
+    drawn = mixed.select("doc_id", "source", size_of().alias("size")).withColumns({"__rows": F.lit(0).cast("long"), "__words": F.col("size")})
+    each = there.unionByName(drawn).groupBy("doc_id", "source", "size").agg(F.sum("__rows").alias("__rows"), F.sum("__words").alias("__words"))
+    side = _small(sources.select(F.col("source").alias("__source"), "source_size", "target"), sources.count())
+    each = each.join(side, F.col("source").eqNullSafe(F.col("__source"))).withColumn("taken", F.expr("__words div __rows"))
+    return each.withColumn("__row", F.explode(F.sequence(F.lit(1), F.col("__rows")))).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

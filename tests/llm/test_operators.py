@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -143,6 +144,28 @@ def test_mixing(spark, docs, empty):
     assert mixing.amounts(empty).count() == 0 and mixing.mix(empty).count() == 0
 
 
+def test_amounts_are_counted_in_the_mix(spark, monkeypatch):
+    r = random.Random(5)
+    rows = [(i if i % 13 else None, "w " * r.randint(0, 30), f"s{i % 5}" if i % 11 else None) for i in range(300)]
+    df = spark.createDataFrame(rows + rows[:9], DOCS)
+    sized = df.withColumn("size", mixing.size_of())
+    key = lambda x: (x.doc_id, x.source, x.size)
+
+    def check():
+        n, words = Counter(map(key, sized.collect())), Counter()
+        for x in mixing.mix(df, block_words=100, splits=3).withColumn("size", mixing.size_of()).collect():
+            words[key(x)] += x.size
+        want = Counter((k[0], k[2], words[k] // n[k]) for k in n for _ in range(n[k]))
+        got = Counter((x.doc_id, x.size, x.taken) for x in mixing.amounts(df, block_words=100, splits=3).collect())
+        assert got == want and sum(words.values())
+        return max(t / max(1, s) for _, s, t in got)
+
+    assert check() > 1
+    whole = mixing.units
+    monkeypatch.setattr(mixing, "units", lambda *a: whole(*a).where("copy = 1"))  # a tree that loses draws shows in the amounts
+    assert check() == 1
+
+
 # --- 5
 
 def test_quality(spark, data, docs, empty):

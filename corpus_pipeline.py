@@ -36,12 +36,15 @@ def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix draws it, shuffled within the mix's shards."""
+    """Each document as often as the mix draws it.
+
+    The shuffle within the mix's shards does not outlast this stage, as tokens() orders by doc_id.
+    """
     return mix(docs).drop("shard")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix as token-id files, and what they hold of each document."""
+    """The mix as token-id files in ascending doc_id order (copies lie together), and what they hold of each document."""
     return token_output(docs)
 
 

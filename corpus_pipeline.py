@@ -56,7 +56,7 @@ STAGES = [
     ("token_output", tokens),
 ]
 
-#: None: the classifier, XXH64 fingerprints and the tokenizer can't be expressed in SQL; tests/llm compare with brute force.
+#: None: the classifier, XXH64 fingerprints and the tokenizer can't be expressed in SQL; tests/llm check each stage's columns and counts, and compare single operators (not the classifier) with brute force.
 ORACLE_SQL = None
 
 

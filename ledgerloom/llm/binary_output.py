@@ -4,22 +4,23 @@ Documents are range-partitioned and sorted by doc_id, so file order is document
 order.  In each partition the ids of whole documents are gathered into segments of
 at least SEGMENT ids.  A segment is one self-contained binary image (layout below)
 and one row of a Parquet table: Spark's commit protocol makes the files survive
-lost executors and repeated tasks, and they can lie in any store Spark reads.  A
-segment's ids are coded in independently reset blocks (context_mixing), each with a
-CRC-32 of its ids, which reading verifies.
+lost executors and repeated tasks, and they can lie in any store Spark reads (so a
+reader opens the Parquet container first; the image inside is the file format).  A
+segment's ids are coded in blocks (context_mixing) that start independently from the
+segment's prior, each with a CRC-32 of its ids, which reading verifies.
 
-Image, little-endian: 4 bytes "LLT1"; 5 unsigned 32-bit numbers (documents, ids,
-blocks, distinct ids, CRC-32 of the tables that follow); tables: doc_ids (signed 64),
-whether each is null (unsigned 8), ids of each document (unsigned 32), distinct ids by
-falling frequency (unsigned 16), bytes and CRC-32 of each block (unsigned 32 each);
-then the blocks' codes.
+Image, little-endian: 4 bytes "LLT2"; 5 unsigned 32-bit numbers (documents, ids,
+blocks, bytes of the tables that follow and their CRC-32); the tables, compressed by
+zlib: doc_ids (signed 64), whether each is null (unsigned 8), ids of each document
+(unsigned 32), bytes and CRC-32 of each block (unsigned 32 each), the prior
+(context_mixing.Prior.dump); then the blocks' codes.
 
 Beside the image a row holds its partition, its number in it, its count of ids and
 the count of ids before it in the partition.  A document's start is that plus the
 total of the partitions before, one number a partition.
 
 Null texts count as empty: only the end id.  Null doc_ids come first; rows with the
-same doc_id follow each other by text.  Repeated rows are written repeatedly.  Other
+same doc_id follow each other by their text's hash.  Repeated rows are written repeatedly.  Other
 columns are left out.  An empty table gives no segments and reads as no rows.  Ids
 from 65,536 on raise ValueError, and so does a block whose checksum is wrong.
 """
@@ -32,19 +33,20 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import context_mixing as cm
 from ledgerloom.llm.common import lean, portions, shared_dir, sliced
-from ledgerloom.llm.token_counts import byte_lengths, tokenizer
+from ledgerloom.llm.token_counts import tokenizer
 
 END_ID = 2
 #: Ids of a segment (a longer document makes a longer one), and ids that are coded in step.
-SEGMENT, TOGETHER = 1 << 18, 1 << 22
-#: Known pre-tokens with their ids that a worker keeps, and as many older ones; rows and characters that are split at once.
-KNOWN, ROWS, CHARS = 100_000, 1024, 1_500_000
-MAGIC = b"LLT1"
+SEGMENT, TOGETHER = 1 << 20, 1 << 22
+#: Known pre-tokens with their ids that a worker keeps; rows and characters that are split at once.
+KNOWN, ROWS, CHARS = 1_000_000, 2048, 4_000_000
+MAGIC = b"LLT2"
 
 
 #: Classes of UTF-8 bytes for the tokenizer's splitting pattern, over ASCII and the Latin-1 letters: letters, digits, other
@@ -97,66 +99,71 @@ def piece_starts(buffer: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start)
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: printable Latin-1 as it is, the rest from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [c for c in range(256) if c not in plain]
+    return {c: chr(c) for c in plain} | {c: chr(256 + k) for k, c in enumerate(rest)}
+
+
 class PieceEncoder:
     """Ids of whole texts, encoding each distinct pre-token once.
 
     Ids depend on the pre-token only.  Texts over ASCII and Latin-1 letters are split here, many
-    at a time; any other text, and one that holds a special token's string, is encoded whole.  New
-    pre-tokens are encoded many at a time: those of a blank and a word one behind the other (a
-    blank after a word always starts a pre-token), other words on lines of their own, and the rest singly.
+    at a time; any other text, and one that holds a special token's string, is encoded whole.  Pre-tokens
+    that aren't known yet go to the tokenizer's model one by one.  Known ones and their ids are
+    two Arrow columns; beyond KNOWN the half that was used longest ago is forgotten.
     """
 
     def __init__(self, name: str) -> None:
         self.tok = tokenizer(name)
-        self.lengths = byte_lengths(name)
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.known: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
+        self.letters = _byte_letters()
+        self.known, self.ids = pa.array([], pa.binary()), pa.array([], pa.binary())
+        self.used, self.turn = np.zeros(0, dtype=np.int64), 0
 
     def _encode(self, items: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").astype("<u2").tobytes() for part in portions(items, 4096) for e in self.tok.encode_batch_fast(part, add_special_tokens=False)]
 
-    def _encode_joined(self, items: list[bytes], between: bytes) -> list[bytes]:
-        """Ids of items, encoded as one text with a one-token separator (or none) and cut at their last bytes."""
-        out: list[bytes] = []
-        for part in portions(items, 1 << 16, 1 << 18):
-            ids = np.array(self.tok.encode_batch_fast([between.join(part).decode()], add_special_tokens=False)[0].ids, dtype=np.int64)
-            sizes = np.array([len(p) for p in part])
-            last = np.cumsum(sizes + len(between)) - len(between)
-            ends = np.searchsorted(np.cumsum(self.lengths[ids]), last) + 1
-            starts = np.concatenate([[0], ends[:-1] + len(between)])
-            raw = ids.astype("<u2").tobytes()
-            out += [raw[a:b] for a, b in zip((2 * starts).tolist(), (2 * ends).tolist())]
-        return out
-
-    def _learn(self, new: list[bytes]) -> None:
-        kinds: tuple[list[bytes], list[bytes], list[bytes]] = ([], [], [])
-        for p in new:
-            kinds[0 if p[0] == 32 and not p[1:2].isspace() and len(p) > 1 else 1 if not p[:1].isspace() else 2].append(p)
-        for items, ids in ((kinds[0], self._encode_joined(kinds[0], b"")), (kinds[1], self._encode_joined(kinds[1], b"\n")), (kinds[2], self._encode([p.decode() for p in kinds[2]]))):
-            self.known.update(zip(items, ids, strict=True))
-
-    def _of_pieces(self, pieces: list[bytes]) -> list[bytes]:
-        """Ids of distinct pre-tokens; none for what stands between texts."""
-        if len(self.known) > KNOWN:  # those in use come back from the older ones
-            self.older, self.known = self.known, {}
-        found = list(map(self.known.get, pieces))
-        missing = {p: i for i, (p, x) in enumerate(zip(pieces, found)) if x is None}
-        older = self.older
-        self.known.update({p: older[p] for p in missing if p in older})
-        self._learn([p for p in missing if p not in older and p[0] != 255])
-        for p, i in missing.items():
-            found[i] = self.known.get(p, b"")  # what stands between texts has no ids
-        return found
+    def _learn(self, new: pa.Array) -> pa.Array:
+        """Ids of new pre-tokens; none for what stands between texts."""
+        tokenize, letters = self.tok.model.tokenize, self.letters
+        flat: list[int] = []
+        ends = [0]
+        for p in new.to_pylist():
+            if p[0] != 255:
+                flat += [t.id for t in tokenize(p.decode("latin-1").translate(letters))]
+            ends.append(2 * len(flat))
+        return pa.Array.from_buffers(pa.binary(), len(new), [None, pa.py_buffer(np.array(ends, dtype=np.int32)), pa.py_buffer(np.array(flat, dtype="<u4").astype("<u2"))])
+
+    def _of_pieces(self, pieces: pa.Array) -> pa.Array:
+        """Ids of distinct pre-tokens."""
+        if len(self.known) > KNOWN:
+            stay = np.sort(np.argsort(self.used, kind="stable")[len(self.used) // 2 :])
+            self.known, self.ids, self.used = self.known.take(pa.array(stay)), self.ids.take(pa.array(stay)), self.used[stay]
+        at = pc.index_in(pieces, value_set=self.known)
+        if at.null_count:
+            new = pieces.filter(at.is_null())
+            places = np.asarray(at.fill_null(-1)).astype(np.int64)
+            places[places < 0] = len(self.known) + np.arange(len(new))
+            self.known, self.ids = pa.concat_arrays([self.known, new]), pa.concat_arrays([self.ids, self._learn(new)])
+            self.used = np.append(self.used, np.zeros(len(new), dtype=np.int64))
+        else:
+            places = np.asarray(at).astype(np.int64)
+        self.turn += 1
+        self.used[places] = self.turn
+        return self.ids.take(pa.array(places))
 
     def _split(self, raw: list[bytes]) -> list[bytes]:
         """Ids of texts over ASCII and Latin-1 letters without special tokens' strings."""
+        if not raw:
+            return []
         data, first, end = joined(raw)
         buffer = np.frombuffer(data, dtype=np.uint8)
         starts = piece_starts(buffer)
         offsets = np.append(starts, len(buffer)).astype(np.int32)
         pieces = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
-        ids = pa.array(self._of_pieces(pieces.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.binary()).take(pieces.indices)
+        ids = self._of_pieces(pieces.dictionary).take(pieces.indices)
         upto, out = np.frombuffer(ids.buffers()[1], dtype=np.int32), ids.buffers()[2].to_pybytes()
         a, b = (upto[np.searchsorted(starts, x)] for x in (first, end))
         return [out[x:y] for x, y in zip(a.tolist(), b.tolist())]
@@ -181,28 +188,21 @@ def piece_encoder(name: str) -> PieceEncoder:
     return PieceEncoder(name)
 
 
-def pack(doc_ids: list[int | None], ids: list[bytes]) -> tuple[list[np.ndarray], dict]:
-    """A segment's blocks of ranks, and what image() needs besides their codes."""
+def pack(doc_ids: list[int | None], ids: list[bytes]) -> dict:
+    """What image() needs of a segment besides its codes, and its ids."""
     flat = np.frombuffer(b"".join(ids), dtype="<u2")
-    counts = np.bincount(flat, minlength=1)
-    order = np.argsort(-counts, kind="stable")[: np.count_nonzero(counts)]
-    rank = np.zeros(len(counts), dtype=np.uint16)
-    rank[order] = np.arange(len(order))
-    parts = [flat[i : i + cm.BLOCK] for i in range(0, len(flat), cm.BLOCK)]
-    meta = {
+    return {
+        "flat": flat,
         "ids": np.array([0 if d is None else d for d in doc_ids], dtype="<i8"),
         "null": np.array([d is None for d in doc_ids], dtype=np.uint8),
         "sizes": np.array([len(x) // 2 for x in ids], dtype="<u4"),
-        "table": order.astype("<u2"),
-        "sums": np.array([zlib.crc32(p.astype("<u4").tobytes()) for p in parts], dtype="<u4"),
-        "n": len(flat),
+        "sums": np.array([zlib.crc32(flat[i : i + cm.BLOCK].astype("<u4").tobytes()) for i in range(0, len(flat), cm.BLOCK)], dtype="<u4"),
     }
-    return [rank[p] for p in parts], meta
 
 
-def image(meta: dict, codes: list[bytes]) -> bytes:
-    tables = b"".join(x.tobytes() for x in (meta["ids"], meta["null"], meta["sizes"], meta["table"], np.array([len(c) for c in codes], dtype="<u4"), meta["sums"]))
-    head = np.array([len(meta["ids"]), meta["n"], len(codes), len(meta["table"]), zlib.crc32(tables)], dtype="<u4")
+def image(meta: dict, prior: bytes, codes: list[bytes]) -> bytes:
+    tables = zlib.compress(b"".join([*(x.tobytes() for x in (meta["ids"], meta["null"], meta["sizes"], np.array([len(c) for c in codes], dtype="<u4"), meta["sums"])), prior]))
+    head = np.array([len(meta["ids"]), len(meta["flat"]), len(codes), len(tables), zlib.crc32(tables)], dtype="<u4")
     return MAGIC + head.tobytes() + tables + b"".join(codes)
 
 
@@ -212,42 +212,41 @@ class Segment:
     def __init__(self, raw: bytes) -> None:
         if raw[:4] != MAGIC:
             raise ValueError("not a token segment")
-        docs, n, blocks, distinct, crc = np.frombuffer(raw, "<u4", 5, 4).tolist()
-        at = 24
-        end = at + docs * 13 + distinct * 2 + blocks * 8
-        if zlib.crc32(raw[at:end]) != crc:
+        docs, self.n, blocks, size, crc = np.frombuffer(raw, "<u4", 5, 4).tolist()
+        if zlib.crc32(raw[24 : 24 + size]) != crc:
             raise ValueError("a token segment's tables are damaged")
+        tables, at = zlib.decompress(raw[24 : 24 + size]), 0
 
         def take(kind: str, count: int) -> np.ndarray:
             nonlocal at
-            x = np.frombuffer(raw, kind, count, at)
+            x = np.frombuffer(tables, kind, count, at)
             at += x.nbytes
             return x
 
         self.ids, self.null, self.sizes = take("<i8", docs), take("u1", docs), take("<u4", docs)
-        self.table, lengths, self.sums = take("<u2", distinct), take("<u4", blocks), take("<u4", blocks)
-        edges = end + np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+        lengths, self.sums = take("<u4", blocks), take("<u4", blocks)
+        self.prior = tables[at:]
+        edges = 24 + size + np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
         self.codes = [raw[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
-        self.lengths = [min(cm.BLOCK, n - i) for i in range(0, n, cm.BLOCK)]
 
-    def tokens(self, blocks: list[np.ndarray]) -> np.ndarray:
-        parts = [self.table[b].astype("<u4") for b in blocks]
-        if any(zlib.crc32(p.tobytes()) != s for p, s in zip(parts, self.sums.tolist(), strict=True)):
+    def checked(self, flat: np.ndarray) -> np.ndarray:
+        out = flat.astype("<u4")
+        if any(zlib.crc32(out[k * cm.BLOCK : (k + 1) * cm.BLOCK].tobytes()) != s for k, s in enumerate(self.sums.tolist())):
             raise ValueError("a block of a token segment is damaged")
-        return np.concatenate(parts) if parts else np.zeros(0, "<u4")
+        return out
 
 
 def decoded(raws) -> list[tuple[Segment, np.ndarray]]:
     """Segments with their ids; the blocks of all are decoded in step."""
     found = [Segment(r) for r in raws]
-    blocks = iter(cm.decode([c for s in found for c in s.codes], [n for s in found for n in s.lengths]))
-    return [(s, s.tokens([next(blocks) for _ in s.codes])) for s in found]
+    return [(s, s.checked(x)) for s, x in zip(found, cm.decode([(s.prior, s.codes, s.n) for s in found]), strict=True)]
 
 
 def write_tokens(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", tokenizer_file: str = "byte_bpe_50k.json", end_id: int = END_ID, segment: int = SEGMENT, together: int = TOGETHER) -> None:
     """Writes the ids of all documents, each closed by end_id, in ascending doc_id order."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = rows.withColumn("h", F.xxhash64("text"))  # rows of one doc_id may be many
+    ordered = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").drop("h")
 
     def run(batches):
         from pyspark import TaskContext
@@ -260,8 +259,8 @@ def write_tokens(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
 
         def write():
             nonlocal number, before, ready, waiting
-            codes = iter(cm.encode([b for blocks, _ in ready for b in blocks]))
-            out = [(part, number + k, before, meta["n"], image(meta, [next(codes) for _ in blocks])) for k, (blocks, meta) in enumerate(ready)]
+            made = cm.encode([meta["flat"] for meta in ready])
+            out = [(part, number + k, before, len(meta["flat"]), image(meta, prior, codes)) for k, (meta, (prior, codes)) in enumerate(zip(ready, made, strict=True))]
             starts = np.cumsum([0, *(x[3] for x in out)])
             out = [(p, s, before + int(b), n, raw) for (p, s, _, n, raw), b in zip(out, starts)]
             number, before, ready, waiting = number + len(out), before + int(starts[-1]), [], 0

@@ -1,264 +1,398 @@
 """An adaptive context-mixing range coder for blocks of ids, many blocks in step.
 
-Each block is coded on its own from a fresh model.  An id is first replaced by its
-rank among the segment's ids by frequency.  Three predictions are mixed for each
-rank: order 2 and order 1 propose the rank that followed the last two, or the
-last one, before; order 0 is an adaptive distribution over the rank's bit length,
-learnt anew every PERIOD positions.  A proposal's share of the mixture follows its
-context's own record of hits and misses.  Range coding says which: the order-2
-proposal, the order-1 proposal, or a bit length; the bits below a length's leading
-one are as good as uniform and follow in a bit string of their own.
-
-numpy works on one position of all blocks at a time, so the cost of a step is
-shared by thousands of blocks.
+Three predictions are mixed for each id, and all bits go through the range coder:
+
+* order 2 proposes the id that last followed the two ids before, learnt within the
+  block.  Its weight in the mixture is learnt within the block as well: the hit rate,
+  by exponential decay, of proposals with the same record of hits and misses;
+* order 1 has the distribution of the ids that follow the last one;
+* order 0 has the distribution of all ids.  The chance that an id comes from it is the
+  part of order 1's distribution that is left for ids not listed there.
+
+Orders 0 and 1 are learnt from a whole segment and stored with it, as its prior: ids
+by falling frequency, quantised counts, and for each id the followers seen PAIRS times
+or more.  Each block starts anew from its segment's prior with an empty order 2 and
+the weights of START, so that it can be decoded alone.
+
+numpy works on one position of all blocks at a time, so the cost of a step is shared
+by hundreds of blocks.  All decisions are made in whole numbers, or in divisions
+whose rounding can't change the floor.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Ids of a block; slots of a block's order-1 and order-2 tables.
+#: Ids of a block; slots of a block's order-2 table.
 BLOCK, SLOTS = 2048, 1024
-#: Bit lengths 0..16, probabilities as parts of 2^15, the least one, positions between renewals, weight of one occurrence.
-LENGTHS, UNIT, LEAST, PERIOD, STEP = 17, 1 << 15, 16, 32, 24
-#: Share of the mixture's 2^16 parts by a context's trust (0: it has no proposal yet).  What remains is 2^12 at least.
-SHARES = np.array([0, 5000, 14000, 26000, 38000, 47000, 54000, 60000], dtype=np.int64)
-MOST = 61440
-#: The range coder's limits: 64-bit low, words of 16 bits.
-TOP, BOTTOM = np.uint64(1 << 48), np.uint64(1 << 32)
-_16, _48, _0, _LOW = np.uint64(16), np.uint64(48), np.uint64(0), np.uint64((1 << 32) - 1)
-_BELOW = np.maximum(np.arange(LENGTHS) - 1, 0)
-#: By trust and, from 8 on, trust of a proposal that was right: change of trust, and whether the new rank replaces it.
+#: Least count of a listed follower, and most followers listed for one id (the most frequent ones).
+PAIRS, MOST_NEXT = 4, 4096
+#: Bits of the mixture's and order 0's totals; most bits of an id's total in order 1, and bits beyond those of its followers' number.
+MIX, ZERO, ONE, FINE = 18, 16, 14, 5
+#: Pairs of ranks below this are looked up in a square table.
+DENSE = 2048
+#: Largest weight of order 2 (what remains gives each follower a part), decay of a weight, and weights at the start by trust (1..7).
+CAP, DECAY = (1 << MIX) * 15 // 16, 4
+START = (np.array([0, 0.06, 0.35, 0.55, 0.7, 0.8, 0.87, 0.93]) * CAP).astype(np.int64)
+#: Change of an entry by trust and, from 8 on, by trust where the proposal was right; and where the new id replaces it.
 _CHANGE = np.array([0, 0, -1, -1, -1, -1, -1, -1, 1, 1, 1, 1, 1, 1, 1, 0], dtype=np.int32)
-_REPLACE = np.array([True, True, *[False] * 14])
-_LENGTH = np.array([int(i).bit_length() for i in range(1 << 16)], dtype=np.int64)
-
+_REPLACE = np.array([True, True, *[False] * 6, True, *[False] * 7])
+_LOW = np.uint64((1 << 32) - 1)
+_16, _32, _MIX, _ZERO = np.uint64(16), np.uint64(32), np.uint64(MIX), np.uint64(ZERO)
+_LEAST = np.uint64(1 << 32)
+
+
+def quantised(counts: np.ndarray) -> np.ndarray:
+    """Codes of counts from 1 on: two bits behind the leading one, rounded down."""
+    c = counts.astype(np.int64) * 4
+    e = np.zeros(len(c), dtype=np.int64)
+    for s in (32, 16, 8, 4, 2, 1):
+        e += s * (c >> e + 2 >= 1 << s)
+    return (4 * e + (c >> e & 3)).astype(np.uint8)
+
+
+def _values(codes: np.ndarray) -> np.ndarray:
+    q = codes.astype(np.int64)
+    return (4 + (q & 3)) << (q >> 2)
+
+
+def _parts(values: np.ndarray, owner: np.ndarray, count: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and size of each value in its owner's total, one at least each; owners' values lie together, the last one takes the rest."""
+    first = np.concatenate([[0], np.cumsum(count)[:-1]])
+    upto = np.concatenate([[0], np.cumsum(values)])
+    sums = upto[first + count] - upto[first]
+    size = 1 + values * ((total - count)[owner]) // np.maximum(1, sums)[owner]
+    ends = np.cumsum(size)
+    start = ends - size
+    start -= start[first[owner]]
+    last = (first + count - 1)[count > 0]
+    size[last] = total[count > 0] - start[last]
+    return start, size
+
+
+class Prior:
+    """A segment's order 0 and order 1.
+
+    ids by falling frequency (their places are the ranks that everything else uses) and the
+    codes of their counts; by rank the number of listed followers; the followers; the codes of
+    their counts; and by rank that has any the code of the rest's count.
+    """
+
+    def __init__(self, ids: np.ndarray, counts: np.ndarray, degree: np.ndarray, followers: np.ndarray, weights: np.ndarray, rest: np.ndarray) -> None:
+        self.ids, self.counts, self.degree, self.followers, self.weights, self.rest = ids, counts, degree, followers, weights, rest
+        n = len(ids)
+        self.start0, self.size0 = _parts(_values(counts), np.zeros(n, np.int64), np.array([n]), np.array([1 << ZERO])) if n else (np.zeros(0, np.int64),) * 2
+        # each rank's followers, and behind them what is left for order 0; rank n stands before a block's first id
+        entries = np.append(degree, 0) + 1
+        end = np.cumsum(entries)
+        self.owner = np.repeat(np.arange(n + 1), entries)
+        self.symbol = np.full(len(self.owner), -1, dtype=np.int64)
+        value = np.ones(len(self.owner), dtype=np.int64)
+        listed = np.ones(len(self.owner), dtype=bool)
+        listed[end - 1] = False
+        self.symbol[listed], value[listed] = followers, _values(weights)
+        value[(end - 1)[:-1][degree > 0]] = _values(rest)
+        self.bits = np.where(entries > 1, np.minimum(ONE, FINE + np.ceil(np.log2(entries)).astype(np.int64)), 0)
+        self.start1, self.size1 = _parts(value, self.owner, entries, 1 << self.bits)
+        self.left = end - 1  # by rank the entry of what is left
+        self.pairs = self.owner[listed] << 16 | self.symbol[listed]
+        self.entry = np.flatnonzero(listed)
+
+    @classmethod
+    def of(cls, flat: np.ndarray, breaks: int) -> tuple[Prior, np.ndarray]:
+        """The prior of ids whose blocks are breaks long, and the ranks of the ids."""
+        counts = np.bincount(flat, minlength=1)
+        order = np.argsort(-counts, kind="stable")[: np.count_nonzero(counts)]
+        rank = np.zeros(len(counts), dtype=np.int64)
+        rank[order] = np.arange(len(order))
+        r = rank[flat]
+        inner = np.ones(max(0, len(r) - 1), dtype=bool)
+        inner[breaks - 1 :: breaks] = False
+        keys = np.sort((r[:-1] << 16 | r[1:])[inner])
+        new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+        n = np.diff(np.append(new, len(keys)))
+        keys = keys[new]
+        all_ = np.bincount(keys >> 16, weights=n, minlength=len(order)).astype(np.int64)
+        keep = n >= PAIRS
+        keys, n = keys[keep], n[keep]
+        if len(keys) and np.bincount(keys >> 16).max() > MOST_NEXT:
+            by_count = np.lexsort((keys, -n, keys >> 16))
+            place = np.arange(len(keys)) - np.searchsorted(keys[by_count] >> 16, keys[by_count] >> 16)
+            stay = np.sort(by_count[place < MOST_NEXT])
+            keys, n = keys[stay], n[stay]
+        degree = np.bincount(keys >> 16, minlength=len(order)).astype(np.int64)
+        listed = np.bincount(keys >> 16, weights=n, minlength=len(order)).astype(np.int64)
+        rest = quantised(np.maximum(1, all_ - listed)[degree > 0])
+        return cls(order.astype(np.int64), quantised(counts[order]), degree, keys & 0xFFFF, quantised(n), rest), r
+
+    def dump(self) -> bytes:
+        """The tables, before compression."""
+        gaps = np.diff(self.pairs, prepend=0) & 0xFFFF  # within an id the followers ascend; a new id's first gap wraps
+        wide = gaps.astype("<u2").view(np.uint8).reshape(-1, 2)
+        head = np.array([len(self.ids), len(self.followers)], dtype="<u4").tobytes()
+        return b"".join([head, self.ids.astype("<u2").tobytes(), self.counts.tobytes(), self.degree.astype("<u2").tobytes(), wide[:, 0].tobytes(), wide[:, 1].tobytes(), self.weights.tobytes(), self.rest.tobytes()])
+
+    @classmethod
+    def load(cls, raw: bytes) -> Prior:
+        n, m = np.frombuffer(raw, "<u4", 2).tolist()
+        at = 8
+
+        def take(kind: str, count: int) -> np.ndarray:
+            nonlocal at
+            x = np.frombuffer(raw, kind, count, at)
+            at += x.nbytes
+            return x
+
+        ids, counts, degree = take("<u2", n).astype(np.int64), take("u1", n), take("<u2", n).astype(np.int64)
+        gaps = take("u1", m).astype(np.int64) | take("u1", m).astype(np.int64) << 8
+        followers = np.cumsum(gaps) & 0xFFFF
+        return cls(ids, counts, degree, followers, take("u1", m), take("u1", int(np.count_nonzero(degree))))
+
+    def coded(self, ranks: np.ndarray, breaks: int) -> np.ndarray:
+        """By id the entry of order 1 that codes it: a follower's, or what is left for order 0."""
+        before = np.empty(len(ranks), dtype=np.int64)
+        before[1:] = ranks[:-1]
+        before[::breaks] = len(self.ids)
+        out = self.left[before]
+        if len(self.pairs):
+            table = np.full(DENSE * DENSE, -1, dtype=np.int32)
+            first, follower = self.pairs >> 16, self.pairs & 0xFFFF
+            inside = (first < DENSE) & (follower < DENSE)
+            table[first[inside] * DENSE + follower[inside]] = self.entry[inside]
+            inside = (before < DENSE) & (ranks < DENSE)
+            got = table.take(np.where(inside, before * DENSE + ranks, 0))
+            inside &= got >= 0
+            out = np.where(inside, got, out)
+            rare = np.flatnonzero((before >= DENSE) | (ranks >= DENSE))
+            key = before[rare] << 16 | ranks[rare]
+            at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+            found = self.pairs[at] == key
+            out[rare[found]] = self.entry[at[found]]
+        return out
 
-class Model:
-    """The state of n blocks; a step works on the first m of them."""
 
-    def __init__(self, n: int) -> None:
-        self.n = n
+class Orders:
+    """Several segments' priors side by side; a lane's ranks, contexts and entries are shifted by its segment's offsets."""
+
+    def __init__(self, priors: list[Prior]) -> None:
+        sizes = np.array([len(p.ids) for p in priors], dtype=np.int64)
+        self.rank0 = np.concatenate([[0], np.cumsum(sizes + 1)])[:-1]
+        self.entry0 = np.concatenate([[0], np.cumsum([len(p.owner) for p in priors])])[:-1]
+        self.first = self.rank0 + sizes  # context before a block's first id
+        self.start1 = np.concatenate([p.start1 for p in priors])
+        self.size1 = np.concatenate([p.size1 for p in priors])
+        self.symbol = np.concatenate([np.where(p.symbol < 0, -1, p.symbol + r) for p, r in zip(priors, self.rank0)])
+        self.bits = np.concatenate([p.bits for p in priors])
+        self.hash = np.concatenate([np.arange(n + 1) for n in sizes.tolist()]) * 40503 >> 4 & SLOTS - 1  # by own rank: the same in any company
+        none = np.zeros(1, dtype=np.int64)
+        self.start0 = np.concatenate([x for p in priors for x in (p.start0, none)])
+        self.size0 = np.concatenate([x for p in priors for x in (p.size0, none)])
+
+    def lookups(self, priors: list[Prior]) -> None:
+        """For reading: by segment and part of order 0's total the rank, and by context and part of its total the entry."""
+        self.place1 = np.concatenate([[0], np.cumsum(1 << self.bits)[:-1]])
+        self.by_part1 = np.repeat(np.arange(len(self.size1), dtype=np.int32), self.size1)
+        self.by_part0 = np.concatenate([np.repeat(np.arange(len(p.ids)) + r, p.size0) if len(p.ids) else np.zeros(1 << ZERO, np.int64) for p, r in zip(priors, self.rank0)]).astype(np.int32)
+
+
+class Order2:
+    """Order 2 and its weights for n lanes; a step works on the first m of them."""
+
+    def __init__(self, n: int, first: np.ndarray, hashes: np.ndarray) -> None:
+        self.hashes = hashes
+        self.n, self.home = n, np.arange(n, dtype=np.int64) * SLOTS
         self.lane = np.arange(n, dtype=np.int64)
-        self.home = self.lane * SLOTS
-        self.slots = [np.zeros(n * SLOTS, dtype=np.int32) for _ in range(2)]
-        self.counts = np.full((LENGTHS, n), STEP, dtype=np.int64)
-        self.cum = np.zeros((LENGTHS + 1, n), dtype=np.int64)
-        self.last = np.zeros(n, dtype=np.int64)
-        self.before = np.zeros(n, dtype=np.int64)
-        self.steps = 0
-
-    def contexts(self, m: int) -> tuple[np.ndarray, np.ndarray]:
-        """Slots of the order-1 and the order-2 context."""
-        return slots_of(self.last[:m], self.before[:m], self.home[:m])
-
-    def predict(self, m: int, at: tuple[np.ndarray, np.ndarray]) -> None:
-        """Proposals and shares."""
-        if self.steps % PERIOD == 0:
-            spread = UNIT - LEAST * LENGTHS
-            np.cumsum(self.counts * spread // self.counts.sum(axis=0) + LEAST, axis=0, out=self.cum[1:])
-            self.cum[LENGTHS] = UNIT
-        self.steps += 1
-        self.m, self.at = m, at
-        one, two = self.slots[0].take(at[0]), self.slots[1].take(at[1])
-        self.entry, self.proposal, self.trust = (one, two), (one >> 3, two >> 3), (one & 7, two & 7)
-        self.w2 = SHARES.take(self.trust[1])
-        self.w1 = (MOST - self.w2) * SHARES.take(self.trust[0]) >> 16
-        self.w1 *= self.proposal[0] != self.proposal[1]
-        self.base = self.w2 + self.w1
-        self.rest = 65536 - self.base
-
-    def bounds(self, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and size of each block's bit length in the mixture's 2^16 parts."""
-        at = length * self.n + self.lane[: self.m]
-        flat = self.cum.reshape(-1)
-        start = flat.take(at) * self.rest >> 15
-        return self.base + start, (flat.take(at + self.n) * self.rest >> 15) - start
-
-    def length_of(self, v: np.ndarray) -> np.ndarray:
-        """The bit length whose interval holds v."""
-        u = ((np.maximum(v - self.base, 0) + 1 << 15) - 1) // self.rest
-        return (self.cum[1:LENGTHS, : self.m] <= u).view(np.int8).sum(axis=0, dtype=np.int8).astype(np.int64)
-
-    def update(self, rank: np.ndarray, length: np.ndarray) -> None:
+        self.slots = np.zeros(n * SLOTS, dtype=np.int32)
+        self.weights = np.repeat(START, n)
+        self.last, self.hash = first.copy(), hashes[first]
+
+    def predict(self, m: int) -> None:
+        self.m = m
+        hashed = self.hashes.take(self.last[:m])
+        self.at = (hashed ^ self.hash[:m] >> 1) + self.home[:m]
+        self.hash[:m] = hashed
+        self.entry = self.slots.take(self.at)
+        self.proposal, self.trust = self.entry >> 3, self.entry & 7
+        self.w_at = self.trust * self.n + self.lane[:m]
+        self.w = self.weights.take(self.w_at)
+        self.rest = (1 << MIX) - self.w
+
+    def update(self, rank: np.ndarray, right: np.ndarray) -> None:
+        """rank came; right says where the proposal was that."""
         m = self.m
-        fresh = (rank << 3 | 1).astype(np.int32)
-        for k in range(2):
-            case = self.trust[k] + ((self.proposal[k] == rank) << 3)
-            self.slots[k][self.at[k]] = np.where(_REPLACE.take(case), fresh, self.entry[k] + _CHANGE.take(case))
-        self.counts.reshape(-1)[length * self.n + self.lane[:m]] += STEP
-        self.before[:m] = self.last[:m]
+        case = self.trust + (right << 3)
+        self.slots[self.at] = np.where(_REPLACE.take(case), rank << 3 | 1, self.entry + _CHANGE.take(case))
+        right &= self.trust > 0
+        self.weights[self.w_at] = self.w + (right * CAP - self.w >> DECAY)
         self.last[:m] = rank
 
 
-def slots_of(last: np.ndarray, before: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    mixed = last * 40503
-    return home + (mixed >> 4 & SLOTS - 1), home + (mixed + before * 60493 >> 4 & SLOTS - 1)
-
-
-class Coder:
-    """The range coder's state of n blocks; words are what it has written or reads."""
+class Writer:
+    """Range coders of n lanes.  Carries stay in the words, which have room for them, until finish()."""
 
-    def __init__(self, words: np.ndarray, reading: bool) -> None:
-        n, self.width = words.shape
-        self.low, self.range = np.zeros(n, dtype=np.uint64), np.full(n, np.iinfo(np.uint64).max, dtype=np.uint64)
-        self.words, self.first = words.reshape(-1), np.arange(n, dtype=np.int64) * self.width
-        self.at, self.reading = self.first.copy(), reading
-        self.code = np.zeros(n, dtype=np.uint64)
-        if reading:
-            for _ in range(4):
-                self.code = self.code << _16 | self.words.take(self.at)
-                self.at += 1
+    def __init__(self, n: int, width: int) -> None:
+        self.width = width
+        self.words = np.zeros(n * width, dtype=np.uint32)
+        self.at = np.arange(n, dtype=np.int64) * width
+        self.first = self.at.copy()
+        self.low, self.range = np.zeros(n, dtype=np.uint64), np.full(n, (1 << 48) - 1, dtype=np.uint64)
 
-    def target(self, m: int) -> np.ndarray:
-        return np.minimum((self.code[:m] - self.low[:m]) // (self.range[:m] >> _16), np.uint64(65535)).astype(np.int64)
-
-    def step(self, start: np.ndarray, size: np.ndarray) -> None:
-        m = len(start)
-        low, r = self.low[:m], self.range[:m]
-        r >>= _16
-        low += start.view(np.uint64) * r
+    def step(self, lanes: slice | np.ndarray, start: np.ndarray, size: np.ndarray, bits: np.uint64) -> None:
+        r = self.range[lanes] >> bits
+        self.low[lanes] += start.view(np.uint64) * r
         r *= size.view(np.uint64)
-        i = np.flatnonzero(((low ^ (low + r)) < TOP) | (r < BOTTOM))
+        self.range[lanes] = r
+        i = np.flatnonzero(r < _LEAST)
+        if isinstance(lanes, np.ndarray):
+            i = lanes[i]
         while len(i):
-            x, y, at = low[i], r[i], self.at[i]
-            y = np.where((x ^ (x + y)) < TOP, y, (_0 - x) & _LOW)
-            if self.reading:
-                self.code[i] = self.code[i] << _16 | self.words[at]
-            else:
-                self.words[at] = x >> _48
-            self.at[i] = at + 1
-            x, y = x << _16, y << _16
-            low[i], r[i] = x, y
-            i = i[((x ^ (x + y)) < TOP) | (y < BOTTOM)]
-
-    def finish(self) -> np.ndarray:
-        """Writes what is left; gives each block's number of words."""
-        for _ in range(4):
-            self.words[self.at] = self.low >> _48
-            self.low <<= _16
+            low, at, r = self.low[i], self.at[i], self.range[i] << _16
+            self.words[at] += (low >> _32).astype(np.uint32)
+            self.low[i] = (low & _LOW) << _16
+            self.range[i], self.at[i] = r, at + 1
+            i = i[r < _LEAST]
+
+    def finish(self) -> list[np.ndarray]:
+        """Each lane's 16-bit words."""
+        for _ in range(3):
+            self.words[self.at] += (self.low >> _32).astype(np.uint32)
+            self.low = (self.low & _LOW) << _16
             self.at += 1
-        return self.at - self.first
-
-
-class Bits:
-    """A string of up to 15 bits at a time for each of n blocks, in words of 32 bits; checked every other step."""
-
-    def __init__(self, words: np.ndarray, reading: bool) -> None:
-        n, self.width = words.shape
-        self.words, self.first = words.reshape(-1), np.arange(n, dtype=np.int64) * self.width
-        self.at, self.held, self.fill = self.first.copy(), np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
-
-    def write(self, value: np.ndarray, bits: np.ndarray, odd: bool) -> None:
-        m = len(value)
-        held, fill = self.held[:m], self.fill[:m]
-        held <<= bits
-        held |= value
-        fill += bits
-        if odd:
-            self._flush(np.flatnonzero(fill >= 32))
-
-    def _flush(self, i: np.ndarray) -> None:
-        left = self.fill[i] - 32
-        self.words[self.at[i]] = self.held[i] >> left & 0xFFFFFFFF
-        self.held[i] &= (1 << left) - 1
-        self.fill[i] = left
-        self.at[i] += 1
-
-    def finish(self) -> np.ndarray:
-        self._flush(np.flatnonzero(self.fill >= 32))
-        i = np.flatnonzero(self.fill)
-        self.words[self.at[i]] = self.held[i] << 32 - self.fill[i]
-        self.at[i] += 1
-        return self.at - self.first
-
-    def read(self, bits: np.ndarray, odd: bool) -> np.ndarray:
-        m = len(bits)
-        held, fill = self.held[:m], self.fill[:m]
-        if not odd:
-            i = np.flatnonzero(fill < 30)
-            held[i] = held[i] << 32 | self.words[self.at[i]]
-            fill[i] += 32
-            self.at[i] += 1
-        fill -= bits
-        out = held >> fill
-        held &= (1 << fill) - 1
-        return out
+        while len(i := np.flatnonzero(self.words > 0xFFFF)):
+            self.words[i - 1] += self.words[i] >> np.uint32(16)
+            self.words[i] &= np.uint32(0xFFFF)
+        return [self.words[a:b].astype("<u2") for a, b in zip(self.first.tolist(), self.at.tolist())]
+
+
+class Reader:
+    """Range decoders of n lanes."""
+
+    def __init__(self, codes: list[bytes]) -> None:
+        parts = [np.frombuffer(c, dtype="<u2") for c in codes]
+        width = max(map(len, parts)) + 8
+        words = np.zeros((len(parts), width), dtype=np.uint16)
+        for k, p in enumerate(parts):
+            words[k, : len(p)] = p
+        self.words, self.at = words.reshape(-1), np.arange(len(parts), dtype=np.int64) * width
+        self.last = self.at + width - 1
+        self.range, self.code = np.full(len(parts), (1 << 48) - 1, dtype=np.uint64), np.zeros(len(parts), dtype=np.uint64)
+        for _ in range(3):
+            self.code = self.code << _16 | self.words[self.at]
+            self.at += 1
+
+    def target(self, lanes: slice | np.ndarray, bits: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+        """Where each lane's code lies in its total, and the unit; the division is exact as all is below 2^53."""
+        r = self.range[lanes] >> bits
+        return np.minimum((self.code[lanes] / r).astype(np.int64), (1 << int(bits)) - 1), r
+
+    def step(self, lanes: slice | np.ndarray, start: np.ndarray, size: np.ndarray, r: np.ndarray) -> None:
+        self.code[lanes] -= start.view(np.uint64) * r
+        r = r * size.view(np.uint64)
+        self.range[lanes] = r
+        i = np.flatnonzero(r < _LEAST)
+        if isinstance(lanes, np.ndarray):
+            i = lanes[i]
+        while len(i):
+            at, r = self.at[i], self.range[i] << _16
+            self.code[i] = self.code[i] << _16 | self.words[at]
+            # a damaged code may run on: it rests at the last word, and the checksum tells
+            self.range[i], self.at[i] = r, np.minimum(at + 1, self.last[i])
+            i = i[r < _LEAST]
 
 
 def _active(lengths: np.ndarray) -> list[int]:
-    """For each position the number of blocks that reach it (lengths fall)."""
+    """For each position the number of lanes that reach it (lengths fall)."""
     return (len(lengths) - np.searchsorted(lengths[::-1], np.arange(lengths[0]), side="right")).tolist()
 
 
-def encode(blocks: list[np.ndarray]) -> list[bytes]:
-    """The code of each block of ranks (below 2^16, at least one each): bytes of the range code, that code, the bit string."""
-    if not blocks:
-        return []
-    lengths = np.array([len(b) for b in blocks])
-    order = np.argsort(-lengths, kind="stable")
-    lengths = lengths[order]
-    n = len(blocks)
-    ranks = np.zeros((lengths[0], n), dtype=np.uint16)
-    for k, i in enumerate(order):
-        ranks[: lengths[k], k] = blocks[i]
-    model = Model(n)
-    coder, bits = Coder(np.zeros((n, lengths[0] + 16), dtype=np.uint16), False), Bits(np.zeros((n, lengths[0] // 2 + 4), dtype=np.uint32), False)
-    for at, m in enumerate(_active(lengths)):
-        x = ranks[at, :m].astype(np.int64)
-        model.predict(m, model.contexts(m))
-        two = (model.proposal[1] == x) & (model.w2 > 0)
-        one = (model.proposal[0] == x) & (model.w1 > 0)
-        length = _LENGTH.take(x)
-        start, size = model.bounds(length)
-        coder.step(np.where(two, 0, np.where(one, model.w2, start)), np.where(two, model.w2, np.where(one, model.w1, size)))
-        below = _BELOW.take(length) * ~(one | two)
-        bits.write(x & ((1 << below) - 1), below, at & 1 == 1)
-        model.update(x, length)
-    n_words, n_bits = coder.finish(), bits.finish()
-    out: list[bytes] = [b""] * n
-    for k, i in enumerate(order):
-        a, b = coder.words[coder.first[k] : coder.first[k] + n_words[k]], bits.words[bits.first[k] : bits.first[k] + n_bits[k]]
-        out[i] = (2 * len(a)).to_bytes(4, "little") + a.astype("<u2").tobytes() + b.astype("<u4").tobytes()
-    return out
-
-
-def _rows(parts: list[bytes], kind: str) -> np.ndarray:
-    arrays = [np.frombuffer(p, dtype=kind) for p in parts]
-    out = np.zeros((len(arrays), max(map(len, arrays)) + 8), dtype=np.dtype(kind).newbyteorder("="))
-    for k, a in enumerate(arrays):
-        out[k, : len(a)] = a
-    return out
+def _lanes(counts: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Blocks of segments with so many ids: segment, first id and length of each, and the order of falling length."""
+    segment = np.repeat(np.arange(len(counts)), [-(-n // BLOCK) for n in counts])
+    begin = np.concatenate([np.arange(0, n, BLOCK) for n in counts]) if counts else np.zeros(0, np.int64)
+    length = np.minimum(BLOCK, np.array(counts, dtype=np.int64)[segment] - begin)
+    return segment, begin, length, np.argsort(-length, kind="stable")
 
 
-def decode(codes: list[bytes], lengths: list[int]) -> list[np.ndarray]:
-    """The blocks of ranks of encode()."""
-    if not codes:
+def encode(segments: list[np.ndarray]) -> list[tuple[bytes, list[bytes]]]:
+    """Of each segment of ids (below 2^16) its prior's tables and the code of each of its blocks."""
+    if not segments:
         return []
-    size = np.array(lengths)
-    order = np.argsort(-size, kind="stable")
-    size = size[order]
-    n = len(codes)
-    split = [int.from_bytes(codes[i][:4], "little") + 4 for i in order]
-    coder = Coder(_rows([codes[i][4:s] for i, s in zip(order, split, strict=True)], "<u2"), True)
-    bits = Bits(_rows([codes[i][s:] for i, s in zip(order, split, strict=True)], "<u4"), True)
-    ranks = np.zeros((size[0], n), dtype=np.uint16)
-    model = Model(n)
-    for at, m in enumerate(_active(size)):
-        model.predict(m, model.contexts(m))
-        v = coder.target(m)
-        two, hit = v < model.w2, v < model.base
-        one = hit & ~two
-        length = model.length_of(v)
-        start, part = model.bounds(length)
-        coder.step(np.where(two, 0, np.where(one, model.w2, start)), np.where(two, model.w2, np.where(one, model.w1, part)))
-        below = _BELOW.take(length) * ~hit
-        x = bits.read(below, at & 1 == 1) | (length > 0) << below
-        x = np.where(two, model.proposal[1], np.where(one, model.proposal[0], x))
-        model.update(x, _LENGTH.take(x))
+    made = [Prior.of(s, BLOCK) for s in segments]
+    priors = [p for p, _ in made]
+    orders = Orders(priors)
+    segment, begin, length, order = _lanes([len(s) for s in segments])
+    codes: list[bytes] = [b""] * len(order)
+    if len(order):
+        shape = (len(order), int(length.max()))
+        ranks, entries = np.zeros(shape, dtype=np.int32), np.zeros(shape, dtype=np.int32)
+        coded = [p.coded(r, BLOCK) + e for (p, r), e in zip(made, orders.entry0)]
+        for lane, k in enumerate(order.tolist()):
+            s, a, n = segment[k], begin[k], length[k]
+            ranks[lane, :n] = made[s][1][a : a + n] + orders.rank0[s]
+            entries[lane, :n] = coded[s][a : a + n]
+        ranks, entries = np.ascontiguousarray(ranks.T), np.ascontiguousarray(entries.T)
+        two = Order2(len(order), orders.first[segment[order]], orders.hash)
+        out = Writer(len(order), 3 * shape[1] + 8)
+        for at, m in enumerate(_active(length[order])):
+            x, e = ranks[at, :m], entries[at, :m]
+            two.predict(m)
+            right = two.proposal == x
+            hit = right & (two.w > 0)
+            a = orders.start1.take(e)
+            bits = orders.bits.take(two.last[:m])
+            b = two.w + ((a + orders.size1.take(e)) * two.rest >> bits)
+            a = (a * two.rest >> bits) + two.w
+            start = np.where(hit, 0, a)
+            out.step(slice(m), start, np.where(hit, two.w, b - a), _MIX)
+            low = np.flatnonzero((orders.symbol.take(e) < 0) & ~hit)
+            if len(low):
+                y = x[low]
+                out.step(low, orders.start0.take(y), orders.size0.take(y), _ZERO)
+            two.update(x, right)
+        for words, k in zip(out.finish(), order.tolist()):
+            codes[k] = words.tobytes()
+    edges = np.searchsorted(segment, np.arange(len(segments) + 1)).tolist()
+    return [(p.dump(), codes[a:b]) for p, a, b in zip(priors, edges, edges[1:])]
+
+
+def decode(parts: list[tuple[bytes, list[bytes], int]]) -> list[np.ndarray]:
+    """The ids of each segment, from its prior's tables, its blocks' codes and its number of ids."""
+    if not parts:
+        return []
+    priors = [Prior.load(t) for t, _, _ in parts]
+    orders = Orders(priors)
+    orders.lookups(priors)
+    segment, begin, length, order = _lanes([n for _, _, n in parts])
+    out = [np.zeros(n, dtype=np.int64) for _, _, n in parts]
+    if not len(order):
+        return out
+    codes = [c for _, cs, _ in parts for c in cs]
+    own = segment[order]
+    coder, two = Reader([codes[k] for k in order.tolist()]), Order2(len(order), orders.first[own], orders.hash)
+    share0 = own << ZERO
+    ranks = np.zeros((int(length.max()), len(order)), dtype=np.int32)
+    for at, m in enumerate(_active(length[order])):
+        two.predict(m)
+        v, r = coder.target(slice(m), _MIX)
+        hit = v < two.w
+        bits = orders.bits.take(two.last[:m])
+        u = (((np.maximum(v - two.w, 0) + 1 << bits) - 1) / two.rest).astype(np.int64)
+        e = orders.by_part1.take(orders.place1.take(two.last[:m]) + u)
+        a = orders.start1.take(e)
+        b = two.w + ((a + orders.size1.take(e)) * two.rest >> bits)
+        a = (a * two.rest >> bits) + two.w
+        coder.step(slice(m), np.where(hit, 0, a), np.where(hit, two.w, b - a), r)
+        x = np.where(hit, two.proposal, orders.symbol.take(e))
+        low = np.flatnonzero(x < 0)
+        if len(low):
+            v, r = coder.target(low, _ZERO)
+            y = orders.by_part0.take(share0[low] + v)
+            coder.step(low, orders.start0.take(y), orders.size0.take(y), r)
+            x[low] = y
+        two.update(x, two.proposal == x)
         ranks[at, :m] = x
-    columns = ranks.T.astype(np.uint16)
-    out: list[np.ndarray] = [np.zeros(0, np.uint16)] * n
-    for k, i in enumerate(order):
-        out[i] = columns[k, : size[k]]
+    lanes = np.ascontiguousarray(ranks.T)
+    for lane, k in enumerate(order.tolist()):
+        s, a, n = segment[k], begin[k], length[k]
+        out[s][a : a + n] = priors[s].ids[lanes[lane, :n] - orders.rank0[s]]
     return out

@@ -6,46 +6,62 @@ depend on order, and a paragraph is inserted or deleted by adding or subtracting
 vector.  The vector has two parts:
 
 * STRONG entries from a 512-bit hash of the whole paragraph: equality of multisets.
-* WEAK entries of +1 or -1 from the bits of a 128-bit hash of each piece of the
-  paragraph (pieces end where a word's hash says so, or with the paragraph): sums of
-  signs, whose squared distance estimates how many pieces two multisets don't share.
+* WEAK entries of +1 or -1 from the hash of each piece of the paragraph (a few words;
+  pieces end where a word's bytes say so, inside long runs without blanks where four
+  bytes say so, or with the paragraph) with the number of its occurrence in the text.
+  So a repeated piece counts once for each occurrence, not with their square, and pieces
+  of blanks don't count.
 
 Likeness is 1 - |a - b|^2 / (|a|^2 + |b|^2) over the weak entries, read as signed
-numbers and held within 0 and 1; equal fingerprints have likeness 1.
+numbers and held within 0 and 1; equal fingerprints have likeness 1.  It estimates
+the share of common pieces, 2 |A and B| / (|A| + |B|) over the multisets A and B of
+pieces, with a standard error of at most 1 / sqrt(WEAK), about 0.03.
+
+Inserting or deleting needs the number of times that the text already holds a piece,
+which a Fingerprint carries (from_text) or is given (from_base64).
 
 The edited text of a document is made from the next one in ascending doc_id order.
-Documents are range-partitioned by doc_id and each partition is walked once; its
-first document and its last one (which waits for the next partition's first) are kept
-as two rows a partition, and only those are joined across partitions.
+Documents are dealt by ranges of (doc_id, hash of the text) whose bounds are found
+beforehand from those two numbers alone and sent to all tasks, one pair a partition.
+So the row that begins a range is known where it is read, and is sent to the range
+before as well: each partition is walked once and needs no other.
 
 Null texts count as empty; an empty text's vector is zero, and likeness between two
-empty ones is 1.  Null doc_ids come first; rows with the same doc_id follow each other
-by text.  Repeated rows stay repeated.  A single document is its own next one.  Other
-columns are left out; an empty table gives an empty table.
+empty ones is 1.  Null doc_ids come first (with the least long, if that occurs); rows
+with the same doc_id follow each other by their text's hash, so many of them spread over
+partitions.  Repeated rows stay repeated and lie together.  A single document is its own next
+one.  Other columns are left out; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import lean, stored, table
+from ledgerloom.llm.common import lean, table
 
-STRONG, WEAK = 32, 128
-#: A word ends a piece if its checksum has these low bits set: every eighth on average.
-PIECE_MASK = 7
+STRONG, WEAK = 32, 1024
+#: A word ends a piece if its checksum has these low bits set: every fourth on average; four bytes beyond LONG bytes of a word do if theirs have those.
+PIECE_MASK, LONG, LONG_MASK = 3, 24, 15
+#: Bytes of text that a range holds, about, and ranges at least (as many as the session's shuffle partitions).
+RANGE_BYTES = 128 << 20
+_BLANK = np.array([c in b"\t\n\v\f\r " for c in range(256)])
+_STEPS = np.arange(1, WEAK // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
 class Fingerprint:
     """A multiset of paragraphs as a vector; supports insertion, deletion and comparison."""
 
-    def __init__(self, vector: np.ndarray | None = None) -> None:
+    def __init__(self, vector: np.ndarray | None = None, held: Counter | None = None) -> None:
         self.vector = np.zeros(STRONG + WEAK, dtype=np.uint16) if vector is None else vector
+        self.held: Counter = Counter() if held is None else held
 
     @classmethod
     def of(cls, text: str) -> Fingerprint:
@@ -54,62 +70,102 @@ class Fingerprint:
         return out
 
     @classmethod
-    def from_hex(cls, digits: str) -> Fingerprint:
-        return cls(np.frombuffer(bytes.fromhex(digits), dtype=">u2").astype(np.uint16))
+    def from_base64(cls, letters: str, held: Counter | None = None) -> Fingerprint:
+        """held has the number of times that the text holds each piece; it isn't needed for comparison."""
+        return cls(np.frombuffer(base64.b64decode(letters), dtype=">u2").astype(np.uint16), held)
 
     def copy(self) -> Fingerprint:
-        return Fingerprint(self.vector.copy())
+        return Fingerprint(self.vector.copy(), self.held.copy())
 
     def insert(self, some: list[str]) -> None:
-        self.vector += summed(some)
+        raw = [p.encode("utf-8", "surrogatepass") for p in some]
+        items = []
+        for x in pieces(raw):
+            k = self.held[x]
+            self.held[x] = k + 1
+            items.append(xxhash.xxh3_128_digest(x, k))
+        self.vector[:STRONG] += strong(raw)
+        self.vector[STRONG:] += weak(items)
 
     def delete(self, some: list[str]) -> None:
-        self.vector -= summed(some)
+        raw = [p.encode("utf-8", "surrogatepass") for p in some]
+        items = []
+        for x in pieces(raw):
+            k = self.held[x] - 1
+            self.held[x] = k
+            items.append(xxhash.xxh3_128_digest(x, k))
+        self.vector[:STRONG] -= strong(raw)
+        self.vector[STRONG:] -= weak(items)
 
     def raw(self) -> bytes:
         return self.vector.astype(">u2").tobytes()
 
-    def hex(self) -> str:
-        return self.raw().hex()
+    def base64(self) -> str:
+        return base64.b64encode(self.raw()).decode()
 
     def likeness(self, other: Fingerprint) -> float:
         if (self.vector == other.vector).all():
             return 1.0
         a, b = (x.vector[STRONG:].view(np.int16).astype(np.float64) for x in (self, other))
-        whole = float((a * a).sum() + (b * b).sum())
-        return min(1.0, max(0.0, 1 - float(((a - b) ** 2).sum()) / whole)) if whole else 0.0
+        whole = float(a @ a + b @ b)
+        return min(1.0, max(0.0, 2 * float(a @ b) / whole)) if whole else 0.0
 
 
 def paragraphs(text: str) -> list[str]:
     return text.split("\n") if text else []
 
 
-def pieces(paragraph: bytes) -> list[bytes]:
-    """The paragraph's words in runs that end at words chosen by content."""
-    words = paragraph.split(b" ")
+def pieces(some: list[bytes]) -> list[bytes]:
+    """The pieces of paragraphs, without the blanks around them; those of blanks only are left out."""
+    data = b"\n".join(some) + b"\n"
+    b = np.frombuffer(data, dtype=np.uint8)
+    blank = _BLANK[b]
+    at = np.arange(len(b), dtype=np.int32)
+    # first byte of the word that each byte belongs to
+    first = np.maximum.accumulate(np.where(blank, at + 1, 0))
+    first[1:] = first[:-1]
+    first[0] = 0
+    size = at - first  # bytes of the word before this one
+    ends = np.flatnonzero(blank & (size > 0))
+    near = np.zeros(len(b), dtype=np.int32)
+    near[3:] = b[:-3]
+    near[3:] += b[1:-2]
+    near[3:] += b[2:-1]
+    near[3:] *= 5
+    near[3:] += b[2:-1]
+    cut = (near[ends] + size[ends] * 7) & PIECE_MASK == PIECE_MASK
+    cuts = [ends[cut], np.flatnonzero(b == 10)]
+    if size.max() > LONG:
+        long = np.flatnonzero((size > LONG) & ~blank)
+        cuts.append(long[(near[long] * 40503 >> 4) & LONG_MASK == LONG_MASK])
+    edges = np.unique(np.concatenate(cuts)).tolist()
     out, start = [], 0
-    for i, w in enumerate(words, 1):
-        if len(w) * 31 + sum(w[-3:]) & PIECE_MASK == PIECE_MASK:
-            out.append(b" ".join(words[start:i]))
-            start = i
-    if start < len(words):
-        out.append(b" ".join(words[start:]))
+    for e in edges:
+        x = data[start:e].strip()
+        if x:
+            out.append(x)
+        start = e
     return out
 
 
-def summed(some: list[str]) -> np.ndarray:
-    """The sum of the paragraphs' vectors."""
-    out = np.zeros(STRONG + WEAK, dtype=np.uint16)
-    if not some:
-        return out
-    raw = [p.encode("utf-8", "surrogatepass") for p in some]
+def strong(raw: list[bytes]) -> np.ndarray:
+    """The sum of the paragraphs' wide hashes."""
     wide = b"".join([hashlib.blake2b(p, digest_size=2 * STRONG).digest() for p in raw])
-    out[:STRONG] = np.frombuffer(wide, dtype="<u2").reshape(-1, STRONG).sum(axis=0, dtype=np.uint16)
-    digest = xxhash.xxh3_128_digest
-    bits = b"".join([digest(x) for p in raw for x in pieces(p)])
-    ones = np.unpackbits(np.frombuffer(bits, dtype=np.uint8).reshape(-1, WEAK // 8), axis=1).sum(axis=0, dtype=np.int64)
-    out[STRONG:] = (2 * ones - len(bits) // (WEAK // 8)).astype(np.uint16)
-    return out
+    return np.frombuffer(wide, dtype="<u2").reshape(-1, STRONG).sum(axis=0, dtype=np.uint16)
+
+
+def weak(items: list[bytes]) -> np.ndarray:
+    """The sum of the signs that 128-bit hashes are stretched to."""
+    out = np.zeros(WEAK, dtype=np.int64)
+    h = np.frombuffer(b"".join(items), dtype="<u8").reshape(-1, 2)
+    for i in range(0, len(h), 255):
+        z = h[i : i + 255, :1] + _STEPS
+        z = (z ^ z >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9) ^ h[i : i + 255, 1:]
+        z = (z ^ z >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+        z ^= z >> np.uint64(31)
+        ones = np.unpackbits(z.view(np.uint8).reshape(len(z), -1), axis=1).sum(axis=0, dtype=np.uint8)
+        out += 2 * ones.astype(np.int64) - len(z)
+    return out.astype(np.uint16)
 
 
 def edited_text(text: str, following: str) -> str:
@@ -130,51 +186,78 @@ def compared(text: str, own: Fingerprint, following: str, others: Fingerprint) -
 
 
 COLUMNS = "doc_id long, n_chars long, edited_sha256 string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
-_KIND = {"doc_id": pa.int64(), "n_chars": pa.int64(), "edited_sha256": pa.string(), "fingerprint": pa.binary(), "edited_fingerprint": pa.binary(), "near_edited": pa.float64(), "near_next": pa.float64(), "part": pa.int32(), "head": pa.string(), "tail": pa.string()}
+_KIND = {"doc_id": pa.int64(), "n_chars": pa.int64(), "edited_sha256": pa.string(), "fingerprint": pa.binary(), "edited_fingerprint": pa.binary(), "near_edited": pa.float64(), "near_next": pa.float64()}
+_LEAST = np.iinfo(np.int64).min
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _KIND.values(), strict=True)], names=list(_KIND))
 
 
-def edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """COLUMNS of each document (fingerprints as hexadecimal text), against its edited text and the next document."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+def ranges(rows: DataFrame, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The least (doc_id, h) of each range that isn't empty, in order: one pair of numbers a range."""
+    keys = rows.select(F.coalesce("doc_id", F.lit(_LEAST)).alias("d"), "h").repartitionByRange(parts, "d", "h")
+    least = keys.groupBy(F.spark_partition_id().alias("p")).agg(F.min(F.struct("d", "h")).alias("k")).select("k.d", "k.h").collect()
+    least = sorted((r.d, r.h) for r in least)
+    return np.array([d for d, _ in least], dtype=np.int64), np.array([h for _, h in least], dtype=np.int64)
+
+
+def range_of(d: np.ndarray, h: np.ndarray, bounds: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The range of each key, and whether the key is its least one."""
+    low, high = np.searchsorted(bounds[0], d, side="left"), np.searchsorted(bounds[0], d, side="right")
+    part = low - 1
+    least = np.zeros(len(d), dtype=bool)
+    same = np.flatnonzero(high > low)  # some range begins with this doc_id
+    for a in np.unique(low[same]):
+        rows = same[low[same] == a]
+        own = bounds[1][a : high[rows[0]]]
+        at = np.searchsorted(own, h[rows], side="right") - 1
+        part[rows] = a + at
+        least[rows] = (at >= 0) & (own[np.maximum(at, 0)] == h[rows])
+    return part, least
+
+
+def edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", range_bytes: int = RANGE_BYTES, parts: int | None = None) -> DataFrame:
+    """COLUMNS of each document (fingerprints in base64), against its edited text and the next document."""
+    spark = docs.sparkSession
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    if parts is None:
+        size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // range_bytes))
+    bounds = spark.sparkContext.broadcast(ranges(rows, parts))
+    n = max(1, len(bounds.value[0]))
+
+    def place(batches):
+        for b in batches:
+            d = b.column(0).fill_null(_LEAST).to_numpy(zero_copy_only=False)
+            part, least = range_of(d, b.column(2).to_numpy(zero_copy_only=False), bounds.value)
+            columns = [pa.array(part, pa.int32()), pa.array(np.zeros(len(part), dtype=bool)), b.column(0), b.column(1), b.column(2)]
+            out = pa.RecordBatch.from_arrays(columns, names=["part", "ahead", "doc_id", "text", "h"])
+            yield out
+            if least.any():  # once more, for the end of the range before
+                more = out.filter(pa.array(least))
+                yield pa.RecordBatch.from_arrays([pa.array((part[least] - 1) % n, pa.int32()), pa.array(np.ones(more.num_rows, dtype=bool)), *more.columns[2:]], names=out.schema.names)
 
-    def walk(batches):
-        from pyspark import TaskContext
+    dealt = rows.mapInArrow(lean(place), "part int, ahead boolean, doc_id long, text string, h long").repartitionById(n, F.col("part")).sortWithinPartitions("part", "ahead", "doc_id", "h", "text")
 
-        part, last = TaskContext.get().partitionId(), None
+    def walk(batches):
+        now, last = None, None
         for b in batches:
             out = []
-            for d, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for part, ahead, d, x in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+                if part != now:
+                    now, last = part, None
+                if ahead and last is None:  # the first row ahead has ended the range
+                    continue
                 own = Fingerprint.of(x)
-                if last is None:  # a partition's first document
-                    out.append((None,) * 7 + (part, x, None))
-                else:
-                    out.append((last[0], len(last[1]), *compared(last[1], last[2], x, own), None, None, None))
-                last = (d, x, own)
+                if last is not None:
+                    out.append((last[0], len(last[1]), *compared(last[1], last[2], x, own)))
+                last = None if ahead else (d, x, own)
             if out:
                 yield _batch(out)
-        if last is not None:
-            yield _batch([(last[0], None, None, None, None, None, None, part, None, last[1])])
-
-    walked = stored(ordered.mapInArrow(lean(walk), COLUMNS + ", part int, head string, tail string"))
-    # two rows a partition: each tail meets the head of the next partition that has rows, the last one the first
-    ends = walked.where("part is not null").groupBy("part").agg(F.max("head").alias("head"), F.max("tail").alias("tail"), F.max("doc_id").alias("doc_id"))
-    in_order = Window.orderBy("part")
-    met = ends.withColumn("next", F.coalesce(F.lead("head").over(in_order), F.first("head").over(in_order)))
-
-    def meet(batches):
-        for b in batches:
-            rows = [(d, len(t), *compared(t, Fingerprint.of(t), n, Fingerprint.of(n)), None, None, None) for d, t, n in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True)]
-            if rows:
-                yield _batch(rows).select(list(_KIND)[:7])
 
-    last_ones = met.select("doc_id", "tail", "next").mapInArrow(lean(meet), COLUMNS)
-    digits = {c: F.lower(F.hex(c)) for c in ("fingerprint", "edited_fingerprint")}
-    return walked.where("part is null").select(*last_ones.columns).unionByName(last_ones).withColumns(digits)
+    letters = {c: F.translate(F.base64(c), "\r\n", "") for c in ("fingerprint", "edited_fingerprint")}
+    return dealt.mapInArrow(lean(walk), COLUMNS).withColumns(letters)
 
 
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,22 +1,30 @@
 """Secret scans: fixed patterns, and a randomness test battery for what they miss.
 
 Base spans are the matches of three patterns.  Beyond them, every run of CANDIDATE
-characters that overlaps no base span is tested.  Its encoding is inferred from its
-characters (hexadecimal, base32, letters and digits, base64), which fixes an alphabet.
-Three statistics compare its codes with uniform draws from that alphabet: chi-squared
-uniformity, runs above and below the middle, and serial correlation.
-
-* A secret must look random: none of the three may reject uniform draws (LOOKS_RANDOM
-  standard errors).
-* The claim must be significant against written text, whose letters repeat more, stay
-  longer on one side and follow each other more closely (TEXT_REPEATS, TEXT_RUNS,
-  TEXT_SERIAL).  The power grows with the length, so the p-value takes it into account.
-* The candidates of a document are one family: Benjamini-Hochberg at RATE on p-values
-  weighted by length (mean weight 1).
-
-A document's result depends on the document only, so the scan is one narrow pass of
-SQL expressions.  Start and end of a match follow from the lengths of the pieces
-between matches, since the SQL functions give matches without their places.
+characters outside the base spans is tested.  Its encoding is inferred from its
+characters (ENCODINGS: hexadecimal, base32, letters and digits of one case, of both,
+base64), which fixes an alphabet in code order and its cells, groups of characters
+that are so large that their counts can be tested in short strings.
+
+* A secret must look random: uniform draws from the alphabet must not be rejected by
+  the chi-squared test of the cells' counts, the test of the number of runs (of lower
+  case in alphabets that have both, of digits in others), nor that of the serial
+  correlation of the codes (each within LOOKS_RANDOM standard errors; chi-squared by
+  its cube root, which is near normal).
+* It must not look written: the p-value is that of the cells' counts under the
+  alphabet's shares in written text, whose chi-squared is divided by SPREAD because
+  words' letters come in clusters.  It falls with the length.  A run of digits only is a
+  number, and what doesn't look random has p-value 1.
+* All candidates of the corpus with the same encoding and length class are a family:
+  Benjamini-Hochberg at RATE, with the share of true nulls estimated from the upper half
+  of the p-values.  The families' p-values are counted in BINS bins by a grouped
+  aggregation, so each family is a few rows whatever the corpus.
+
+So which random spans are reported depends on the whole corpus; base spans do not.  The
+text is scanned twice, once for the counts and once for the result, both times in one
+narrow pass of SQL expressions.  Start and end of a match follow from the lengths of the
+pieces between matches, as running sums by chunks, since the SQL functions give matches
+without their places; a text with very many matches costs in proportion.
 
 Null and empty texts have no spans.  Places are code points, ends are exclusive.  Rows and
 other columns stay as they are, repeated ones too; columns named like the results are
@@ -25,7 +33,7 @@ replaced; an empty table gives an empty table.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import table
@@ -38,37 +46,66 @@ ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}"
 KINDS = ("assign", "access", "hex", "random")
-#: Inferred encodings: what all characters match, and the alphabet in code order.
+#: Inferred encodings, the first that fits: what all characters match, the alphabet in code order, the characters whose
+#: runs are counted, and the cells with their share in written text (letters by English frequencies, few digits and
+#: capitals; hexadecimal: numbers with the odd letter).
 _DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_MIXED = (("aeiou", 0.32), ("nrstlhd", 0.36), ("bcfgjkmpqvwxyz", 0.17), ("AEIOUNRSTLHD", 0.05), ("BCFGJKMPQVWXYZ", 0.04))
 ENCODINGS = (
-    ("^[0-9a-f]+$", _DIGITS + _LOWER[:6]),
-    ("^[0-9A-F]+$", _DIGITS + _UPPER[:6]),
-    ("^[A-Z2-7]+$", _UPPER + _DIGITS[2:8]),
-    ("^[a-z0-9]+$", _LOWER + _DIGITS),
-    ("^[A-Za-z0-9]+$", _UPPER + _LOWER + _DIGITS),
-    ("^[A-Za-z0-9+/]+$", _UPPER + _LOWER + _DIGITS + "+/"),
-    ("", _UPPER + _LOWER + _DIGITS + "-_+/"),
+    ("^[0-9]+$", _DIGITS, "0-4", ()),
+    ("^[0-9A-F]+$", _DIGITS + _UPPER[:6], "0-9", (("01", 0.27), ("23", 0.17), ("45", 0.17), ("67", 0.17), ("89", 0.17), ("AB", 0.017), ("CD", 0.017), ("EF", 0.016))),
+    ("^[A-Z2-7]+$", _UPPER + _DIGITS[2:8], "0-9", (("AEIOU", 0.37), ("NRSTLHD", 0.41), ("BCFGJKM", 0.115), ("PQVWXYZ", 0.075), ("234567", 0.03))),
+    ("^[a-z0-9]+$", _LOWER + _DIGITS, "0-9", (("aeiou", 0.36), ("nrstlhd", 0.4), ("bcfgjkm", 0.11), ("pqvwxyz", 0.07), ("01234", 0.03), ("56789", 0.03))),
+    ("^[A-Za-z0-9]+$", _UPPER + _LOWER + _DIGITS, "a-z", (*_MIXED, (_DIGITS, 0.06))),
+    ("^[A-Za-z0-9+/]+$", _UPPER + _LOWER + _DIGITS + "+/", "a-z", (*_MIXED, (_DIGITS + "+/", 0.06))),
+    ("^[A-Za-z0-9_-]+$", _UPPER + _LOWER + _DIGITS + "-_", "a-z", (*_MIXED, (_DIGITS + "-_", 0.06))),
+    ("", _UPPER + _LOWER + _DIGITS + "-_+/", "a-z", (*_MIXED, (_DIGITS + "-_+/", 0.06))),
 )
-#: Written text: chance that two letters are equal, runs in standard errors times the root of the length, serial correlation.
-TEXT_REPEATS, TEXT_RUNS, TEXT_SERIAL = 0.065, -0.35, 0.25
-LOOKS_RANDOM, RATE = 3.5, 0.05
+LOOKS_RANDOM, SPREAD, RATE = 3.5, 1.5, 0.05
+#: Lengths from which the length classes after the first begin; z-values of the first bin, of the last one, and bins a unit.
+CLASSES, LEAST_Z, MOST_Z, BINS = (28, 40, 64, 128), -4, 12, 4
+_CHUNK = 256
+
+
+def _let(value: Column, body) -> Column:
+    """body(value), with the value computed once however often body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _upto(sizes: Column) -> Column:
+    """Running sums of an array of integers; chunks keep the cost in proportion to its length."""
+    add = lambda acc, x: F.array_append(acc, F.element_at(acc, -1) + x)
+
+    def joined(chunks):
+        before = F.aggregate(F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + x)), F.array(F.lit(0)), add)
+        return F.flatten(F.zip_with(chunks, F.slice(before, F.lit(1), F.size(chunks)), lambda c, b: F.slice(F.aggregate(c, F.array(b), add), 2, _CHUNK)))
+
+    cut = lambda s: F.transform(F.sequence(F.lit(0), F.floor(F.size(s) / _CHUNK).cast("int")), lambda i: F.slice(s, i * _CHUNK + 1, _CHUNK))
+    return _let(_let(sizes, cut), joined)
+
+
+def _parts(text: Column, pattern: str, group: int, least: int) -> Column:
+    """The pattern's matches with the gap before each, and whether the group has least characters; last the gap behind them."""
+    p = F.lit(pattern)
+    found = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, p, F.lit(0)).alias("m"), F.regexp_extract_all(text, p, F.lit(group)).alias("v"))
+    return F.transform(found, lambda x: F.struct(x["gap"].alias("gap"), x["m"].alias("m"), (F.coalesce(F.length(x["v"]), F.lit(-1)) >= least).alias("ok")))
 
 
 def _found(text: Column, pattern: str, group: int = 0, least: int = 0) -> Column:
     """Array of (start, end, token) of the pattern's matches whose group has least characters."""
-    p = F.lit(pattern)
-    whole, value = F.regexp_extract_all(text, p, F.lit(0)), F.regexp_extract_all(text, p, F.lit(group))
-    parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), whole.alias("m"), value.alias("v"))
-    none = F.array().cast("array<struct<start:int,end:int,token:string>>")
 
-    def step(acc, x):
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["m"])
-        span = F.struct(start.alias("start"), end.alias("end"), x["m"].alias("token"))
-        return F.struct(F.coalesce(end, start).alias("at"), F.when(x["m"].isNull() | (F.length(x["v"]) < least), acc["out"]).otherwise(F.array_append(acc["out"], span)).alias("out"))
+    def placed(parts):
+        ends = _upto(F.transform(parts, lambda x: F.length(x["gap"]) + F.coalesce(F.length(x["m"]), F.lit(0))))
+        spans = F.zip_with(parts, ends, lambda x, e: F.when(x["ok"], F.struct((e - F.length(x["m"])).alias("start"), e.alias("end"), x["m"].alias("token"))))
+        return F.filter(spans, lambda x: x.isNotNull())
+
+    return F.when(text.rlike(pattern), _let(_parts(text, pattern, group, least), placed)).otherwise(F.array().cast("array<struct<start:int,end:int,token:string>>"))
 
-    spans = F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), spans).otherwise(none)
+
+def _blanked(text: Column, pattern: str, group: int = 0, least: int = 0) -> Column:
+    """text with blanks in place of the matches that _found() gives."""
+    kept = F.transform(_parts(text, pattern, group, least), lambda x: F.concat(x["gap"], F.coalesce(F.when(x["ok"], F.repeat(F.lit(" "), F.length(x["m"]))).otherwise(x["m"]), F.lit(""))))
+    return F.array_join(kept, "")
 
 
 def normal(z: Column) -> Column:
@@ -77,110 +114,113 @@ def normal(z: Column) -> Column:
     return 1 / (1 + F.exp(-1.5976 * z - 0.070565992 * z * z * z))
 
 
-def _more(items: Column, **fields) -> Column:
-    """Each struct of the array with more fields, computed from those it has."""
-    return F.transform(items, lambda x: _with(x, fields))
+def _by_encoding(which: Column, make) -> Column:
+    """make(encoding) for the encoding of each number."""
+    out = make(ENCODINGS[-1])
+    for i in reversed(range(len(ENCODINGS) - 1)):
+        out = F.when(which == i, make(ENCODINGS[i])).otherwise(out)
+    return out
+
+
+def _chi(token: Column, n: Column, cells: tuple, shares: list[float]) -> Column:
+    """Chi-squared of the cells' counts against shares."""
+    out = F.lit(0.0)
+    for (chars, _), share in zip(cells, shares, strict=True):
+        count = n - F.length(F.translate(token, chars, ""))
+        out = out + F.pow(count - n * share, 2) / (n * share)
+    return out
+
+
+def _cube(chi: Column, df: int) -> Column:
+    return (F.pow(chi / df, 1 / 3) - (1 - 2 / (9 * df))) / (2 / (9 * df)) ** 0.5
 
 
-def _with(x: Column, fields: dict) -> Column:
-    for name, f in fields.items():
-        x = x.withField(name, f(x))
-    return x
+def _z_uniform(x: Column, e: tuple) -> Column:
+    _, alphabet, _, cells = e
+    return _cube(_chi(x["token"], x["n"], cells, [len(c) / len(alphabet) for c, _ in cells]), len(cells) - 1) if cells else F.lit(99.0)
+
+
+def _z_written(x: Column, e: tuple) -> Column:
+    cells = e[3]
+    return _cube(_chi(x["token"], x["n"], cells, [s for _, s in cells]) / SPREAD, len(cells) - 1) if cells else F.lit(float(LEAST_Z))
+
+
+def _z_runs(x: Column, e: tuple) -> Column:
+    """Of the number of runs of the encoding's class, given the class's count; 0 where there is no such run or nothing else."""
+    inside, outside = f"[{e[2]}]+", f"[^{e[2]}]+"
+    a = F.length(F.regexp_replace(x["token"], outside, "")).cast("double")
+    n = x["n"]
+    both = 2 * a * (n - a)
+    runs = F.regexp_count(x["token"], F.lit(inside)) + F.regexp_count(x["token"], F.lit(outside))
+    variance = both * (both - n) / (n * n * (n - 1))
+    return F.when((both == 0) | (variance <= 0), F.lit(0.0)).otherwise((runs - 1 - both / n) / F.sqrt(variance))
 
 
 def battery(candidates: Column) -> Column:
-    """Candidates (start, end, token) with their statistics and the p-value against written text."""
-    alphabet = lambda x: F.coalesce(*[F.when(x["token"].rlike(p), F.lit(a)) for p, a in ENCODINGS])
-    out = F.transform(candidates, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["token"].alias("token"), alphabet(x).alias("alphabet")))
-    out = F.transform(
-        out,
-        lambda x: F.struct(
-            x["start"].alias("start"),
-            x["end"].alias("end"),
-            F.length(x["alphabet"]).cast("double").alias("k"),
-            F.transform(F.zip_with(F.split(x["token"], ""), F.array_repeat(x["alphabet"], F.length(x["token"])), lambda c, a: F.instr(a, c)), lambda i: i.cast("double")).alias("codes"),
-        ),
-    )
-    high = lambda c, k: F.when(c * 2 > k + 1, 1.0).otherwise(0.0)
-    out = F.transform(
-        out,
-        lambda x: F.struct(
-            x["start"].alias("start"),
-            x["end"].alias("end"),
-            x["k"].alias("k"),
-            F.size(x["codes"]).cast("double").alias("n"),
-            F.aggregate(F.array_distinct(x["codes"]), F.lit(0.0), lambda a, c: a + F.pow(F.size(F.filter(x["codes"], lambda y: y == c)), 2)).alias("squares"),
-            F.aggregate(x["codes"], F.lit(0.0), lambda a, c: a + high(c, x["k"])).alias("high"),
-            F.aggregate(x["codes"], F.lit(0.0), lambda a, c: a + c).alias("sum"),
-            F.aggregate(x["codes"], F.lit(0.0), lambda a, c: a + c * c).alias("sum2"),
-            F.zip_with(F.slice(x["codes"], 1, F.size(x["codes"]) - 1), F.slice(x["codes"], 2, F.size(x["codes"]) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b"))).alias("pairs"),
-        ),
-    )
+    """Candidates (start, end, token) as (start, end, family, bin): the number of their family, and their z-value's bin."""
+    out = F.transform(candidates, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["token"].alias("token"), F.coalesce(*[F.when(x["token"].rlike(p), i) for i, (p, *_) in enumerate(ENCODINGS)]).alias("e"), F.length(x["token"]).cast("double").alias("n")))
+
+    def codes(x):
+        alphabet = _by_encoding(x["e"], lambda e: F.lit(e[1]))
+        return F.transform(F.zip_with(F.split(x["token"], ""), F.array_repeat(alphabet, x["n"].cast("int")), lambda c, a: F.instr(a, c)), lambda i: i.cast("double"))
+
+    out = F.transform(out, lambda x: x.withField("codes", codes(x)))
+    out = F.transform(out, lambda x: x.withField("mean", F.aggregate(x["codes"], F.lit(0.0), lambda a, c: a + c) / x["n"]))
+    # consecutive codes' products, and squares, of what is beyond the mean
     out = F.transform(
         out,
-        lambda x: F.struct(
-            *[x[c].alias(c) for c in ("start", "end", "k", "n", "squares", "high", "sum", "sum2")],
-            F.aggregate(x["pairs"], F.lit(1.0), lambda a, p: a + F.abs(high(p["a"], x["k"]) - high(p["b"], x["k"]))).alias("runs"),
-            F.aggregate(x["pairs"], F.lit(0.0), lambda a, p: a + (p["a"] - x["sum"] / x["n"]) * (p["b"] - x["sum"] / x["n"])).alias("lagged"),
+        lambda x: x.withField("square", F.aggregate(x["codes"], F.lit(0.0), lambda a, c: a + (c - x["mean"]) * (c - x["mean"]))).withField(
+            "lagged", F.aggregate(F.zip_with(F.slice(x["codes"], 1, F.size(x["codes"]) - 1), F.slice(x["codes"], 2, F.size(x["codes"]) - 1), lambda a, b: (a - x["mean"]) * (b - x["mean"])), F.lit(0.0), lambda a, p: a + p)
         ),
     )
-    both = lambda x: 2 * x["high"] * (x["n"] - x["high"])
-    spread = lambda x: F.greatest(F.lit(1e-9), x["sum2"] - x["sum"] * x["sum"] / x["n"])
-    out = _more(
-        out,
-        chi=lambda x: x["k"] * x["squares"] / x["n"] - x["n"],
-        z_runs=lambda x: F.when(both(x) == 0, F.lit(-99.0)).otherwise((x["runs"] - 1 - both(x) / x["n"]) / F.sqrt(F.greatest(F.lit(1e-9), both(x) * (both(x) - x["n"]) / (x["n"] * x["n"] * (x["n"] - 1))))),
-        serial=lambda x: F.when(x["sum2"] - x["sum"] * x["sum"] / x["n"] < 1e-6, F.lit(1.0)).otherwise(x["lagged"] / spread(x)),
-    )
-    repeats = lambda x: F.greatest(F.lit(0.2), x["k"] * TEXT_REPEATS - 1)
-    out = _more(
-        out,
-        random=lambda x: (F.abs((x["chi"] - x["k"] + 1) / F.sqrt(2 * (x["k"] - 1))) <= LOOKS_RANDOM) & (F.abs(x["z_runs"]) <= LOOKS_RANDOM) & (F.abs(x["serial"] * F.sqrt(x["n"]) + 1 / F.sqrt(x["n"])) <= LOOKS_RANDOM),
-        # each oriented so that more than written text has is positive; the mean holds for any dependence between them
-        z=lambda x: (
-            ((x["k"] - 1) + (x["n"] - 1) * repeats(x) - x["chi"]) / F.sqrt(2 * (x["k"] - 1) + 4 * (x["n"] - 1) * repeats(x)) + (x["z_runs"] - TEXT_RUNS * F.sqrt(x["n"])) + (TEXT_SERIAL - x["serial"]) * F.sqrt(x["n"])
-        )
-        / 3,
-    )
-    return _more(out, p=lambda x: F.when(x["random"], 1 - normal(x["z"])).otherwise(F.lit(1.0)))
-
+    serial = lambda x: F.when(x["square"] < 1e-6, F.lit(99.0)).otherwise((x["lagged"] / x["square"] + 1 / x["n"]) * F.sqrt(x["n"]))
+    random = lambda x: (_by_encoding(x["e"], lambda e: _z_uniform(x, e)) <= LOOKS_RANDOM) & (F.abs(_by_encoding(x["e"], lambda e: _z_runs(x, e))) <= LOOKS_RANDOM) & (F.abs(serial(x)) <= LOOKS_RANDOM)
+    z = lambda x: F.when(random(x), F.greatest(F.lit(float(LEAST_Z)), F.least(F.lit(float(MOST_Z)), _by_encoding(x["e"], lambda e: _z_written(x, e))))).otherwise(float(LEAST_Z))
+    length = lambda x: sum((x["n"] >= c).cast("int") for c in CLASSES)
+    return F.transform(out, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), (x["e"] * 8 + length(x)).alias("family"), F.floor(z(x) * BINS).cast("int").alias("bin")))
 
-def discoveries(tested: Column, rate: float = RATE) -> Column:
-    """The candidates that length-weighted Benjamini-Hochberg accepts, as (start, end)."""
-    mean = F.aggregate(tested, F.lit(0.0), lambda a, x: a + x["n"], lambda a: a / F.greatest(F.lit(1), F.size(tested)))
-    # mean is part of the array's struct, so that it is computed once
-    carried = F.arrays_zip(tested.alias("t"), F.array_repeat(mean, F.size(tested)).alias("mean"))
-    weighed = F.array_sort(F.transform(carried, lambda y: F.struct((y["t"]["p"] * y["mean"] / y["t"]["n"]).alias("q"), y["t"]["start"].alias("start"), y["t"]["end"].alias("end"))))
-    return F.when(F.size(tested) == 0, F.array().cast("array<struct<q:double,start:int,end:int>>")).otherwise(weighed)
 
-
-def accepted(weighed: Column, rate: float = RATE) -> Column:
-    """Of candidates sorted by weighted p-value q those up to the last with q <= rate * rank / count."""
-    last = F.aggregate(
-        weighed,
-        F.struct(F.lit(0).alias("i"), F.lit(0).alias("last")),
-        lambda a, x: F.struct((a["i"] + 1).alias("i"), F.when(x["q"] * F.size(weighed) <= rate * (a["i"] + 1), a["i"] + 1).otherwise(a["last"]).alias("last")),
-        lambda a: a["last"],
-    )
-    return F.slice(weighed, F.lit(1), last)
+def thresholds(tested: DataFrame, rate: float = RATE) -> dict[int, int]:
+    """The least accepted bin of each family in the column tested, where there is one: at most one number an encoding and length class."""
+    counts = tested.select(F.explode_outer("tested").alias("x")).groupBy("x.family", "x.bin").agg(F.count("*").alias("n"))
+    whole = Window.partitionBy("family")
+    p = 1 - normal(F.col("bin") / BINS)
+    counts = counts.where("family is not null")
+    upper = F.sum(F.when(F.col("bin") < 0, F.col("n")).otherwise(0)).over(whole)
+    counted = counts.withColumn("m", F.sum("n").over(whole)).withColumn("nulls", F.least(F.col("m"), 2 * (upper + 1))).withColumn("r", F.sum("n").over(whole.orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0)))
+    kept = counted.where((F.col("bin") > LEAST_Z * BINS) & (p * F.col("nulls") <= rate * F.col("r")))
+    return {r.family: r.bin for r in kept.groupBy("family").agg(F.min("bin").alias("bin")).collect()}
 
 
 def _tagged(spans: str, kind: int) -> Column:
     return F.transform(spans, lambda x: F.struct(x["start"].alias("start"), F.lit(kind).alias("kind"), x["end"].alias("end")))
 
 
+def _spans(docs: DataFrame, text: str, own: list[Column]) -> DataFrame:
+    """own with the base spans __a, __k and __h, and battery() of the candidates outside them as __t.
+
+    Each step is a column of its own, as Spark would compute it for each of its uses otherwise.
+    """
+    t = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(*own, t.alias("__x"), _found(t, ASSIGN, 2, ASSIGN_LEAST).alias("__a"), _found(t, ACCESS).alias("__k"), _found(t, HEX).alias("__h"))
+    free = lambda base, *pattern: F.when(F.size(base) > 0, _blanked(F.col("__x"), *pattern)).otherwise(F.col("__x"))
+    for base, *pattern in (("__a", ASSIGN, 2, ASSIGN_LEAST), ("__k", ACCESS), ("__h", HEX)):
+        rows = rows.withColumn("__x", free(base, *pattern))
+    rows = rows.withColumn("__c", _found(F.col("__x"), CANDIDATE)).drop("__x")
+    return rows.withColumn("__t", F.when(F.size("__c") > 0, battery(F.col("__c")))).drop("__c")
+
+
 def scan(docs: DataFrame, text: str = "text", rate: float = RATE) -> DataFrame:
-    """docs with n_assign, n_access, n_hex, and found: all spans (start, kind, end, base), by start and kind."""
+    """docs with n_assign, n_access, n_hex, and found: all spans (start, kind, end), by start and kind."""
     names = ["n_assign", "n_access", "n_hex", "found"]
-    t = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.drop(*names)
-    own = [F.col(c) for c in rows.columns]
-    rows = rows.select(*own, _found(t, ASSIGN, 2, ASSIGN_LEAST).alias("__a"), _found(t, ACCESS).alias("__k"), _found(t, HEX).alias("__h"), _found(t, CANDIDATE).alias("__c"))
-    base = F.concat("__a", "__k", "__h")
-    free = F.filter("__c", lambda c: ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    rows = rows.withColumn("__t", F.when(F.size("__c") == 0, None).otherwise(battery(free)))
-    rows = rows.withColumn("__t", F.when(F.col("__t").isNotNull(), discoveries(F.col("__t"), rate)))
-    rows = rows.withColumn("__r", F.coalesce(accepted(F.col("__t"), rate), F.array().cast("array<struct<q:double,start:int,end:int>>")))
+    least = thresholds(_spans(docs, text, []).select(F.col("__t").alias("tested")), rate)
+    own = [F.col(c) for c in docs.columns if c not in names]
+    rows = _spans(docs, text, own)
+    accepted = F.array().cast("array<struct<start:int,end:int,family:int,bin:int>>")
+    if least:
+        bound = F.create_map(*[F.lit(v) for pair in least.items() for v in pair])
+        accepted = F.coalesce(F.filter("__t", lambda x: F.coalesce(x["bin"] >= F.element_at(bound, x["family"]), F.lit(False))), accepted)
+    rows = rows.withColumn("__r", accepted)
     tagged = [_tagged(c, k) for k, c in enumerate(("__a", "__k", "__h", "__r"))]
     return rows.select(*own, F.size("__a").cast("long").alias("n_assign"), F.size("__k").cast("long").alias("n_access"), F.size("__h").cast("long").alias("n_hex"), F.sort_array(F.concat(*tagged)).alias("found"))
 

@@ -33,6 +33,8 @@ from ledgerloom.llm.common import append, cut, lean, sliced, table, texts
 
 #: Weight of the pooled covariance in a class covariance, and of the scaled identity in the sum.
 TO_POOLED, TO_IDENTITY = 0.1, 0.05
+#: Label rows (12 bytes) that may be broadcast.
+FEW = 100_000
 #: Character classes by byte: lower, upper, digit, blank, line end, sentence marks, other ASCII, beyond ASCII.
 _CLASS = np.array(
     [0 if 97 <= c <= 122 else 1 if 65 <= c <= 90 else 2 if 48 <= c <= 57 else 3 if c in b" \t" else 4 if c in b"\n\r" else 5 if c in b".,;:?'\"-()" else 7 if c >= 128 else 6 for c in range(256)],
@@ -130,13 +132,16 @@ def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     return append(docs, T.StructType([T.StructField("stats", T.ArrayType(T.DoubleType()))]), make)
 
 
-def fit(stats: DataFrame, labels: DataFrame, to_pooled: float = TO_POOLED, to_identity: float = TO_IDENTITY) -> Discriminant:
-    """The model from rows (doc_id, stats) and labels (doc_id, quality), without the held-out rows.
+def known_rows(labels: DataFrame) -> DataFrame:
+    """doc_id and quality of the labels that may be learnt from."""
+    return labels.where("quality in (0, 1) and doc_id is not null").where(f"not {HELD_OUT}").select("doc_id", F.col("quality").cast("int")).distinct()
+
+
+def fit(rows: DataFrame, to_pooled: float = TO_POOLED, to_identity: float = TO_IDENTITY) -> Discriminant:
+    """The model from rows (quality, stats).
 
     Moments are summed in each partition and then by (class, position); the driver gets 2 * (1 + d + d * d) numbers.
     """
-    known = labels.where("quality in (0, 1) and doc_id is not null").where(f"not {HELD_OUT}").select("doc_id", F.col("quality").cast("int")).distinct()
-    rows = stats.select("doc_id", "stats").join(known, "doc_id").select("quality", "stats")
     d = len(NAMES)
 
     def moments(batches):
@@ -149,7 +154,7 @@ def fit(stats: DataFrame, labels: DataFrame, to_pooled: float = TO_POOLED, to_id
                 total[k] += np.concatenate([[len(y)], y.sum(axis=0), (y.T @ y).ravel()])
         yield pa.RecordBatch.from_arrays([pa.array([0, 1], pa.int32()), pa.array(list(total), pa.list_(pa.float64()))], names=["quality", "m"])
 
-    parts = rows.mapInArrow(lean(moments), "quality int, m array<double>").select("quality", F.posexplode("m").alias("at", "v"))
+    parts = rows.select("quality", "stats").mapInArrow(lean(moments), "quality int, m array<double>").select("quality", F.posexplode("m").alias("at", "v"))
     total = np.zeros((2, 1 + d + d * d))
     for r in parts.groupBy("quality", "at").agg(F.sum("v").alias("v")).collect():
         total[r.quality, r["at"]] = r.v
@@ -173,13 +178,23 @@ def score(stats: DataFrame, model: Discriminant) -> DataFrame:
 
 def classify(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, held_out, score and predicted of each document; its statistics are computed once."""
-    stats = cut(with_statistics(docs.select("doc_id", text), text).drop(text))
-    return score(stats, fit(stats, labels)).select("doc_id", F.expr(HELD_OUT).alias("held_out"), "score", "predicted")
+    stats = cut(with_statistics(docs.select("doc_id", F.col(text).alias("text"))).drop("text"))
+    model = fit(stats.join(known_rows(labels), "doc_id"))
+    return score(stats, model).select("doc_id", F.expr(HELD_OUT).alias("held_out"), "score", "predicted")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
-    """The documents whose predicted class is 1, with all their columns."""
-    model = fit(with_statistics(docs.select("doc_id", text), text).drop(text), labels)
+    """The documents whose predicted class is 1, with all their columns.
+
+    The model learns from rows that may be learnt from only; few labels (up to FEW rows, counted) are broadcast so that
+    other texts need no statistics, many meet the statistics instead of the texts in a shuffle.  All documents are scored as they pass.
+    """
+    known, learnt = known_rows(labels), docs.where(f"not {HELD_OUT}").select("doc_id", F.col(text).alias("text"))
+    if known.count() <= FEW:
+        rows = with_statistics(learnt.join(F.broadcast(known), "doc_id").select("quality", "text"))
+    else:
+        rows = with_statistics(learnt).drop("text").join(known, "doc_id")
+    model = fit(rows)
 
     def run(batches):
         for b in sliced(batches):

@@ -35,11 +35,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.llm.common import append, cut, lean, texts
+from ledgerloom.llm.common import append, cut, lean, stored, texts
 
 SHINGLE, MOST_BITS = 4, 4
 #: Rows of an anchor's bucket that one task takes whole; distinct fingerprints from which pairs of segments are used.
 BUCKET, PAIRS = 20_000, 8_000_000
+#: A key with more than this part of all rows is joined by broadcast.
+HOT = 1000
 #: First bit and width of each segment.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Generator polynomial of the binary Golay code of length 23 (a fixed value).
@@ -209,6 +211,16 @@ def linked(nodes: DataFrame, most_bits: int = MOST_BITS, bucket: int = BUCKET, p
     return cells.mapInArrow(lean(compare), "a long, b long").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def joined(left: DataFrame, right: DataFrame, key: str, total: int) -> DataFrame:
+    """left with right's columns by key, where right has one row a key with n, the key's number of left's total rows.
+
+    Keys with more than a HOT-th of all rows, fewer than HOT in number, are broadcast, so that their rows stay where they are.
+    """
+    hot = F.broadcast(right.where(F.col("n") * HOT > total).drop("n"))
+    rest = right.where(F.col("n") * HOT <= total).drop("n")
+    return left.join(hot, key).unionByName(left.join(hot, key, "left_anti").join(rest, key))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges (a, b): root is the smallest node of its component.
 
@@ -218,14 +230,14 @@ def components(edges: DataFrame) -> DataFrame:
     now = cut(edges.select("a", "b"))
     while True:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()  # b > a: larger neighbours to the smallest
-        down = large.where("a <> b")
-        low2 = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(low2, "a").select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
+        up = both.where("b > a")  # larger neighbours to the smallest
+        low = both.groupBy("a").agg(F.min("b").alias("m"), F.sum((F.col("b") > F.col("a")).cast("int")).alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+        down = cut(joined(up, low, "a", now.count()).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct().where("a <> b"))
+        low2 = down.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = joined(down, low2, "a", down.count()).select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
         new = cut(small)
         # done when every node hangs on one root and no root hangs on another
-        more = new.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a").union(new.select("a").join(new.select(F.col("b").alias("a")), "a", "left_semi"))
+        more = new.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a").union(new.select("a").join(new.select(F.col("b").alias("a")).distinct(), "a", "left_semi"))
         now = new
         if more.isEmpty():
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
@@ -233,31 +245,29 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most_bits: int = MOST_BITS, bucket: int = BUCKET, pairs: int = PAIRS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of each document."""
-    prints = cut(with_fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text").drop("text"))
+    prints = cut(with_fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))).drop("text"))
     return grouped(prints, most_bits, bucket, pairs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def grouped(prints: DataFrame, most_bits: int = MOST_BITS, bucket: int = BUCKET, pairs: int = PAIRS) -> DataFrame:
     """Rows (doc_id, fp) with their component_id."""
-    nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
     roots = components(linked(nodes, most_bits, bucket, pairs))
-    known = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    best = known.groupBy("root").agg(F.min("first").alias("component_id"))
-    return prints.join(known.join(best, "root").select("fp", "component_id"), "fp")
+    known = cut(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    best = known.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n"))
+    of_node = joined(known.select("fp", "root", F.col("n").alias("rows")), best, "root", known.count())
+    return joined(prints, of_node.select("fp", "component_id", F.col("rows").alias("n")), "fp", prints.count())
 
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most_bits: int = MOST_BITS) -> DataFrame:
-    """docs, of each group of near duplicates the row with the smallest doc_id only, with all its columns.
+    """docs, of each group of near duplicates the row with the smallest doc_id only (of several the first), with all its columns.
 
-    Rows that share that doc_id and fingerprint are reduced to one.  Null doc_ids come last.
+    Null doc_ids come last.  Fingerprints are computed once and stored beside the rows, whose numbers decide what stays.
     """
-    prints = cut(with_fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text").drop("text"))
-    nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    rows = stored(with_fingerprints(docs, text, "__simhash").withColumn("__simhash_row", F.monotonically_increasing_id()))
+    prints = rows.select(F.col("__simhash").alias("fp"), F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.col("__simhash_row").alias("row")).alias("first"))
+    nodes = cut(prints.groupBy("fp").agg(F.min("first").alias("first")))
     roots = components(linked(nodes, most_bits))
     known = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
-    # one row for each group: the fingerprint and doc_id that stay (null doc_ids lose)
-    stay = known.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "fp")).alias("s")).select(F.col("s.first").alias("__first"), F.col("s.fp").alias("__stay"))
-    printed = with_fingerprints(docs, text, "__fp")
-    kept = printed.join(stay, (F.col("__fp") == F.col("__stay")) & F.col(doc_id).eqNullSafe(F.col("__first")))
-    one = kept.dropDuplicates([doc_id, "__fp"])
-    return one.select(*docs.columns)
+    stay = known.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("s")).select(F.col("s.row").alias("__simhash_row"))
+    return rows.join(stay, "__simhash_row", "left_semi").select(*docs.columns)

@@ -99,10 +99,15 @@ def test_decontamination(spark, empty):
     line = lambda n: " ".join(r.choice(words) + r.choice(["", ",", "-", "  "]) for _ in range(n))
     items = [(i, line(n)) for i, n in enumerate((12, 3, 15, 10, 1))] + [(9, None), (10, "!!"), (1, "B a")]
     texts = [line(40) for _ in range(30)] + ["x " + items[0][1].upper() + " y", None, "", items[2][1]]
+    items += [(20, " ".join(f"w{k}" for k in range(5))), (21, " ".join(f"w{k}" for k in range(23))), (22, " ".join(f"w{k}" for k in range(3, 30)))]
+    texts += ["q " + " ".join(f"w{k}" for k in range(a, b)) + " q" for a, b in ((0, 9), (0, 10), (1, 11), (4, 14), (7, 17), (13, 23), (14, 24), (2, 30))] + ["w1 " * 300 + " ".join(f"w{k}" for k in range(30)) * 40]
+    texts += texts[:5]
     bench = spark.createDataFrame(items, "item_id long, text string")
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("items", F.lit(7))
-    for most in (10**9, 300):
-        for x in decontaminate.decontaminate(rows, bench, slice_chars=most).collect():
+    for most in (10**9, 120):
+        found = decontaminate.decontaminate(rows, bench, slice_chars=most)
+        assert found.columns == ["doc_id", "text", *decontaminate.RESULT.names] and found.count() == len(texts)
+        for x in found.collect():
             n, hit, found = brute_hits(x.text, [i for i in items if i[1]])
             assert (x.n_words, x.n_hit, x.items_sha256, x.contaminated) == (n, hit, hashlib.sha256(found.encode()).hexdigest(), hit > 0)
             covered = " ".join(x.text[s.start : s.end] for s in x.spans) if x.text else ""

@@ -27,7 +27,6 @@ from 65,536 on raise ValueError, and so does a block whose checksum is wrong.
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from functools import lru_cache
 
@@ -38,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import context_mixing as cm
-from ledgerloom.llm.common import lean, portions, shared_dir, sliced
+from ledgerloom.llm.common import lean, portions, shared_path, sliced
 from ledgerloom.llm.token_counts import tokenizer
 
 END_ID = 2
@@ -327,6 +326,6 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False, together
 
 def token_output(docs: DataFrame) -> DataFrame:
     """Writes docs' ids into a new folder in the shared one and reads them back."""
-    path = f"{shared_dir(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
+    path = shared_path(docs.sparkSession, "tokens")
     write_tokens(docs, path)
     return read_tokens(docs.sparkSession, path)

@@ -27,16 +27,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: the session's spark.checkpoint.dir.
 
-    Where the setting is absent (local tests) a temporary folder is made and set.
+    Where the setting is absent a temporary folder is made and set, under a local master only:
+    executors elsewhere would write to their own disks.
     """
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="ledgerloom-")
         sc.setCheckpointDir(found)
     return found
 
 
+#: Folders made by this process in the shared one.
+_MADE: list[str] = []
+
+
+def shared_path(spark: SparkSession, kind: str) -> str:
+    """A new folder's name in the shared one, to be removed by remove() or, with all others, by clear()."""
+    _MADE.append(f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    if path in _MADE:
+        _MADE.remove(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Removes all folders made so far; results that read them lazily are lost."""
+    for path in list(_MADE):
+        remove(spark, path)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Compute df once and store it in the shared folder, so that lost executors
     never repeat the steps before it and several readers share one pass."""
@@ -46,7 +72,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 def stored(df: DataFrame) -> DataFrame:
     """As cut(), but as a Parquet table in the shared folder: smaller, and columns are read singly."""
-    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    path = shared_path(df.sparkSession, "table")
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 

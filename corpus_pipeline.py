@@ -6,13 +6,11 @@ the last one returns what token output says of its input.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.binary_output import token_output
-from ledgerloom.llm.common import shared_dir, table
+from ledgerloom.llm.common import remove, shared_path, table
 from ledgerloom.llm.decontaminate import decontaminate
 from ledgerloom.llm.mixing import mix
 from ledgerloom.llm.quality import keep_good
@@ -29,10 +27,21 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_near_duplicates(docs)
 
 
+def set_aside(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs under names that no operator gives to its results, and the new name of each column."""
+    names = {c: f"__column_{c}" for c in docs.columns}
+    return docs.withColumnsRenamed(names), names
+
+
+def put_back(rows: DataFrame, names: dict[str, str]) -> DataFrame:
+    return rows.select(*[F.col(f"`{new}`").alias(old) for old, new in names.items()])
+
+
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with words in an occurrence of a benchmark window go."""
-    found = decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return found.where(~F.col("contaminated")).select(*docs.columns)
+    rows, names = set_aside(docs)
+    found = decontaminate(rows, table(spark, sf_dir, "benchmark"), text=names["text"])
+    return put_back(found.where(~F.col("contaminated")), names)
 
 
 def to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +49,8 @@ def to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     The shuffle within the mix's shards does not outlast this stage, as tokens() orders by doc_id.
     """
-    return mix(docs).drop("shard")
+    rows, names = set_aside(docs)
+    return put_back(mix(rows, doc_id=names["doc_id"], text=names["text"], source=names["source"]), names)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,15 +66,23 @@ STAGES = [
     ("token_output", tokens),
 ]
 
-#: None: the classifier, XXH64 fingerprints and the tokenizer can't be expressed in SQL; tests/llm check each stage's columns and counts, and compare single operators (not the classifier) with brute force.
+#: None: the classifier, XXH64 fingerprints and the tokenizer can't be expressed in SQL; tests/llm compare each stage's rows with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows for the documents of sf_dir."""
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows for the documents of sf_dir.
+
+    A stage's table is removed once the next one is written; the token files stay for the caller (common.clear).
+    """
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        path = f"{shared_dir(spark)}/corpus-{name}-{uuid.uuid4().hex}"
+        path = shared_path(spark, f"corpus-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
-    return STAGES[-1][1](spark, docs, sf_dir)
+        if last:
+            remove(spark, last)
+        last = path
+    out = STAGES[-1][1](spark, docs, sf_dir)
+    remove(spark, last)
+    return out

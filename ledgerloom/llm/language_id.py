@@ -3,7 +3,10 @@
 Four kinds of evidence are combined as log-odds for each known language:
 
 * the text, by a naive Bayes model over hashed byte trigrams, trained here on labelled
-  documents and tempered because neighbouring trigrams overlap;
+  documents: the mean log-likelihood of a trigram times an effective number of them, which
+  grows with the text (neighbouring trigrams overlap) and is bounded by MOST, since more of the
+  same text says no more about a page.  So a long text that speaks for no language clearly
+  is decided by the rest of the evidence;
 * the language that the markup declares, by P(declared | language);
 * the address suffix, by P(suffix | language);
 * the host, by a prior that is smoothed towards its domain's, and that towards the
@@ -11,10 +14,12 @@ Four kinds of evidence are combined as log-odds for each known language:
 
 The last three are learnt from the rows themselves: sums of the text posteriors by
 declared language, suffix, host and domain, in grouped aggregations that are summed
-within each task first.  A row's own posterior is taken out of its host's sums.  Only
-the table of declared two-letter codes (676 at most) is broadcast; the row for each
-host carries everything that depends on the host and is joined by it.
+within each task first.  A row's own posterior is taken out of all of them.  P(value |
+language) is over the values seen and one more for unseen ones, and sums to 1.  Only
+the table of declared two-letter codes (676 at most) and hosts with more than a thousandth
+of all rows (so fewer than a thousand) are broadcast; other hosts are joined by a shuffle.
 
+Only two-letter language codes are learnt from, so the model has 676 languages at most.
 Null or empty texts have no text evidence; a missing declaration, address or host gives
 no evidence of that kind.  Rows are never dropped, repeated ones stay repeated; ties go
 to the language first in order.  Without any labelled text the result's language is null.
@@ -33,9 +38,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.llm.common import append, cut, lean, table, texts
+from ledgerloom.llm.common import append, cut, joined, lean, table, texts
 
-BUCKETS, TEMPER = 16_384, 0.3
+BUCKETS, TEMPER, MOST = 16_384, 0.3, 20.0
 #: Pseudo-counts: of a trigram, of the overall prior in a domain's, of a domain's in a host's, of an evidence value.
 TRIGRAM, TO_ALL, TO_DOMAIN, VALUE = 0.5, 10.0, 5.0, 0.5
 HELD_OUT = "coalesce(crc32(cast(cast(doc_id as string) as binary)) % 3 = 1, false)"
@@ -61,12 +66,12 @@ class Model:
 
     def likelihood(self, text: str) -> np.ndarray:
         t = trigrams(text)
-        return TEMPER * self.log[t].sum(axis=0) if len(t) else np.zeros(len(self.languages))
+        return min(TEMPER * len(t), MOST) * self.log[t].mean(axis=0) if len(t) else np.zeros(len(self.languages))
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     """Trigram counts of every labelled document, by language; the driver gets BUCKETS numbers a language."""
-    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    rows = docs.where(F.col(lang).rlike("^[a-z]{2}$") & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
 
     def count(batches):
         sums: dict[str, np.ndarray] = {}
@@ -114,30 +119,37 @@ def fuse(rows: DataFrame, languages: tuple[str, ...]) -> DataFrame:
         return rows.drop("likelihood", *names).withColumn("language", F.lit(None).cast("string")).withColumn("confidence", F.lit(None).cast("double"))
     log_sum = lambda a: F.log(sum(F.exp(a[i] - F.array_max(a)) for i in k)) + F.array_max(a)
     rows = rows.withColumn("__p", F.transform("likelihood", lambda x: F.exp(x - log_sum(F.col("likelihood")))))
-    rows = cut(rows.withColumn("__domain", F.array_join(F.slice(F.split("host", r"\."), F.greatest(F.lit(1), F.size(F.split("host", r"\.")) - 1), 2), ".")).withColumn("__suffix", F.element_at(F.split("host", r"\."), -1)))
-    sums = lambda *by: rows.groupBy(*by).agg(*[F.sum(F.col("__p")[i]).alias(f"s{i}") for i in k])
-    vector = lambda prefix="s": F.array(*[F.col(f"{prefix}{i}") for i in k])
-    total = sums().select(*[F.coalesce(F.col(f"s{i}"), F.lit(0.0)).alias(f"t{i}") for i in k]).first()  # one row: the overall sums
-    t = [float(x) for x in total]
-    overall = [(x + 1) / (sum(t) + len(t)) for x in t]
-
-    def evidence(counts: DataFrame, by: str, name: str) -> DataFrame:
-        values = counts.where(F.col(by).isNotNull())
-        return values.select(by, F.array(*[F.log((F.col(f"s{i}") + VALUE) / (t[i] + VALUE * 50)) for i in k]).alias(name))
-
-    hosts = sums("host", "__domain", "__suffix").where(F.col("host").isNotNull())
-    up = lambda by, prefix: hosts.groupBy(by).agg(*[F.sum(f"s{i}").alias(f"{prefix}{i}") for i in k])
-    domains = up("__domain", "d")
-    of_domain = F.array(*[(F.col(f"d{i}") + TO_ALL * overall[i]) / (sum(F.col(f"d{j}") for j in k) + TO_ALL) for i in k])
-    suffixes = evidence(up("__suffix", "s"), "__suffix", "__by_suffix")
-    side = hosts.join(domains.withColumn("__of_domain", of_domain).select("__domain", "__of_domain"), "__domain").join(suffixes, "__suffix").select(F.col("host").alias("__host"), vector().alias("__sums"), "__of_domain", "__by_suffix")
-    codes = evidence(sums("declared"), "declared", "__by_declared").withColumnRenamed("declared", "__code")
+    parts = F.split("host", r"\.")
+    rows = cut(rows.withColumn("__domain", F.array_join(F.slice(parts, F.greatest(F.lit(1), F.size(parts) - 1), 2), ".")).withColumn("__suffix", F.element_at(parts, -1)))
+    added = lambda df, *by: df.groupBy(*by).agg(F.sum("n").alias("n"), F.array(*[F.sum(F.col("v")[i]) for i in k]).alias("v"))
+    single = rows.withColumn("n", F.lit(1)).withColumn("v", F.col("__p"))
+
+    def whole(df: DataFrame) -> tuple[int, list[float]]:
+        """The number of rows of sums, and their total: K numbers."""
+        r = df.agg(F.count(F.lit(1)).alias("c"), F.array(*[F.coalesce(F.sum(F.col("v")[i]), F.lit(0.0)) for i in k]).alias("v")).first()
+        return r.c, r.v
+
+    all_rows, overall = whole(single)
+    codes = cut(added(single.where("declared is not null"), "declared"))
+    hosts = cut(added(single.where("host is not null"), "host", "__domain", "__suffix"))
+    suffixes = cut(added(hosts, "__suffix"))
+    (n_codes, of_codes), (n_suffixes, of_suffixes) = whole(codes), whole(suffixes)
+    side = hosts.withColumnRenamed("v", "__host").join(added(hosts, "__domain").select("__domain", F.col("v").alias("__of_domain")), "__domain").join(suffixes.select("__suffix", F.col("v").alias("__of_suffix")), "__suffix").select("host", "n", "__host", "__of_domain", "__of_suffix")
+    nothing = F.lit(None).cast("array<double>")
+    without = rows.where("host is null").withColumns({c: nothing for c in ("__host", "__of_domain", "__of_suffix")})
+    rows = joined(rows.where("host is not null"), side, "host", all_rows).unionByName(without)
     # declared is a two-letter code: 676 rows at most
-    rows = rows.join(F.broadcast(codes), F.col("declared") == F.col("__code"), "left").join(side, F.col("host") == F.col("__host"), "left")
-    zero = F.array(*[F.lit(0.0)] * len(languages))
-    others = lambda i: F.greatest(F.lit(0.0), F.col("__sums")[i] - F.col("__p")[i])
-    host = [F.when(F.col("__host").isNull(), F.lit(float(np.log(overall[i])))).otherwise(F.log((others(i) + TO_DOMAIN * F.col("__of_domain")[i]) / (sum(others(j) for j in k) + TO_DOMAIN))) for i in k]
-    rows = rows.withColumn("__log", F.array(*[F.col("likelihood")[i] + F.coalesce("__by_declared", zero)[i] + F.coalesce("__by_suffix", zero)[i] + host[i] for i in k]))
+    rows = rows.join(F.broadcast(codes.select(F.col("declared").alias("__code"), F.col("v").alias("__of_code"))), F.col("declared") == F.col("__code"), "left")
+    own = lambda i: F.col("__p")[i]
+    others = lambda v, i: F.greatest(F.lit(0.0), v - own(i))
+    many = lambda c: F.greatest(F.lit(0.0), sum(F.col(c)[i] for i in k) - 1)
+    prior = lambda i: (others(F.lit(overall[i]), i) + 1) / (max(0, all_rows - 1) + len(languages))
+    of_domain = lambda i: (others(F.col("__of_domain")[i], i) + TO_ALL * prior(i)) / (many("__of_domain") + TO_ALL)
+    of_host = lambda i: (others(F.col("__host")[i], i) + TO_DOMAIN * of_domain(i)) / (many("__host") + TO_DOMAIN)
+    value = lambda c, i, total, values: (others(F.col(c)[i], i) + VALUE) / (others(F.lit(total[i]), i) + VALUE * (values + 1))
+    there = lambda c, x, other: F.when(F.col(c).isNotNull(), x).otherwise(other)
+    evidence = lambda i: F.col("likelihood")[i] + F.log(there("__host", of_host(i), prior(i))) + there("__of_suffix", F.log(value("__of_suffix", i, of_suffixes, n_suffixes)), 0.0) + there("__of_code", F.log(value("__of_code", i, of_codes, n_codes)), 0.0)
+    rows = rows.withColumn("__log", F.array(*[evidence(i) for i in k]))
     best = F.array_max("__log")
     out = rows.withColumn("language", F.element_at(F.array(*map(F.lit, languages)), F.array_position("__log", best).cast("int"))).withColumn("confidence", F.exp(best - log_sum(F.col("__log"))))
     return out.drop("likelihood", *[c for c in out.columns if c.startswith("__")])

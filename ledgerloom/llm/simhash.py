@@ -35,13 +35,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.llm.common import append, cut, lean, stored, texts
+from ledgerloom.llm.common import append, cut, joined, lean, stored, texts
 
 SHINGLE, MOST_BITS = 4, 4
 #: Rows of an anchor's bucket that one task takes whole; distinct fingerprints from which pairs of segments are used.
 BUCKET, PAIRS = 20_000, 8_000_000
-#: A key with more than this part of all rows is joined by broadcast.
-HOT = 1000
 #: First bit and width of each segment.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Generator polynomial of the binary Golay code of length 23 (a fixed value).
@@ -211,16 +209,6 @@ def linked(nodes: DataFrame, most_bits: int = MOST_BITS, bucket: int = BUCKET, p
     return cells.mapInArrow(lean(compare), "a long, b long").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def joined(left: DataFrame, right: DataFrame, key: str, total: int) -> DataFrame:
-    """left with right's columns by key, where right has one row a key with n, the key's number of left's total rows.
-
-    Keys with more than a HOT-th of all rows, fewer than HOT in number, are broadcast, so that their rows stay where they are.
-    """
-    hot = F.broadcast(right.where(F.col("n") * HOT > total).drop("n"))
-    rest = right.where(F.col("n") * HOT <= total).drop("n")
-    return left.join(hot, key).unionByName(left.join(hot, key, "left_anti").join(rest, key))
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges (a, b): root is the smallest node of its component.
 

@@ -77,6 +77,60 @@ def test_language_id(spark, empty):
     assert language_id.identify(train, language_id.Model((), np.zeros((language_id.BUCKETS, 0)))).first().language is None
 
 
+def test_language_evidence_against_direct_computation(spark):
+    """Every row's posterior computed directly, each time without the row itself; pages whose text and markup disagree."""
+    r, k = random.Random(22), 3
+    names = ("de", "en", "fr")
+    model = language_id.Model(names, np.log(np.random.default_rng(2).dirichlet(np.ones(k) * 30, language_id.BUCKETS)))
+    rows = []
+    for i in range(60):
+        host = r.choice(["a.x.de", "b.x.de", "c.fr", "localhost", None])
+        text = " ".join(r.choice(["haus", "house", "maison", "und", "and", "et"]) for _ in range(r.choice([0, 1, 5, 400])))
+        rows.append((i, f"http://{host}/p{i}" if host else None, (f'<html lang="{r.choice(names)}">' if i % 3 else "<html>") + text, "clash"))
+    rows += rows[:5]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, language string")
+    like = [model.likelihood(language_id.visible(h)) for _, _, h, _ in rows]
+    p = [np.exp(x - x.max()) / np.exp(x - x.max()).sum() for x in like]
+    host = [u and u[7:].split("/")[0] for _, u, _, _ in rows]
+    code = [h[12:14] if "lang" in h else None for _, _, h, _ in rows]
+    domain, suffix = [h and ".".join(h.split(".")[-2:]) for h in host], [h and h.split(".")[-1] for h in host]
+    want = []
+    for i in range(len(rows)):
+        rest = [j for j in range(len(rows)) if j != i]
+        total = lambda ok: sum((p[j] for j in rest if ok(j)), np.zeros(k))  # noqa: B023, E731
+        log = like[i].copy()
+        prior = (total(lambda j: True) + 1) / (len(rest) + k)
+        if host[i]:
+            d = total(lambda j: domain[j] == domain[i])  # noqa: B023
+            prior = (d + language_id.TO_ALL * prior) / (d.sum() + language_id.TO_ALL)
+            h = total(lambda j: host[j] == host[i])  # noqa: B023
+            prior = (h + language_id.TO_DOMAIN * prior) / (h.sum() + language_id.TO_DOMAIN)
+            v = len({s for s in suffix if s}) + 1
+            log += np.log((total(lambda j: suffix[j] == suffix[i]) + 0.5) / (total(lambda j: suffix[j] is not None) + 0.5 * v))  # noqa: B023
+        if code[i]:
+            v = len({c for c in code if c}) + 1
+            log += np.log((total(lambda j: code[j] == code[i]) + 0.5) / (total(lambda j: code[j] is not None) + 0.5 * v))  # noqa: B023
+        log += np.log(prior)
+        q = np.exp(log - log.max()) / np.exp(log - log.max()).sum()
+        want.append((rows[i][0], names[int(q.argmax())], float(q.max())))
+    out = language_id.identify(df, model, None, "html", "url").collect()
+    for (i, name, c), x in zip(sorted(want), sorted((x.page_id, x.language, x.confidence) for x in out), strict=True):
+        assert (i, name) == x[:2] and c == pytest.approx(x[2], abs=1e-9)
+
+
+def test_declared_language_decides_where_the_text_does_not(spark):
+    vocab = {"en": "the of and to in that with for was".split(), "de": "der die und nicht ein mit von war".split()}
+    r = random.Random(3)
+    line = lambda name, n: " ".join(r.choice(vocab[name]) for _ in range(n))
+    train = spark.createDataFrame([(i, line(n, 30), n) for i, n in enumerate(["en", "de"] * 20)], "doc_id long, text string, lang string")
+    model = language_id.train(train)
+    pages = [(f"http://{n}{i}.org/", f'<html lang="{n}">{line(n, 40)}', n) for i in range(40) for n in ("en", "de")]
+    mixed = "zz " * 5000  # a long text that says nothing
+    pages += [("http://x.org/", f'<html lang="{n}">{mixed}', n) for n in ("en", "de")] + [("http://y.org/", f'<html lang="de">{line("en", 60)}', "en")]
+    out = language_id.identify(spark.createDataFrame(pages, "url string, html string, want string"), model, None, "html", "url").collect()
+    assert all(x.language == x.want for x in out)
+
+
 # --- 3
 
 def brute_hits(text, items, window=10):

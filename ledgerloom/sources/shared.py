@@ -5,14 +5,17 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def folder(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; a temporary folder of its own where that is unset."""
+    """The session's spark.checkpoint.dir; a temporary folder of its own where that is unset and the master local."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="ledgerloom-")
         sc.setCheckpointDir(found)
     return found
@@ -27,3 +30,17 @@ def cut(df: DataFrame) -> DataFrame:
     """Compute df once and keep it in the shared folder, cutting its lineage."""
     folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def numbered(df: DataFrame, *order: Column, name: str = "place") -> DataFrame:
+    """df with the place of each row, from 1 on, in a total order: rows are numbered within the sorted ranges
+    that Spark deals out, and each range starts behind the counts of those before it (one number a range)."""
+    at = F.monotonically_increasing_id()  # the range in the bits from 33 on, the row in it below
+    ranged = cut(df.orderBy(*order).withColumn("__at", at))
+    part, row = F.shiftright("__at", 33), F.col("__at").bitwiseAND((1 << 33) - 1)
+    starts, upto = [], 0
+    for r in sorted(ranged.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()):
+        starts.append((r.p, upto))
+        upto += r.n
+    ahead = df.sparkSession.createDataFrame(starts, "__p long, __ahead long")
+    return ranged.join(F.broadcast(ahead), part == F.col("__p")).withColumn(name, F.col("__ahead") + row + 1).drop("__at", "__p", "__ahead")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -203,6 +204,31 @@ def test_mixing(spark, docs, empty):
     assert mixing.amounts(empty).count() == 0 and mixing.mix(empty).count() == 0
 
 
+def test_splitting_tree(spark, monkeypatch):
+    """Draws follow the hypergeometric distribution, halves and quotas are exact, shards have a bounded size, reruns agree."""
+    nodes = spark.range(4000).selectExpr("id as node", "7L as d", "array(named_struct('item', 0L, 'q', 5L), named_struct('item', 1L, 'q', 9L), named_struct('item', 2L, 'q', 1L)) as members")
+    seen = Counter(tuple(x.l for x in r.left) for r in mixing.drawn(nodes).collect())
+    choose = lambda n, k: math.comb(n, k) if 0 <= k <= n else 0
+    want = {(a, b, 7 - a - b): choose(5, a) * choose(9, b) * choose(1, 7 - a - b) / choose(15, 7) for a in range(6) for b in range(8)}
+    want = {k: v for k, v in want.items() if v}
+    assert set(seen) <= set(want) and sum((seen[k] - 4000 * v) ** 2 / (4000 * v) for k, v in want.items()) < len(want) + 5 * (2 * len(want)) ** 0.5
+    big = spark.range(300).selectExpr("id as node", "5000000L as d", "array(named_struct('item', 0L, 'q', 4000000L), named_struct('item', 1L, 'q', 6000000L)) as members")
+    left = np.array([r.left[0].l for r in mixing.drawn(big).collect()])
+    deviation = (5e6 * 0.4 * 0.6 * 0.5) ** 0.5
+    assert abs(left.mean() - 2e6) < 4 * deviation / 300**0.5 and 0.85 < left.std() / deviation < 1.15
+    monkeypatch.setattr(mixing, "FAN", 4)  # sources in groups of groups
+    rows = [(f"s{i:03}" if i else None, 1 + i, 100 * 65_536, 1, 1.0, 40 + 7 * i, i % 3, (5 * i) % 40, {}) for i in range(30)]
+    plan = spark.createDataFrame(rows, "source string, place long, source_size long, weight int, target double, blocks long, copies long, whole long, last map<bigint,string>")
+    units = [mixing.units(plan, 5).cache() for _ in range(2)]
+    assert units[0].exceptAll(units[1]).isEmpty()
+    got = units[0].collect()
+    q = {r[0]: r[6] * r[5] + r[7] for r in rows}
+    assert Counter(x.source for x in got) == {k: v for k, v in q.items() if v} and len({(x.source, x.block, x.copy) for x in got}) == len(got)
+    shards = Counter(x.shard for x in got)
+    assert len(shards) == 32 and max(shards.values()) - min(shards.values()) <= 1
+    assert all(x.block < 40 + 7 * (int(x.source[1:]) if x.source else 0) for x in got)
+
+
 def test_amounts_are_counted_in_the_mix(spark, monkeypatch):
     r = random.Random(5)
     rows = [(i if i % 13 else None, "w " * r.randint(0, 30), f"s{i % 5}" if i % 11 else None) for i in range(300)]

@@ -108,10 +108,11 @@ def suggestions(answered: DataFrame, gl: DataFrame, sub: DataFrame) -> DataFrame
     """
     each = answered.select("entity", "vn", F.posexplode(parsed(F.col("answer"))).alias("pos", "m")).select("entity", "vn", "pos", F.col("m.gl_ids").alias("a"), F.col("m.sub_ids").alias("b"), clamped(F.col("m.confidence")).alias("confidence"), F.col("m.reasoning").alias("reasoning"))
     each = each.where((F.col("confidence") >= ADVISED_MATCH) & (F.size("a") > 0) & (F.size("b") > 0))
-    for side, ids, df in (("g", "a", gl), ("s", "b", sub)):
-        known = df.groupBy("entity", "vn").agg(F.collect_set("id").alias(f"__{side}"))
-        each = each.join(known, ["entity", "vn"]).where(F.size(F.array_except(ids, f"__{side}")) == 0).drop(f"__{side}")
     key = F.concat_ws("|", "entity", "vn", F.col("pos").cast("string"))
+    for ids, df in (("a", gl), ("b", sub)):
+        named = each.select("entity", "vn", "pos", F.explode(ids).alias("id"))
+        strange = named.join(df.select("entity", "vn", "id"), ["entity", "vn", "id"], "left_anti").select("entity", "vn", "pos").distinct()
+        each = each.join(strange, ["entity", "vn", "pos"], "left_anti")
     nodes = F.array_distinct(F.concat(F.transform("a", lambda x: F.concat(F.lit("g:"), x)), F.transform("b", lambda x: F.concat(F.lit("s:"), x))))
     won = greedy_groups(each.withColumns({"key": key, "nodes": nodes}), ["entity", "vn", "pos"], "nodes")
     return ranked(with_features(won.select("key", "a", "b", "confidence", "reasoning"), gl, sub))

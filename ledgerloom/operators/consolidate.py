@@ -6,7 +6,7 @@ gl and sub: id, vendor, vn, amount, date, entity, ord (canonical columns).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LAYERS = ("deterministic", "probabilistic", "ai", "manual")
@@ -88,6 +88,12 @@ def report_vendor(matches: DataFrame, gl: DataFrame, most: int = 10) -> DataFram
     return out.orderBy(F.desc("rows"), "vn").limit(most)
 
 
+def by_vendor(matches: DataFrame, gl: DataFrame, test: Column, most: int = 10) -> DataFrame:
+    """GL rows in the matches that pass the test, of the vendors with most of them."""
+    hit = exploded(matches.where(test), "a").select("id").distinct()
+    return gl.join(hit, "id", "left_semi").groupBy("vn").agg(F.count(F.lit(1)).alias("rows")).orderBy(F.desc("rows"), "vn").limit(most)
+
+
 def ai_log(matches: DataFrame) -> DataFrame:
     """One row on the advised layer: suggestions by status and their mean confidence."""
     ai = F.col("layer") == "ai"

@@ -55,10 +55,21 @@ def scenario_1(gl: DataFrame, sub: DataFrame) -> DataFrame:
     return ranked(gl).alias("g").join(ranked(sub).alias("s"), reduce(Column.__and__, on)).select(F.col("g.id").alias("a"), F.col("s.id").alias("b"))
 
 
+def bucketed(left: DataFrame, right: DataFrame, days: int) -> tuple[DataFrame, DataFrame]:
+    """Rows with a date on both sides, with a bucket of days + 1 days; the right side once for each bucket in reach.
+
+    So that a key with very many rows is spread over its dates.
+    """
+    own = F.floor(day(F.col("date")) / (days + 1))
+    near = F.explode(F.sequence(own - 1, own + 1))
+    return left.where("date is not null").withColumn("bucket", own), right.where("date is not null").withColumn("bucket", near)
+
+
 def banded(gl: DataFrame, sub: DataFrame, days: int) -> DataFrame:
     """Candidate pairs with equal vendor, amount and entity and dates within days; go and so give the walk's order."""
     g, s = (df.withColumn("k", amount_key(F.col("amount"))).withColumn("day", day(F.col("date"))) for df in (gl, sub))
-    on = [*_keys(), F.abs(F.col("g.day") - F.col("s.day")) <= days]
+    g, s = bucketed(g, s, days)
+    on = [*_keys(), F.col("g.bucket") == F.col("s.bucket"), F.abs(F.col("g.day") - F.col("s.day")) <= days]
     return g.alias("g").join(s.alias("s"), reduce(Column.__and__, on)).select(F.col("g.id").alias("a"), F.col("s.id").alias("b"), F.col("g.ord").alias("go"), F.col("s.ord").alias("so"))
 
 
@@ -88,6 +99,9 @@ def dynamic_candidates(gl: DataFrame, sub: DataFrame, scenario: Scenario) -> Dat
             exact.append(F.col("g.date").eqNullSafe(F.col("s.date")))
         else:
             bands.append(F.abs(F.col("g.day") - F.col("s.day")) <= scenario.date_days)
+            if exact:
+                g, s = bucketed(g, s, scenario.date_days)
+                bands.append(F.col("g.bucket") == F.col("s.bucket"))
     out = [F.col("g.id").alias("a"), F.col("s.id").alias("b"), F.col("g.ord").alias("go"), F.col("s.ord").alias("so")]
     if not exact:
         return g.alias("g").join(s.alias("s"), F.lit(False)).select(*out)

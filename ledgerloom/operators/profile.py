@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -100,19 +98,63 @@ def daily_both(gl: DataFrame, sub: DataFrame, date: str, amount: str = "amount")
     return g.join(s, "date", "full_outer").select("date", F.coalesce("gl_amount", F.lit(0.0)).alias("gl_amount"), F.coalesce("sub_amount", F.lit(0.0)).alias("sub_amount"))
 
 
+def column_kind(kind: T.DataType) -> str:
+    return "numeric" if isinstance(kind, T.NumericType) else "date" if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)) else "string"
+
+
 def column_profiles(df: DataFrame) -> DataFrame:
-    """A row for each column: type, distinct values, nulls, and for texts the lengths, blanks and the mode."""
-
-    def one(f: T.StructField) -> list[Column]:
-        c = F.col(f.name)
-        kind = "numeric" if isinstance(f.dataType, T.NumericType) else "date" if isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)) else "string"
-        s = c.cast("string") if kind == "string" else F.lit(None).cast("string")
-        return [
-            F.lit(f.name).alias("column_name"), F.lit(kind).alias("type"), F.count_distinct(c).alias("distinct_count"), F.count_if(c.isNull()).alias("null_count"), F.min(F.length(s)).cast("long").alias("min_length"),
-            F.max(F.length(s)).cast("long").alias("max_length"), F.count_if(F.trim(s) == "").alias("blanks"), F.mode(s, True).alias("mode"),
-        ]
-
-    return reduce(DataFrame.union, [df.agg(*one(f)) for f in df.schema.fields])
+    """A row for each column: type, distinct values, nulls; for texts the lengths, blanks and the mode; for numbers
+    min, max, mean and deviation; for dates the first and last one.
+
+    Values are counted in one pass over all columns, as (column, value) with each pair's number of rows; what
+    depends on a column's values follows from these counts.
+    """
+    kinds = {f.name: column_kind(f.dataType) for f in df.schema.fields}
+    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("v"), (F.col(c).cast("double") if k == "numeric" else F.lit(None).cast("double")).alias("x")) for c, k in kinds.items()])
+    counted = df.select(F.explode(cells).alias("c")).groupBy("c.column_name", "c.v", "c.x").agg(F.count(F.lit(1)).alias("n"))
+    kind = F.create_map(*[F.lit(w) for c, k in kinds.items() for w in (c, k)])[F.col("column_name")]
+    text, number, date, n = kind == "string", F.col("x"), F.when(kind == "date", F.substring("v", 1, 10)), F.col("n")
+    size = F.when(text, F.length("v"))
+    rows, total = F.sum(F.when(number.isNotNull(), n)), F.sum(number * n)
+    spread = F.sum(number * number * n) - total * total / rows
+    return counted.groupBy("column_name").agg(
+        F.first(kind).alias("type"), F.count_if(F.col("v").isNotNull()).alias("distinct_count"), F.coalesce(F.sum(F.when(F.col("v").isNull(), n)), F.lit(0)).alias("null_count"),
+        F.min(size).cast("long").alias("min_length"), F.max(size).cast("long").alias("max_length"), F.coalesce(F.sum(F.when(text & (F.trim("v") == ""), n)), F.lit(0)).alias("blanks"),
+        F.min(F.when(text & F.col("v").isNotNull(), F.struct((-n).alias("o"), F.col("v").alias("v"))))["v"].alias("mode"), rounded(F.min(number)).alias("min"), rounded(F.max(number)).alias("max"), rounded(total / rows).alias("mean"),
+        rounded(F.when(rows == 1, 0.0).otherwise(F.sqrt(F.greatest(spread, F.lit(0.0)) / (rows - 1)))).alias("std"), F.min(date).alias("first_date"), F.max(date).alias("last_date"),
+    )
+
+
+def column_labels(df: DataFrame, top: int = TOP_CATEGORIES) -> DataFrame:
+    """Of each text column with at most MOST_CATEGORIES values the most frequent ones, of each date column the most
+    frequent months: column_name, place, label and count, from one pass."""
+    kinds = {f.name: column_kind(f.dataType) for f in df.schema.fields}
+    cells = [F.struct(F.lit(c).alias("column_name"), (F.date_format(c, "yyyy-MM") if k == "date" else F.col(c).cast("string")).alias("label")) for c, k in kinds.items() if k != "numeric"]
+    counted = df.select(F.explode(F.array(*cells)).alias("c")).select("c.*").where("label is not null").groupBy("column_name", "label").agg(F.count(F.lit(1)).alias("count"))
+    dates_ = [c for c, k in kinds.items() if k == "date"]
+    few = counted.groupBy("column_name").agg(F.count(F.lit(1)).alias("values")).where((F.col("values") <= MOST_CATEGORIES) | F.col("column_name").isin(*dates_)).select("column_name")
+    place = F.row_number().over(Window.partitionBy("column_name").orderBy(F.desc("count"), "label"))
+    return counted.join(F.broadcast(few), "column_name").withColumn("place", place).where(F.col("place") <= top)  # few is a row a column
+
+
+def narrative(df: DataFrame, amount: str = "amount", category: str = "entity") -> DataFrame:
+    """One row with three sentences: rows, range and total of the amounts, the most frequent categories."""
+    whole = lambda c: F.format_number(F.rint(c), 0)
+    top = value_counts(df, category, 3).agg(F.sort_array(F.collect_list(F.struct((-F.col("count")).alias("o"), "label"))).alias("top"))
+    names = F.array_join(F.transform("top", lambda x: F.concat(x["label"], F.lit(" ("), F.format_number(-x["o"], 0), F.lit(")"))), ", ")
+    facts = numeric(df, amount).crossJoin(df.agg(F.count(F.lit(1)).alias("rows"))).crossJoin(top)  # one row each
+    text = F.concat(F.lit("The ledger has "), F.format_number("rows", 0), F.lit(" rows with amounts from "), whole("min"), F.lit(" to "), whole("max"), F.lit(" and a total of "), whole("sum"), F.lit(". Most rows: "), names, F.lit("."))
+    return facts.select(text.alias("narrative"))
+
+
+def chat_facts(df: DataFrame, amount: str = "amount", date: str = "transaction_date", entity: str = "entity", vendor: str = "vendor_name") -> DataFrame:
+    """One row: amount statistics, date range, the first five entities and the top vendors with their rows."""
+    few = df.select(entity).distinct().orderBy(entity).limit(5).agg(F.array_join(F.sort_array(F.collect_list(entity)), "|").alias("first_entities"))
+    top = top_by_rows(df, vendor).agg(F.sort_array(F.collect_list(F.struct((-F.col("count")).alias("o"), "vendor"))).alias("x"))
+    names = top.select(F.array_join(F.transform("x", lambda x: F.concat_ws(":", x["vendor"], (-x["o"]).cast("string"))), "|").alias("top_vendors"))
+    a = F.col(amount)
+    facts = df.agg(*[rounded(f(a), 2).alias(f"amount_{n}") for f, n in ((F.min, "min"), (F.max, "max"), (F.sum, "sum"), (F.avg, "mean"))])
+    return facts.crossJoin(dates(df, date)).crossJoin(few).crossJoin(names)  # one row each
 
 
 def unique_count(df: DataFrame, column: str) -> DataFrame:

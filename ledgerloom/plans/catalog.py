@@ -392,15 +392,24 @@ def daily_gl_vs_sub(spark, d):
     return profile.daily_both(ledger.gl(spark, d), ledger.sub(spark, d), "transaction_date")
 
 
-_TEXT = "SELECT '{c}' AS column_name, 'string' AS type, count(DISTINCT {c}) AS distinct_count, count(*) - count({c}) AS null_count, min(len({c}::VARCHAR)) AS min_length, max(len({c}::VARCHAR)) AS max_length, count(*) FILTER (trim({c}::VARCHAR) = '') AS blanks, (SELECT {c}::VARCHAR FROM gl WHERE {c} IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS mode FROM gl"
-_OTHER = "SELECT '{c}', '{k}', count(DISTINCT {c}), count(*) - count({c}), NULL, NULL, 0, NULL FROM gl"
+_TEXT = "SELECT '{c}' AS column_name, 'string' AS type, count(DISTINCT {c}) AS distinct_count, count(*) - count({c}) AS null_count, min(len({c}::VARCHAR)) AS min_length, max(len({c}::VARCHAR)) AS max_length, count(*) FILTER (trim({c}::VARCHAR) = '') AS blanks, (SELECT {c}::VARCHAR FROM gl WHERE {c} IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS mode, NULL::DOUBLE AS min, NULL::DOUBLE AS max, NULL::DOUBLE AS mean, NULL::DOUBLE AS std, NULL::VARCHAR AS first_date, NULL::VARCHAR AS last_date FROM gl"
+_DATE = "SELECT '{c}', 'date', count(DISTINCT {c}), count(*) - count({c}), NULL, NULL, 0, NULL, NULL, NULL, NULL, NULL, strftime(min({c}), '%Y-%m-%d'), strftime(max({c}), '%Y-%m-%d') FROM gl"
+_NUMBER = f"SELECT '{{c}}', 'numeric', count(DISTINCT {{c}}), count(*) - count({{c}}), NULL, NULL, 0, NULL, {r('min({c})')}, {r('max({c})')}, {r('avg({c})')}, {r('stddev_samp({c})')}, NULL, NULL FROM gl"
 
 
-@add(f"{_GLSUB} " + " UNION ALL ".join([_TEXT.format(c=c) for c in ("gl_id", "entity", "account_code", "vendor_name", "currency", "exception_flag")] + [_OTHER.format(c=c, k=k) for c, k in (("transaction_date", "date"), ("amount", "numeric"))]))
+@add(f"{_GLSUB} " + " UNION ALL ".join([_TEXT.format(c=c) for c in ("gl_id", "entity", "account_code", "vendor_name", "currency", "exception_flag")] + [_DATE.format(c="transaction_date"), _NUMBER.format(c="amount")]))
 def column_profiles(spark, d):
     return profile.column_profiles(ledger.gl(spark, d).drop("ord"))
 
 
+_LABELS = "SELECT '{c}' AS column_name, {x} AS label, count(*) AS count FROM gl WHERE {c} IS NOT NULL GROUP BY {x}"
+
+
+@add(f"{_GLSUB}, x AS (" + " UNION ALL ".join([_LABELS.format(c=c, x=f"{c}::VARCHAR") for c in ("gl_id", "entity", "account_code", "vendor_name", "currency", "exception_flag")] + [_LABELS.format(c="transaction_date", x="strftime(transaction_date, '%Y-%m')")]) + "), y AS (SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY count DESC, label) AS place, count(*) OVER (PARTITION BY column_name) AS n FROM x) SELECT column_name, label, count, place FROM y WHERE place <= 8 AND (n <= 30 OR column_name = 'transaction_date')")
+def column_labels(spark, d):
+    return profile.column_labels(ledger.gl(spark, d).drop("ord"))
+
+
 @add(f"{_GLSUB} SELECT count(DISTINCT vendor_name) AS distinct_count FROM gl")
 def unique_vendors(spark, d):
     return profile.unique_count(ledger.gl(spark, d), "vendor_name")
@@ -431,13 +440,9 @@ def column_metadata(spark, d):
     return profile.column_metadata(ledger.gl(spark, d).select("gl_id", "entity", "account_code", "vendor_name", "transaction_date", "currency", "ord"))
 
 
-@add(f"{_GLSUB} SELECT {r('min(amount)', 2)} AS amount_min, {r('max(amount)', 2)} AS amount_max, {r('sum(amount)', 2)} AS amount_sum, {r('avg(amount)', 2)} AS amount_mean, strftime(min(transaction_date), '%Y-%m-%d') AS min_date, strftime(max(transaction_date), '%Y-%m-%d') AS max_date, (SELECT string_agg(entity, '|' ORDER BY entity) FROM (SELECT DISTINCT entity FROM gl ORDER BY 1 LIMIT 5)) AS first_entities FROM gl")
+@add(f"{_GLSUB} SELECT {r('min(amount)', 2)} AS amount_min, {r('max(amount)', 2)} AS amount_max, {r('sum(amount)', 2)} AS amount_sum, {r('avg(amount)', 2)} AS amount_mean, strftime(min(transaction_date), '%Y-%m-%d') AS min_date, strftime(max(transaction_date), '%Y-%m-%d') AS max_date, (SELECT string_agg(entity, '|' ORDER BY entity) FROM (SELECT DISTINCT entity FROM gl ORDER BY 1 LIMIT 5)) AS first_entities, (SELECT string_agg(vendor_name || ':' || n, '|' ORDER BY n DESC, vendor_name) FROM (SELECT vendor_name, count(*) AS n FROM gl WHERE vendor_name IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 15)) AS top_vendors FROM gl")
 def chat_summary(spark, d):
-    g = ledger.gl(spark, d)
-    few = g.select("entity").distinct().orderBy("entity").limit(5).agg(F.array_join(F.sort_array(F.collect_list("entity")), "|").alias("first_entities"))
-    a = F.col("amount")
-    facts = g.agg(*[profile.rounded(f(a), 2).alias(f"amount_{n}") for f, n in ((F.min, "min"), (F.max, "max"), (F.sum, "sum"), (F.avg, "mean"))])
-    return facts.crossJoin(profile.dates(g, "transaction_date")).crossJoin(few)
+    return profile.chat_facts(ledger.gl(spark, d))
 
 
 # --- review, consolidation and reports
@@ -533,6 +538,19 @@ _HIT = "x AS (SELECT g.*, id IN (SELECT unnest(a) FROM fin) AS hit FROM g)"
 _SPLIT = "count(*) FILTER (hit) AS matched, count(*) FILTER (NOT hit) AS unmatched, round_even(sum(CASE WHEN hit THEN amount ELSE 0.0 END) * 100, 0) / 100 AS matched_amount, round_even(sum(CASE WHEN hit THEN 0.0 ELSE amount END) * 100, 0) / 100 AS unmatched_amount"
 
 
+_BY_VENDOR = "SELECT vn, count(*) AS rows FROM g WHERE id IN (SELECT unnest(a) FROM m WHERE {test}) GROUP BY vn ORDER BY rows DESC, vn LIMIT 10"
+
+
+@add(_MATCHES + " " + _BY_VENDOR.format(test="status = 'rejected'"))
+def rejected_by_vendor(spark, d):
+    return consolidate.by_vendor(matches(spark, d), sides(spark, d)[0], F.col("status") == "rejected")
+
+
+@add(f"{_MATCHES} {_BY_VENDOR.format(test='overridden')}")
+def overrides_by_vendor(spark, d):
+    return consolidate.by_vendor(matches(spark, d), sides(spark, d)[0], F.col("overridden"))
+
+
 @add(f"{_MATCHES}, {_HIT} SELECT vn, count(*) AS rows, {_SPLIT} FROM x GROUP BY vn ORDER BY rows DESC, vn LIMIT 10")
 def report_vendor(spark, d):
     return consolidate.report_vendor(matches(spark, d), sides(spark, d)[0])
@@ -684,12 +702,10 @@ def ai_suggestions(spark, d):
     return advisor.suggestions(*_advice(spark, d)).select(F.col("reasoning").alias("match_id"), "confidence", "materiality")
 
 
-@add(f"{_AI}, x AS (SELECT match_id, advised, (SELECT round_even(sum(abs(amount)) * 100, 0) / 100 FROM g WHERE list_contains(ok.a, g.id)) AS materiality FROM ok) SELECT match_id, row_number() OVER (ORDER BY materiality DESC, advised DESC, match_id) AS place FROM x ORDER BY place LIMIT 20")
+@add(f"{_AI}, x AS (SELECT match_id, advised, (SELECT round_even(sum(abs(amount)) * 100, 0) / 100 FROM g WHERE list_contains(ok.a, g.id)) AS materiality FROM ok) SELECT match_id, row_number() OVER (ORDER BY materiality DESC, advised DESC, match_id) AS place FROM x")
 def ai_rank(spark, d):
-    top = advisor.suggestions(*_advice(spark, d)).orderBy(F.desc("materiality"), F.desc("confidence"), "reasoning").limit(20)
-    from pyspark.sql import Window
-
-    return top.select(F.col("reasoning").alias("match_id"), F.row_number().over(Window.orderBy(F.desc("materiality"), F.desc("confidence"), "reasoning")).alias("place"))
+    suggested = advisor.suggestions(*_advice(spark, d)).select(F.col("reasoning").alias("match_id"), "materiality", "confidence")
+    return shared.numbered(suggested, F.desc("materiality"), F.desc("confidence"), F.asc("match_id")).select("match_id", "place")
 
 
 @add(f"{_MATCHES} SELECT match_id, round_even(abs((SELECT sum(amount) FROM g WHERE list_contains(m.a, g.id)) - (SELECT sum(amount) FROM s WHERE list_contains(m.b, s.id))) * 100, 0) / 100 AS amount_difference, (SELECT round_even(sum(abs(amount)) * 100, 0) / 100 FROM g WHERE list_contains(m.a, g.id)) AS materiality FROM m WHERE layer = 'ai' AND b[1] IN (SELECT id FROM s)")
@@ -799,7 +815,10 @@ def intake_contract(spark, d):
     raise AssertionError("intake accepted nothing")
 
 
-@add()
+_FACTS = '{"columns":["account_code","amount","currency","entity","exception_flag","gl_id","ord","transaction_date","vendor_name"],"dtypes":{"account_code":"string","amount":"string","currency":"string","entity":"string","exception_flag":"string","gl_id":"string","ord":"bigint","transaction_date":"string","vendor_name":"string"},"file":"gl","row_count":'
+
+
+@add(f"{_GLSUB} SELECT 'gl' AS file, sha256('{_FACTS}' || count(*) || '}}') AS schema_hash FROM gl")
 def schema_hash(spark, d):
     df = raw(spark, d)
     return spark.createDataFrame([("gl", intake.schema_hash("gl", df, df.count()))], "file string, schema_hash string")
@@ -841,17 +860,24 @@ def log_run(spark, d):
     return n(g, "gl_rows").crossJoin(n(s, "sub_rows")).crossJoin(n(consolidate.final_results(matches(spark, d)), "matches"))  # one row each
 
 
-@add()
+_N = "format('{{:,}}', ({x})::BIGINT)"
+
+
+@add(
+    f"{_MATCHES}, x AS (SELECT {_ROWS.format(x='deterministic')} AS a, {_ROWS.format(x='probabilistic')} AS b, {_ROWS.format(x='ai')} AS c, (SELECT count(*) FROM g) AS n FROM fin) SELECT {_N.format(x='a + b + c')} || ' of ' || {_N.format(x='n')} || ' ledger rows were matched ('"
+    f" || printf('%.1f', round_even((a + b + c) / greatest(n, 1) * 100 * 10, 0) / 10) || '%). Deterministic rules matched ' || {_N.format(x='a')} || ', similarity ' || {_N.format(x='b')} || ' and advice ' || {_N.format(x='c')} || ' rows. ' || {_N.format(x='n - a - b - c')} || ' rows remain.' AS narrative FROM x"
+)
 def summary_narrative(spark, d):
     stats = consolidate.narrative_stats(matches(spark, d), sides(spark, d)[0]).first()
     return spark.createDataFrame([(session.summary_narrative(stats),)], "narrative string")
 
 
-@add()
+_WHOLE = lambda f: _N.format(x=f"round_even({r(f + '(amount)')}, 0)")
+
+
+@add(
+    f"{_GLSUB}, t AS (SELECT entity, count(*) AS n FROM gl WHERE entity IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 3), x AS (SELECT string_agg(entity || ' (' || {_N.format(x='n')} || ')', ', ' ORDER BY n DESC, entity) AS names FROM t)"
+    f" SELECT 'The ledger has ' || {_N.format(x='count(*)')} || ' rows with amounts from ' || {_WHOLE('min')} || ' to ' || {_WHOLE('max')} || ' and a total of ' || {_WHOLE('sum')} || '. Most rows: ' || (SELECT names FROM x) || '.' AS narrative FROM gl"
+)
 def profile_narrative(spark, d):
-    g = ledger.gl(spark, d)
-    rows, facts = g.count(), profile.numeric(g, "amount").first()
-    top = profile.value_counts(g, "entity", 3).collect()
-    names = ", ".join(f"{r.label} ({r['count']:,})" for r in top)
-    text = f"The ledger has {rows:,} rows with amounts from {facts['min']:,.0f} to {facts['max']:,.0f} and a total of {facts['sum']:,.0f}. Most rows: {names}."
-    return spark.createDataFrame([(text,)], "narrative string")
+    return profile.narrative(ledger.gl(spark, d))

@@ -86,9 +86,10 @@ def errors(df: DataFrame, key: str) -> DataFrame:
 def error_samples(df: DataFrame, key: str, order: str = "ord") -> DataFrame:
     """The first bad rows of each column."""
     kinds = _checked(key)
-    parts = [df.where(bad(c, k)).select(F.lit(c).alias("column_name"), F.col(order), F.col(c).alias("value")).orderBy(order).limit(SAMPLE_ROWS) for c, k in kinds.items()]
-    rn = F.row_number().over(Window.partitionBy("column_name").orderBy(order))
-    return reduce(DataFrame.union, parts).withColumn("value", F.when(rn <= SAMPLE_VALUES, F.col("value")))
+    cells = F.array(*[F.when(bad(c, k), F.struct(F.lit(c).alias("column_name"), F.col(c).alias("value"))) for c, k in kinds.items()])
+    found = df.select(order, F.explode(cells).alias("x")).where("x is not null").select("x.column_name", order, "x.value")
+    rn = F.row_number().over(Window.partitionBy("column_name").orderBy(order))  # limited, so each task keeps its first rows only
+    return found.withColumn("__rn", rn).where(F.col("__rn") <= SAMPLE_ROWS).withColumn("value", F.when(F.col("__rn") <= SAMPLE_VALUES, F.col("value"))).drop("__rn")
 
 
 def cast(df: DataFrame, key: str) -> DataFrame:

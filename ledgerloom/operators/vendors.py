@@ -27,21 +27,41 @@ def tier_1(gl: DataFrame, sub: DataFrame) -> DataFrame:
 def tier_2(left: DataFrame, sub: DataFrame, least: float = FUZZY_VENDOR) -> DataFrame:
     """The best fuzzy match of each unresolved vendor among the subledger's normal forms, if similar enough.
 
-    Texts of similarity s have (|a| + |b|) * s / 2 characters in common, so their lengths differ by a bounded
-    factor: each form is joined with the lengths in reach only.  Their character counts must overlap that much too,
-    which is checked before any Python runs.  Both bounds are exact: no pair outside can pass.
+    Candidates come from near_texts(); their character counts must overlap enough too, which is checked before any
+    Python runs.  Both bounds are exact: no pair outside can pass.
     """
-    query = left.withColumn("q", F.when(F.col("norm") == "", F.lower("original")).otherwise(F.col("norm"))).select("original", "q", F.length("q").alias("n"), _letters(F.col("q")).alias("ql"))
-    forms = sub.where("norm <> ''").groupBy("norm").agg(F.max_by("original", "o").alias("matched_to"), F.min("o").alias("o")).withColumn("m", F.length("norm")).withColumn("nl", _letters(F.col("norm")))
-    # 2 * min(n, m) / (n + m) >= least bounds m on both sides
-    low, high = F.ceil(F.col("n") * least / (2 - least)), F.floor(F.col("n") * (2 - least) / least)
-    reach = query.withColumn("m", F.explode(F.sequence(low.cast("int"), F.greatest(low, high).cast("int"))))
-    pairs = reach.join(forms, "m").where(_overlap("ql", "nl") * 2 >= F.lit(least) * (F.col("n") + F.col("m")))
-    best = pairs.withColumn("s", _similarity("q", "norm")).where(F.col("s") >= least)
+    query = left.withColumn("q", F.when(F.col("norm") == "", F.lower("original")).otherwise(F.col("norm"))).select("original", "q", _sorted_words(F.col("q")).alias("x"))
+    forms = sub.where("norm <> ''").groupBy("norm").agg(F.max_by("original", "o").alias("matched_to"), F.min("o").alias("o")).withColumn("y", _sorted_words(F.col("norm")))
+    near = near_texts(query.select("x").distinct(), forms.select("y").distinct(), least)
+    letters = near.withColumns({"xl": _letters(F.col("x")), "yl": _letters(F.col("y"))}).where(_overlap("xl", "yl") * 2 >= F.lit(least) * (F.length("x") + F.length("y")) - 1e-9).select("x", "y")
+    best = query.join(letters, "x").join(forms, "y").withColumn("s", _similarity("q", "norm")).where(F.col("s") >= least)
     first = Window.partitionBy("original").orderBy(F.desc("s"), "o")
     return best.withColumn("rn", F.row_number().over(first)).where("rn = 1").select("original", F.col("norm").alias("matched_norm"), "matched_to", F.lit("nlp").alias("match_source"), F.col("s").alias("similarity_score"))
 
 
+def _sorted_words(x: Column) -> Column:
+    return F.array_join(F.array_sort(F.filter(F.split(x, r"(?U)\s+"), lambda w: w != "")), " ")
+
+
+def near_texts(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """Pairs (x, y) of left's and right's texts among which are all whose similarity is least or more.
+
+    Texts of n and m letters with that similarity differ by at most d = (1 - least) * (n + m) insertions and
+    deletions.  Of d + 1 segments of y one is untouched by all of them, and so stands in x, at most d places away:
+    the join is on that segment, its number and both lengths' d and m.
+    """
+    n, m, d = F.length("x"), F.col("m"), F.col("d")
+    reach = lambda size: F.sequence(F.ceil(size * least / (2 - least) - 1e-9).cast("int"), F.floor(size * (2 - least) / least + 1e-9).cast("int"))
+    edits = lambda a, b: F.floor((1 - least) * (a + b) + 1e-9).cast("int")
+    begin, end = F.floor(F.col("i") * m / (d + 1)).cast("int"), F.floor((F.col("i") + 1) * m / (d + 1)).cast("int")
+    xs = left.where("x <> ''").withColumn("m", F.explode(reach(n))).withColumn("d", edits(n, m)).withColumn("i", F.explode(F.sequence(F.lit(0), d)))
+    xs = xs.withColumn("shift", F.explode(F.sequence(-d, d))).where((begin + F.col("shift") >= 0) & (end + F.col("shift") <= n))
+    xs = xs.select("x", "m", "d", "i", F.substr("x", begin + F.col("shift") + 1, end - begin).alias("part")).distinct()
+    ys = right.where("y <> ''").withColumn("m", F.length("y")).withColumn("d", F.explode(F.array_distinct(F.transform(reach(m), lambda k: edits(k, m))))).withColumn("i", F.explode(F.sequence(F.lit(0), d)))
+    ys = ys.select("y", "m", "d", "i", F.substr("y", begin + 1, end - begin).alias("part"))
+    return xs.join(ys, ["m", "d", "i", "part"]).select("x", "y").distinct()
+
+
 def _letters(x: Column) -> Column:
     """Counts of each letter and digit, and of everything else."""
     each = [F.length(x) - F.length(F.replace(x, F.lit(c), F.lit(""))) for c in "abcdefghijklmnopqrstuvwxyz0123456789"]

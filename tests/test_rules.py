@@ -373,3 +373,26 @@ def test_empty_sides(spark):
     assert probabilistic.one_to_one(e, e).count() == 0
     m = spark.createDataFrame([], "match_id string, layer string, a array<string>, b array<string>, scenario_id int, similarity double, advised double, status string, overridden boolean")
     assert consolidate.final_results(m).count() == 0 and export.audit(m).count() == 0
+
+
+def test_near_texts_lose_no_pair(spark):
+    """Every pair of sufficient similarity is among the candidates, for several bounds and lengths."""
+    import random
+
+    from ledgerloom.functions.text import common_length
+    from ledgerloom.operators.vendors import near_texts
+
+    r = random.Random(7)
+    base = ["".join(r.choice("abcd ") for _ in range(r.randint(1, 30))).strip() or "a" for _ in range(40)]
+    edited = []
+    for x in base:
+        y = list(x)
+        for _ in range(r.randint(0, 5)):
+            at = r.randrange(len(y) + 1)
+            y[at : at + r.randint(0, 1)] = r.choice(["", "a", "z"])
+        edited.append("".join(y) or "b")
+    xs, ys = sorted(set(base)), sorted(set(edited + base[:10]))
+    left, right = spark.createDataFrame([(x,) for x in xs], "x string"), spark.createDataFrame([(y,) for y in ys], "y string")
+    for least in (0.7, 0.85, 0.9, 1.0):
+        want = {(x, y) for x in xs for y in ys if 2 * common_length(x, y) / (len(x) + len(y)) >= least}
+        assert want and want <= {tuple(p) for p in near_texts(left, right, least).collect()}

@@ -265,16 +265,9 @@ def test_quality(spark, data, docs, empty):
     assert quality.classify(empty, labels).count() == 0
 
 
-@pytest.mark.parametrize("few", [0, 10**6])
-def test_quality_against_direct_densities(spark, monkeypatch, few):
-    """Scores by numpy's covariances and log-densities of the same statistics; the kept documents; ties, repeats and a clashing column."""
-    monkeypatch.setattr(quality, "FEW", few)
-    docs = table(spark, "/root/testdata/sf0.01", "documents").withColumn("score", F.lit("clash"))
-    docs = docs.union(docs.where("doc_id < 20"))
-    labels = table(spark, "/root/testdata/sf0.01", "labels")
-    labels = labels.union(labels.where("doc_id < 9"))
-    want = {r.doc_id: r.quality for r in labels.collect()}
-    rows = docs.collect()
+def direct_scores(rows, labels):
+    """Scores by numpy's covariances and log-densities, with the labels of rows that aren't held out."""
+    want = {r.doc_id: r.quality for r in labels}
     x = np.array([quality.statistics(r.text or "") for r in rows])
     held = np.array([zlib.crc32(str(r.doc_id).encode()) % 3 == 1 for r in rows])
     y = np.array([-1 if h else want.get(r.doc_id, -1) for r, h in zip(rows, held)])
@@ -289,6 +282,19 @@ def test_quality_against_direct_densities(spark, monkeypatch, few):
         d = z - z[y == k].mean(axis=0)
         log.append(np.log((y == k).sum() / (y >= 0).sum()) - 0.5 * np.linalg.slogdet(m)[1] - 0.5 * np.einsum("ij,jk,ik->i", d, np.linalg.inv(m), d))
     score = 1 / (1 + np.exp(-(log[1] - log[0]) / x.shape[1]))
+    return score
+
+
+@pytest.mark.parametrize("few", [0, 10**6])
+def test_quality_against_direct_densities(spark, monkeypatch, few):
+    """Scores by numpy's covariances and log-densities of the same statistics; the kept documents; ties, repeats and a clashing column."""
+    monkeypatch.setattr(quality, "FEW", few)
+    docs = table(spark, "/root/testdata/sf0.01", "documents").withColumn("score", F.lit("clash"))
+    docs = docs.union(docs.where("doc_id < 20"))
+    labels = table(spark, "/root/testdata/sf0.01", "labels")
+    labels = labels.union(labels.where("doc_id < 9"))
+    rows = docs.collect()
+    score = direct_scores(rows, labels.collect())
     got = sorted((r.doc_id, r.score, r.predicted) for r in quality.classify(docs, labels).collect())
     for (i, s, p), (j, t) in zip(got, sorted((r.doc_id, float(v)) for r, v in zip(rows, score)), strict=True):
         assert i == j and s == pytest.approx(t, abs=1e-6) and p == int(t >= 0.5)

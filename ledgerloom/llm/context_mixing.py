@@ -30,13 +30,10 @@ PAIRS, MOST_NEXT = 4, 4096
 #: Bits of the mixture's and order 0's totals; most bits of an id's total in order 1, and bits beyond those of its followers' number.
 MIX, ZERO, ONE, FINE = 18, 16, 14, 5
 #: Pairs of ranks below this are looked up in a square table.
-DENSE = 2048
+DENSE = 1024
 #: Largest weight of order 2 (what remains gives each follower a part), decay of a weight, and weights at the start by trust (1..7).
 CAP, DECAY = (1 << MIX) * 15 // 16, 4
 START = (np.array([0, 0.06, 0.35, 0.55, 0.7, 0.8, 0.87, 0.93]) * CAP).astype(np.int64)
-#: Change of an entry by trust and, from 8 on, by trust where the proposal was right; and where the new id replaces it.
-_CHANGE = np.array([0, 0, -1, -1, -1, -1, -1, -1, 1, 1, 1, 1, 1, 1, 1, 0], dtype=np.int32)
-_REPLACE = np.array([True, True, *[False] * 6, True, *[False] * 7])
 _LOW = np.uint64((1 << 32) - 1)
 _16, _32, _MIX, _ZERO = np.uint64(16), np.uint64(32), np.uint64(MIX), np.uint64(ZERO)
 _LEAST = np.uint64(1 << 32)
@@ -220,9 +217,12 @@ class Order2:
     def update(self, rank: np.ndarray, right: np.ndarray) -> None:
         """rank came; right says where the proposal was that."""
         m = self.m
-        case = self.trust + (right << 3)
-        self.slots[self.at] = np.where(_REPLACE.take(case), rank << 3 | 1, self.entry + _CHANGE.take(case))
-        right &= self.trust > 0
+        right = right & (self.trust > 0)
+        # one more or less trust within 1..7; a proposal of trust 1 that was wrong, or none, gives way to the new id
+        changed = self.entry - 1
+        changed += (right & (self.trust < 7)).view(np.int8)
+        changed += right.view(np.int8)
+        self.slots[self.at] = np.where(right | (self.trust > 1), changed, rank << 3 | 1)
         self.weights[self.w_at] = self.w + (right * CAP - self.w >> DECAY)
         self.last[:m] = rank
 

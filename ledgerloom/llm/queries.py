@@ -15,11 +15,15 @@ from ledgerloom.llm.chat import ORACLE as CHAT_SQL
 from ledgerloom.llm.chat import op10_chat
 from ledgerloom.llm.common import table
 from ledgerloom.llm.decontaminate import decontaminate
+from ledgerloom.llm.filter_audit import ORACLE as AUDIT_SQL
+from ledgerloom.llm.filter_audit import op13_filter_audit
 from ledgerloom.llm.fingerprints import op8_fingerprints
 from ledgerloom.llm.language_id import op2_language_id
 from ledgerloom.llm.mixing import ORACLE as MIXING_SQL
 from ledgerloom.llm.mixing import op4_mixing
+from ledgerloom.llm.ngram_join import op12_ngram_join
 from ledgerloom.llm.quality import op5_quality
+from ledgerloom.llm.repair import op11_repair
 from ledgerloom.llm.secret_scan import op6_secrets
 from ledgerloom.llm.simhash import near_duplicates
 from ledgerloom.llm.token_counts import count_tokens
@@ -54,7 +58,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fingerprints": op8_fingerprints,
     "op9_binary_output": op9_binary_output,
     "op10_chat": op10_chat,
+    "op11_repair": op11_repair,
+    "op12_ngram_join": op12_ngram_join,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {"op4_mixing": MIXING_SQL, "op10_chat": CHAT_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_mixing": MIXING_SQL, "op10_chat": CHAT_SQL, "op13_filter_audit": AUDIT_SQL}

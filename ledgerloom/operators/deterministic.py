@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from ledgerloom.config import DATE_TOLERANCES, NO_ENTITY, SCENARIO_CONFIDENCE, ColumnMap, MatchingConfig, Scenario
 from ledgerloom.functions.scores import amount_key, day
 from ledgerloom.functions.text import composed, normalize_vendor
-from ledgerloom.operators.greedy import greedy_pairs, unused
+from ledgerloom.operators.greedy import unused
+from ledgerloom.operators.sweep import Bands, assigned
 from ledgerloom.sources.shared import cut
 
 REQUIRED = ("id", "vn", "amount", "date", "entity", "ord")
@@ -66,15 +67,43 @@ def bucketed(left: DataFrame, right: DataFrame, days: int) -> tuple[DataFrame, D
 
 
 def banded(gl: DataFrame, sub: DataFrame, days: int) -> DataFrame:
-    """Candidate pairs with equal vendor, amount and entity and dates within days; go and so give the walk's order."""
+    """Candidate pairs with equal vendor, amount and entity and dates within days; go and so give the walk's order.
+
+    They are what scenario_banded() decides among, for inspection: a key with many rows of one day has all their pairs.
+    """
     g, s = (df.withColumn("k", amount_key(F.col("amount"))).withColumn("day", day(F.col("date"))) for df in (gl, sub))
     g, s = bucketed(g, s, days)
     on = [*_keys(), F.col("g.bucket") == F.col("s.bucket"), F.abs(F.col("g.day") - F.col("s.day")) <= days]
     return g.alias("g").join(s.alias("s"), reduce(Column.__and__, on)).select(F.col("g.id").alias("a"), F.col("s.id").alias("b"), F.col("g.ord").alias("go"), F.col("s.ord").alias("so"))
 
 
+def keyed(df: DataFrame) -> DataFrame:
+    """A side with the amount as it is compared (k) and the day's number."""
+    return df.withColumn("k", amount_key(F.col("amount"))).withColumn("day", day(F.col("date")))
+
+
 def scenario_banded(gl: DataFrame, sub: DataFrame, days: int) -> DataFrame:
-    return greedy_pairs(banded(gl, sub, days), ["go", "so"])
+    """Pairs (a, b) that the walk over banded() takes, by a sweep that doesn't form its candidates."""
+    return assigned(keyed(gl), keyed(sub), ["vn", "k", "entity"], Bands(days))
+
+
+def scenario_dynamic(gl: DataFrame, sub: DataFrame, scenario: Scenario) -> DataFrame:
+    """Pairs (a, b) that the walk over dynamic_candidates() takes, by the same sweep."""
+    names = {"vendor": "vn", "entity": "entity", "currency": "currency"}
+    keys = [names[f] for f in scenario.match_fields if f in names]
+    fields = set(scenario.match_fields)
+    bands = Bands(
+        scenario.date_days if "date" in fields else None,
+        scenario.amount_abs if "amount" in fields else None,
+        scenario.amount_pct if "amount" in fields else None,
+    )
+    if "amount" in fields and not bands.by_amount:
+        keys.append("k")
+    if "date" in fields and bands.days is None:
+        keys.append("date")
+    if not keys:
+        return gl.limit(0).select(F.col("id").alias("a"), F.col("id").alias("b"))
+    return assigned(keyed(gl), keyed(sub), keys, bands)
 
 
 def dynamic_candidates(gl: DataFrame, sub: DataFrame, scenario: Scenario) -> DataFrame:
@@ -126,7 +155,7 @@ def match(gl: DataFrame, sub: DataFrame, config: MatchingConfig | None = None) -
         steps = [("exact", lambda g, s: scenario_1(g, s))] + [(f"date within {d} days", lambda g, s, d=d: scenario_banded(g, s, d)) for d in DATE_TOLERANCES]
         confidences = list(SCENARIO_CONFIDENCE)
     else:
-        steps = [(c.description, lambda g, s, c=c: greedy_pairs(dynamic_candidates(g, s, c), ["go", "so"])) for c in config.scenarios]
+        steps = [(c.description, lambda g, s, c=c: scenario_dynamic(g, s, c)) for c in config.scenarios]
         confidences = [c.confidence or (SCENARIO_CONFIDENCE[i] if i < len(SCENARIO_CONFIDENCE) else SCENARIO_CONFIDENCE[-1]) for i, c in enumerate(config.scenarios)]
     gl, sub = cut(gl), cut(sub)
     for i, ((description, step), confidence) in enumerate(zip(steps, confidences, strict=True), 1):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,14 +28,12 @@ def tier_1(gl: DataFrame, sub: DataFrame) -> DataFrame:
 def tier_2(left: DataFrame, sub: DataFrame, least: float = FUZZY_VENDOR) -> DataFrame:
     """The best fuzzy match of each unresolved vendor among the subledger's normal forms, if similar enough.
 
-    Candidates come from near_texts(); their character counts must overlap enough too, which is checked before any
-    Python runs.  Both bounds are exact: no pair outside can pass.
+    Candidates come from near_texts() before any Python runs; its bounds are exact: no pair outside can pass.
     """
     query = left.withColumn("q", F.when(F.col("norm") == "", F.lower("original")).otherwise(F.col("norm"))).select("original", "q", _sorted_words(F.col("q")).alias("x"))
     forms = sub.where("norm <> ''").groupBy("norm").agg(F.max_by("original", "o").alias("matched_to"), F.min("o").alias("o")).withColumn("y", _sorted_words(F.col("norm")))
     near = near_texts(query.select("x").distinct(), forms.select("y").distinct(), least)
-    letters = near.withColumns({"xl": _letters(F.col("x")), "yl": _letters(F.col("y"))}).where(_overlap("xl", "yl") * 2 >= F.lit(least) * (F.length("x") + F.length("y")) - 1e-9).select("x", "y")
-    best = query.join(letters, "x").join(forms, "y").withColumn("s", _similarity("q", "norm")).where(F.col("s") >= least)
+    best = query.join(near, "x").join(forms, "y").withColumn("s", _similarity("q", "norm")).where(F.col("s") >= least)
     first = Window.partitionBy("original").orderBy(F.desc("s"), "o")
     return best.withColumn("rn", F.row_number().over(first)).where("rn = 1").select("original", F.col("norm").alias("matched_norm"), "matched_to", F.lit("nlp").alias("match_source"), F.col("s").alias("similarity_score"))
 
@@ -46,31 +45,48 @@ def _sorted_words(x: Column) -> Column:
 def near_texts(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     """Pairs (x, y) of left's and right's texts among which are all whose similarity is least or more.
 
-    Texts of n and m letters with that similarity differ by at most d = (1 - least) * (n + m) insertions and
-    deletions.  Of d + 1 segments of y one is untouched by all of them, and so stands in x, at most d places away:
-    the join is on that segment, its number and both lengths' d and m.
+    Texts of n and m letters with that similarity have t = least / 2 * (n + m) letters in common, counted as a multiset.
+    Sorted from the rarest letter of all texts to the most frequent one, the first n - t + k letters of one and m - t + k of the other
+    then share k of them.  Those k-letter choices from the few rarest letters are the join's keys; lengths are compared in the join,
+    and all letters of what it gives afterwards.
     """
-    n, m, d = F.length("x"), F.col("m"), F.col("d")
-    reach = lambda size: F.sequence(F.ceil(size * least / (2 - least) - 1e-9).cast("int"), F.floor(size * (2 - least) / least + 1e-9).cast("int"))
-    edits = lambda a, b: F.floor((1 - least) * (a + b) + 1e-9).cast("int")
-    begin, end = F.floor(F.col("i") * m / (d + 1)).cast("int"), F.floor((F.col("i") + 1) * m / (d + 1)).cast("int")
-    xs = left.where("x <> ''").withColumn("m", F.explode(reach(n))).withColumn("d", edits(n, m)).withColumn("i", F.explode(F.sequence(F.lit(0), d)))
-    xs = xs.withColumn("shift", F.explode(F.sequence(-d, d))).where((begin + F.col("shift") >= 0) & (end + F.col("shift") <= n))
-    xs = xs.select("x", "m", "d", "i", F.substr("x", begin + F.col("shift") + 1, end - begin).alias("part")).distinct()
-    ys = right.where("y <> ''").withColumn("m", F.length("y")).withColumn("d", F.explode(F.array_distinct(F.transform(reach(m), lambda k: edits(k, m))))).withColumn("i", F.explode(F.sequence(F.lit(0), d)))
-    ys = ys.select("y", "m", "d", "i", F.substr("y", begin + 1, end - begin).alias("part"))
-    return xs.join(ys, ["m", "d", "i", "part"]).select("x", "y").distinct()
-
-
-def _letters(x: Column) -> Column:
-    """Counts of each letter and digit, and of everything else."""
-    each = [F.length(x) - F.length(F.replace(x, F.lit(c), F.lit(""))) for c in "abcdefghijklmnopqrstuvwxyz0123456789"]
-    return F.array(*each, F.length(F.regexp_replace(x, "[a-z0-9]", "")))
-
-
-def _overlap(a: str, b: str) -> Column:
-    """Characters that both texts hold, with multiplicity, from their counts; other characters count fully."""
-    return sum((F.least(F.col(a)[i], F.col(b)[i]) for i in range(1, 37)), F.least(F.col(a)[0], F.col(b)[0]))
+    most = 4 if least >= 0.85 else 2  # letters of a key: the lower the bound, the longer the beginnings that they are chosen from
+    both = left.where("x <> ''").select(F.col("x").alias("text")).union(right.where("y <> ''").select(F.col("y").alias("text"))).distinct()
+    letters = cut(_rarest(both))
+    keys = cut(_letter_keys(letters, least, most))
+    xs, ys = keys.join(left.select(F.col("x").alias("text")), "text", "left_semi").alias("x"), keys.join(right.select(F.col("y").alias("text")), "text", "left_semi").alias("y")
+    n, m = F.length("x.text"), F.length("y.text")
+    close = F.abs(n - m) <= F.floor((1 - least) * (n + m) + 1e-9)
+    pairs = xs.join(ys, (F.col("x.key") == F.col("y.key")) & close).select(F.col("x.text").alias("x"), F.col("y.text").alias("y")).distinct()
+    common = F.size(F.array_intersect("xg", "yg"))
+    for side in "xy":
+        pairs = pairs.join(letters.select(F.col("text").alias(side), F.col("g").alias(f"{side}g")), side)
+    return pairs.where(common * 2 >= F.lit(least) * (F.length("x") + F.length("y")) - 1e-9).select("x", "y")
+
+
+def _rarest(texts: DataFrame) -> DataFrame:
+    """text and g: its letters, each with the number of its occurrence, from the rarest one of all texts on."""
+    letters = F.transform(F.sequence(F.lit(1), F.length("text")), lambda i: F.substring(F.col("text"), i, F.lit(1)))
+    numbered = F.transform("c", lambda c, i: F.concat(c, F.size(F.filter(F.slice("c", F.lit(1), i + 1), lambda o: o == c)).cast("string")))
+    each = cut(texts.withColumn("c", letters).select("text", F.explode(numbered).alias("g")))
+    rarity = each.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    return each.join(rarity, "g").groupBy("text").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "g"))), lambda s: s["g"]).alias("g"))
+
+
+def _letter_keys(letters: DataFrame, least: float, most: int) -> DataFrame:
+    """text and key: choices of its rarest letters as near_texts() joins them."""
+    n = F.length("text")
+    common = lambda m: F.ceil(F.lit(least / 2) * (n + m) - 1e-9).cast("int")
+    reach = F.sequence(F.ceil(n * least / (2 - least) - 1e-9).cast("int"), F.floor(n * (2 - least) / least + 1e-9).cast("int"))
+    out = []
+    for k in range(1, most + 1):  # pairs with fewer common letters than most need keys of as many as they have
+        partners = F.filter(reach, lambda m: F.least(F.lit(most), common(m)) == k)  # noqa: B023
+        chosen = letters.withColumn("p", F.array_max(F.transform(partners, lambda m: n - common(m) + k))).where("p is not null")  # noqa: B023
+        for i in range(1, k + 1):
+            chosen = chosen.withColumn(f"i{i}", F.explode(F.sequence(F.col(f"i{i - 1}") + 1 if i > 1 else F.lit(1), F.col("p") - (k - i))))
+        key = F.concat_ws(" ", F.lit(str(k)), *[F.element_at("g", F.col(f"i{i}")) for i in range(1, k + 1)])
+        out.append(chosen.select("text", key.alias("key")))
+    return reduce(DataFrame.union, out)
 
 
 def vendor_map(gl: DataFrame, sub: DataFrame, least: float = FUZZY_VENDOR, advised: DataFrame | Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
@@ -79,6 +95,7 @@ def vendor_map(gl: DataFrame, sub: DataFrame, least: float = FUZZY_VENDOR, advis
     advised (original, matched_to, confidence) is the optional advisor's answer for what both tiers left over,
     or a function that gives it from the vendors left over and the subledger's.
     """
+    gl, sub = cut(gl), cut(sub)
     one = cut(tier_1(gl, sub))
     rest = cut(gl.join(one.select("original"), "original", "left_anti"))
     two = cut(tier_2(rest, sub, least))

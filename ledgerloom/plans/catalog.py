@@ -14,7 +14,6 @@ from ledgerloom import config as C
 from ledgerloom.functions import scores
 from ledgerloom.functions.text import STOPWORDS, SUFFIXES, normalize_vendor, with_similarity
 from ledgerloom.operators import advisor, consolidate, deterministic, export, probabilistic, profile, review, vendors
-from ledgerloom.operators.greedy import greedy_pairs
 from ledgerloom.plans import session
 from ledgerloom.sources import intake, ledger, shared, sinks
 
@@ -136,7 +135,7 @@ _DYN = """SELECT g.id AS a, s.id AS b, g.ord AS go, s.ord AS so, g.vn, g.entity
 @add(f"{_SIDES}, {_walk('p', _DYN, 'vn, entity')} SELECT a, b FROM p")
 def det_dynamic(spark, d):
     scenario = C.Scenario(("vendor", "entity", "amount", "date"), "near", 45, 5.0, 0.05)
-    return greedy_pairs(deterministic.dynamic_candidates(*sides(spark, d), scenario), ["go", "so"])
+    return deterministic.scenario_dynamic(*sides(spark, d), scenario)
 
 
 @add(f"{_SIDES} SELECT id, amount, round_even(amount * 100, 0) / 100 AS amount_key FROM g")

@@ -7,8 +7,8 @@ vector.  The vector has two parts:
 
 * STRONG entries from a 512-bit hash of the whole paragraph: equality of multisets.
 * WEAK entries of +1 or -1 from the hash of each piece of the paragraph (a few words;
-  pieces end where a word's bytes say so, inside long runs without blanks where four
-  bytes say so, or with the paragraph) with the number of its occurrence in the text.
+  pieces end where a word's last three bytes say so, inside long runs without blanks where
+  three bytes say so, or with the paragraph; no byte outside the word decides) with the number of its occurrence in the text.
   So a repeated piece counts once for each occurrence, not with their square, and pieces
   of blanks don't count.
 
@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.common import lean, table
 
 STRONG, WEAK = 32, 1024
-#: A word ends a piece if its checksum has these low bits set: every fourth on average; four bytes beyond LONG bytes of a word do if theirs have those.
+#: A word ends a piece if its checksum has these low bits set: every fourth on average; three bytes beyond LONG bytes of a word do if theirs have those.
 PIECE_MASK, LONG, LONG_MASK = 3, 24, 15
 #: Bytes of text that a range holds, about, and ranges at least (as many as the session's shuffle partitions).
 RANGE_BYTES = 128 << 20
@@ -88,9 +88,13 @@ class Fingerprint:
         self.vector[STRONG:] += weak(items)
 
     def delete(self, some: list[str]) -> None:
+        """Takes paragraphs out that the text holds; raises ValueError where a piece of them isn't known to be held."""
         raw = [p.encode("utf-8", "surrogatepass") for p in some]
+        gone = pieces(raw)
+        if lacking := Counter(gone) - self.held:
+            raise ValueError(f"{sum(lacking.values())} pieces are not held")
         items = []
-        for x in pieces(raw):
+        for x in gone:
             k = self.held[x] - 1
             self.held[x] = k
             items.append(xxhash.xxh3_128_digest(x, k))
@@ -127,12 +131,10 @@ def pieces(some: list[bytes]) -> list[bytes]:
     first[0] = 0
     size = at - first  # bytes of the word before this one
     ends = np.flatnonzero(blank & (size > 0))
+    # a sum over the three bytes before each one that belong to its word: what stands before the word, in this paragraph or another, has no part
     near = np.zeros(len(b), dtype=np.int32)
-    near[3:] = b[:-3]
-    near[3:] += b[1:-2]
-    near[3:] += b[2:-1]
-    near[3:] *= 5
-    near[3:] += b[2:-1]
+    for back, weight in ((1, 6), (2, 5), (3, 5)):
+        near[back:] += np.where(size[back:] >= back, b[:-back].astype(np.int32) * weight, 0)
     cut = (near[ends] + size[ends] * 7) & PIECE_MASK == PIECE_MASK
     cuts = [ends[cut], np.flatnonzero(b == 10)]
     if size.max() > LONG:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import cut, lean, table
+from ledgerloom.llm.common import HOT, cut, lean, table
 
 #: Least words, least share of distinct words and largest share of capitals (in hundredths), and the characters not wanted.
 WORDS, DISTINCT, CAPITALS, SIGNS = 50, 65, 5, "#$%&*|"
@@ -51,9 +51,14 @@ def failures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", part:
     mask = sum((F.when(f, F.lit(1 << i)).otherwise(F.lit(0)) for i, f in enumerate(text_filters(F.col("text")))), F.lit(0))
     # digests instead of texts from here on, computed once for both sides of the join
     rows = cut(rows.select("doc_id", "part", mask.alias("mask"), F.unhex(F.sha2("text", 256)).alias("digest")))
-    first = rows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("digest", "first")
+    firsts = rows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n")).where("first < last").select("digest", "first", "n")
+    firsts, total = cut(firsts), rows.count()
     again = F.when(F.col("doc_id") > F.col("first"), F.lit(16)).otherwise(F.lit(0))
-    return rows.join(first, "digest", "left").select("doc_id", "part", (F.col("mask") + again).alias("mask"))
+    # rows of a text that has over a HOT-th of all rows stay where they are; HOT such texts at most are broadcast
+    hot = F.broadcast(firsts.where(F.col("n") * HOT > total))
+    rest = rows.join(hot, "digest", "left_anti").join(firsts.where(F.col("n") * HOT <= total), "digest", "left")
+    both = rows.join(hot, "digest").unionByName(rest)
+    return both.select("doc_id", "part", (F.col("mask") + again).alias("mask"))
 
 
 def mask_counts(failed: DataFrame, labels: DataFrame) -> DataFrame:

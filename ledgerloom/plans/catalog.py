@@ -173,9 +173,9 @@ sim_w AS (SELECT x, y, a, b, 0 AS j, list_transform(range(0, len(a) + 1), lambda
 sim AS (SELECT x, y, 2.0 * line[len(a) + 1] / (len(a) + len(b)) AS s FROM sim_w WHERE j = len(b))"""
 
 
-def _sim(pairs: str) -> str:
-    """CTE sim (x, y, s) for the unequal pairs of names (x, y)."""
-    return _SIM.format(pairs=pairs, sx=_SORTED.format(x="x"), sy=_SORTED.format(x="y")).replace("list_reduce(range(1, len(a) + 1), lambda acc, i:", "list_reduce(list_transform(range(1, len(a) + 1), lambda i: [i]), lambda acc, q:").replace("a[i] = b[j + 1] THEN line[i] + 1 ELSE greatest(line[i + 1], acc[i])", "a[q[1]] = b[j + 1] THEN line[q[1]] + 1 ELSE greatest(line[q[1] + 1], acc[q[1]])")
+def _sim(pairs: str, name: str = "sim") -> str:
+    """CTE sim, or of another name, (x, y, s) for the unequal pairs of names (x, y)."""
+    return _SIM.replace("sim", name).format(pairs=pairs, sx=_SORTED.format(x="x"), sy=_SORTED.format(x="y")).replace("list_reduce(range(1, len(a) + 1), lambda acc, i:", "list_reduce(list_transform(range(1, len(a) + 1), lambda i: [i]), lambda acc, q:").replace("a[i] = b[j + 1] THEN line[i] + 1 ELSE greatest(line[i + 1], acc[i])", "a[q[1]] = b[j + 1] THEN line[q[1]] + 1 ELSE greatest(line[q[1] + 1], acc[q[1]])")
 
 
 _BLOCK = """SELECT g.id AS a, s.id AS b, g.ord AS go, s.ord AS so, g.entity, g.vn AS x, s.vn AS y,
@@ -198,19 +198,49 @@ def prob_1to1(spark, d):
     return probabilistic.one_to_one(*sides(spark, d)).select("a", "b", "similarity")
 
 
-@add()
+_SCORE = "0.0::DOUBLE + 0.45::DOUBLE * (vsum / n) + 0.4::DOUBLE * greatest(0.0, 1 - abs(total - target) / greatest(abs(total), abs(target), 0.01)) + 0.15::DOUBLE * (dsum / n)"
+
+
+def _groups(name: str, anchors: str, others: str) -> str:
+    """CTEs for the sets of two to five rows of others for each row of anchors; name has those that the walk takes (anchor, ids, similarity)."""
+    return f"""{name}_p AS (SELECT a.id AS anchor, a.amount AS target, a.ord AS aord, a.entity, o.id, o.amount, o.ord AS oord, a.vn AS x, o.vn AS y, greatest(0.0, 1 - abs(date_diff('day', a.date, o.date)) / 60.0::DOUBLE) AS ds
+  FROM {anchors} a JOIN {others} o ON a.entity = o.entity AND abs(date_diff('day', a.date, o.date)) <= 60 WHERE a.amount IS NOT NULL AND o.amount IS NOT NULL),
+{_sim(f"SELECT x, y FROM {name}_p", f"{name}_sim")},
+{name}_v AS (SELECT p.*, CASE WHEN p.x = p.y THEN 1.0::DOUBLE ELSE q.s END AS vs FROM {name}_p p LEFT JOIN {name}_sim q ON p.x = q.x AND p.y = q.y),
+{name}_m AS (SELECT * EXCLUDE (whole), row_number() OVER (PARTITION BY anchor ORDER BY amount DESC, oord) AS pos FROM (SELECT *, sum(amount) OVER (PARTITION BY anchor) AS whole FROM {name}_v WHERE vs >= 0.5)
+  WHERE target <= 0 OR whole >= least(target * 0.9, target - 5)),
+{name}_c AS (SELECT anchor, target, aord, entity, [id] AS ids, [pos] AS pos, 1 AS n, amount AS total, vs AS vsum, ds AS dsum FROM {name}_m
+  UNION ALL SELECT c.anchor, c.target, c.aord, c.entity, list_append(c.ids, m.id), list_append(c.pos, m.pos), c.n + 1, c.total + m.amount, c.vsum + m.vs, c.dsum + m.ds FROM {name}_c c JOIN {name}_m m ON c.anchor = m.anchor AND m.pos > c.pos[-1] WHERE c.n < 5),
+{name}_k AS (SELECT *, {_SCORE} AS similarity FROM {name}_c WHERE n >= 2 AND abs(total - target) <= greatest(0.1::DOUBLE * greatest(abs(total), abs(target), 0.01), 5.0) AND {_SCORE} >= 0.8),
+{name}_e AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY -similarity, aord, n, pos) AS i FROM {name}_k),
+{name}_w AS (SELECT DISTINCT entity, 0::BIGINT AS i, NULL::VARCHAR AS anchor, NULL::VARCHAR[] AS ids, NULL::DOUBLE AS similarity, []::VARCHAR[] AS ua, []::VARCHAR[] AS uo, false AS got FROM {name}_e
+  UNION ALL SELECT w.entity, e.i, e.anchor, e.ids, e.similarity, CASE WHEN list_contains(ua, e.anchor) OR list_has_any(uo, e.ids) THEN ua ELSE list_append(ua, e.anchor) END,
+    CASE WHEN list_contains(ua, e.anchor) OR list_has_any(uo, e.ids) THEN uo ELSE list_concat(uo, e.ids) END, NOT (list_contains(ua, e.anchor) OR list_has_any(uo, e.ids))
+  FROM {name}_w w JOIN {name}_e e ON e.entity = w.entity AND e.i = w.i + 1),
+{name} AS (SELECT anchor, ids, similarity FROM {name}_w WHERE got)"""
+
+
+@add(f"{_CASCADE}, {_groups('n1', 's4', 'g4')} SELECT array_to_string(ids, ',') AS gl_ids, anchor AS sub_id, similarity FROM n1")
 def prob_n1(spark, d):
     _, g, s = deterministic.match(*sides(spark, d))
     return probabilistic.grouped(s, g).select(F.array_join("members", ",").alias("gl_ids"), F.col("anchor").alias("sub_id"), "similarity")
 
 
-@add()
+@add(f"{_CASCADE}, {_groups('n2', 'g4', 's4')} SELECT anchor AS gl_id, array_to_string(ids, ',') AS sub_ids, similarity FROM n2")
 def prob_1n(spark, d):
     _, g, s = deterministic.match(*sides(spark, d))
     return probabilistic.grouped(g, s).select(F.col("anchor").alias("gl_id"), F.array_join("members", ",").alias("sub_ids"), "similarity")
 
 
-@add()
+_PROBABLE = f"""{_CASCADE}, pairs AS ({_BLOCK.format(g="g4", s="s4")}), {_sim("SELECT x, y FROM pairs")},
+cand AS (SELECT pairs.*, CASE WHEN pairs.x = pairs.y THEN 1.0::DOUBLE ELSE sim.s END AS vendor_similarity FROM pairs LEFT JOIN sim ON pairs.x = sim.x AND pairs.y = sim.y),
+good AS (SELECT *, {_FINAL} AS similarity FROM cand WHERE {_FINAL} >= 0.8), {_walk("o", "SELECT *, -similarity AS down FROM good", "entity", "down, go, so")},
+oo AS (SELECT a, b, similarity FROM o JOIN good USING (a, b)),
+g5 AS (SELECT * FROM g4 WHERE id NOT IN (SELECT a FROM oo)), s5 AS (SELECT * FROM s4 WHERE id NOT IN (SELECT b FROM oo)), {_groups("n1", "s5", "g5")},
+g6 AS (SELECT * FROM g5 WHERE id NOT IN (SELECT unnest(ids) FROM n1)), s6 AS (SELECT * FROM s5 WHERE id NOT IN (SELECT anchor FROM n1)), {_groups("n2", "g6", "s6")}"""
+
+
+@add(f"{_PROBABLE} SELECT 'one_to_one' AS grouping_type, a AS gl_ids, b AS sub_ids, similarity FROM oo UNION ALL SELECT 'many_to_one', array_to_string(ids, ','), anchor, similarity FROM n1 UNION ALL SELECT 'one_to_many', anchor, array_to_string(ids, ','), similarity FROM n2")
 def prob_all(spark, d):
     _, g, s = deterministic.match(*sides(spark, d))
     found, _, _ = probabilistic.match(g, s)

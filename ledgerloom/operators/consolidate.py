@@ -37,11 +37,13 @@ def exploded(matches: DataFrame, ids: str) -> DataFrame:
 
 def scenario_amounts(matches: DataFrame, gl: DataFrame) -> DataFrame:
     """GL amount of the distinct matched ids, by scenario and overall (scenario null); null amounts as zero."""
-    ids = exploded(matches.where("layer = 'deterministic'"), "a").select("id", "scenario_id").distinct()
-    each = ids.join(gl.select("id", "amount"), "id", "left")
-    by = each.groupBy("scenario_id").agg(money(F.sum(F.coalesce("amount", F.lit(0.0)))).alias("amount"))
-    whole = each.dropDuplicates(["id"]).agg(money(F.sum(F.coalesce("amount", F.lit(0.0)))).alias("amount")).select(F.lit(None).cast("int").alias("scenario_id"), "amount")
-    return by.unionByName(whole)
+    each = exploded(matches.where("layer = 'deterministic'"), "a").groupBy("id").agg(F.collect_set("scenario_id").alias("scenarios"))  # as many as there are scenarios
+    each = each.join(gl.select("id", "amount"), "id", "left").withColumn("amount", F.coalesce("amount", F.lit(0.0)))
+    # an id counts once in the whole sum: with the first of its scenarios, the others add to theirs only
+    parts = each.select(F.posexplode("scenarios").alias("at", "scenario_id"), "amount")
+    first = F.when(F.col("at") == 0, F.col("amount")).otherwise(0.0)
+    rolled = parts.rollup("scenario_id").agg(F.grouping_id().alias("whole"), F.sum("amount").alias("own"), F.sum(first).alias("once"))
+    return rolled.where("whole = 1 or scenario_id is not null").select("scenario_id", money(F.when(F.col("whole") == 1, F.col("once")).otherwise(F.col("own"))).alias("amount"))
 
 
 def status_summary(matches: DataFrame, gl: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerloom.sources.shared import cut
+
 BINS, TOP_CATEGORIES, MOST_CATEGORIES, TOP_VENDORS = 8, 8, 30, 15
 
 
@@ -102,27 +104,83 @@ def column_kind(kind: T.DataType) -> str:
     return "numeric" if isinstance(kind, T.NumericType) else "date" if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)) else "string"
 
 
+#: Ranges that a pass of medians() counts, and distinct values that it takes to the driver in the end, of each column at most.
+PARTS, FEW = 1024, 1000
+
+
+def medians(counted: DataFrame, facts: list) -> dict[str, float]:
+    """Exact medians of several columns of counted (column_name, x, n); facts: a row a column with column_name, lo, hi and rows.
+
+    Each pass counts the values of all columns' ranges in PARTS parts and goes on with the part that holds the middle
+    value, so ranges narrow a thousandfold a pass, whatever the number of values; few values are ranked directly.
+    """
+    spark = counted.sparkSession
+    open_ = {(f.column_name, k): (f.lo, f.hi, k) for f in facts for k in {(f.rows + 1) // 2, f.rows // 2 + 1}}
+    found: dict[tuple[str, int], float] = {}
+    few = False
+    while open_:
+        ranges = spark.createDataFrame([(c, k, lo, hi) for (c, k), (lo, hi, _) in open_.items()], "c string, k long, lo double, hi double")
+        inside = counted.join(F.broadcast(ranges), (F.col("column_name") == F.col("c")) & F.col("x").between(F.col("lo"), F.col("hi")))  # two ranges a column
+        share_ = (F.col("x") / 2 - F.col("lo") / 2) / F.nullif(F.col("hi") / 2 - F.col("lo") / 2, F.lit(0.0))
+        part = F.when(F.col("hi") > F.col("lo"), F.least(F.floor(share_ * PARTS), F.lit(PARTS - 1))).otherwise(F.lit(0))
+        by = F.col("x") if few else part
+        parts: dict = {}
+        for r in inside.groupBy("c", "k", by.alias("part")).agg(F.sum("n").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.count_distinct("x").alias("values")).collect():
+            parts.setdefault((r.c, r.k), []).append((r.part, r.n, r.lo, r.hi, r["values"]))
+        sizes = []
+        for key, (_, _, rank) in list(open_.items()):
+            for _, n, lo, hi, values in sorted(parts[key]):
+                if rank <= n:
+                    break
+                rank -= n
+            if lo == hi:
+                found[key] = lo
+                del open_[key]
+            else:
+                open_[key] = (lo, hi, rank)
+                sizes.append(values)
+        few = bool(sizes) and max(sizes) <= FEW
+    return {f.column_name: (found[f.column_name, (f.rows + 1) // 2] + found[f.column_name, f.rows // 2 + 1]) / 2 for f in facts}
+
+
+def numeric_profiles(counted: DataFrame, bins: int = BINS) -> DataFrame:
+    """column_name, min, max, mean, median, std, sum and histogram (counts of equal-width bins, bar-joined) of counted (column_name, x, n).
+
+    The deviation is of the distances from the mean, which a second pass takes: squares of the values themselves
+    would cancel each other where amounts are large and close.
+    """
+    some = counted.where("x is not null and not isnan(x)")
+    x, n = F.col("x"), F.col("n")
+    facts = cut(some.groupBy("column_name").agg(F.min(x).alias("lo"), F.max(x).alias("hi"), F.sum(n).alias("rows"), F.sum(x * n).alias("total")))  # a row a column
+    rows = facts.collect()
+    middle = counted.sparkSession.createDataFrame(list(medians(some, rows).items()), "column_name string, median double")
+    mean, width = F.col("total") / F.col("rows"), F.nullif((F.col("hi") - F.col("lo")) / bins, F.lit(0.0))
+    place = F.greatest(F.lit(1), F.least(F.lit(bins), F.ceil((x - F.col("lo")) / width)))
+    at = [F.coalesce(F.sum(F.when(place == i, n)), F.lit(0)).cast("string") for i in range(1, bins + 1)]
+    spread = some.join(F.broadcast(facts), "column_name").groupBy("column_name").agg(F.sum(n * (x - mean) * (x - mean)).alias("ss"), F.when(F.first("hi") > F.first("lo"), F.concat_ws("|", *at)).alias("histogram"))
+    std = F.when(F.col("rows") == 1, 0.0).otherwise(F.sqrt(F.col("ss") / F.nullif(F.col("rows") - 1, F.lit(0))))
+    return facts.join(F.broadcast(middle), "column_name").join(F.broadcast(spread), "column_name").select("column_name", rounded(F.col("lo")).alias("min"), rounded(F.col("hi")).alias("max"), rounded(mean).alias("mean"), rounded(F.col("median")).alias("median"), rounded(std).alias("std"), rounded(F.col("total"), 2).alias("sum"), "histogram")
+
+
 def column_profiles(df: DataFrame) -> DataFrame:
     """A row for each column: type, distinct values, nulls; for texts the lengths, blanks and the mode; for numbers
-    min, max, mean and deviation; for dates the first and last one.
+    what numeric_profiles() says; for dates the first and last one.
 
     Values are counted in one pass over all columns, as (column, value) with each pair's number of rows; what
     depends on a column's values follows from these counts.
     """
     kinds = {f.name: column_kind(f.dataType) for f in df.schema.fields}
     cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("v"), (F.col(c).cast("double") if k == "numeric" else F.lit(None).cast("double")).alias("x")) for c, k in kinds.items()])
-    counted = df.select(F.explode(cells).alias("c")).groupBy("c.column_name", "c.v", "c.x").agg(F.count(F.lit(1)).alias("n"))
+    counted = cut(df.select(F.explode(cells).alias("c")).groupBy("c.column_name", "c.v", "c.x").agg(F.count(F.lit(1)).alias("n")))
     kind = F.create_map(*[F.lit(w) for c, k in kinds.items() for w in (c, k)])[F.col("column_name")]
-    text, number, date, n = kind == "string", F.col("x"), F.when(kind == "date", F.substring("v", 1, 10)), F.col("n")
+    text, date, n = kind == "string", F.when(kind == "date", F.substring("v", 1, 10)), F.col("n")
     size = F.when(text, F.length("v"))
-    rows, total = F.sum(F.when(number.isNotNull(), n)), F.sum(number * n)
-    spread = F.sum(number * number * n) - total * total / rows
-    return counted.groupBy("column_name").agg(
+    out = counted.groupBy("column_name").agg(
         F.first(kind).alias("type"), F.count_if(F.col("v").isNotNull()).alias("distinct_count"), F.coalesce(F.sum(F.when(F.col("v").isNull(), n)), F.lit(0)).alias("null_count"),
         F.min(size).cast("long").alias("min_length"), F.max(size).cast("long").alias("max_length"), F.coalesce(F.sum(F.when(text & (F.trim("v") == ""), n)), F.lit(0)).alias("blanks"),
-        F.min(F.when(text & F.col("v").isNotNull(), F.struct((-n).alias("o"), F.col("v").alias("v"))))["v"].alias("mode"), rounded(F.min(number)).alias("min"), rounded(F.max(number)).alias("max"), rounded(total / rows).alias("mean"),
-        rounded(F.when(rows == 1, 0.0).otherwise(F.sqrt(F.greatest(spread, F.lit(0.0)) / (rows - 1)))).alias("std"), F.min(date).alias("first_date"), F.max(date).alias("last_date"),
+        F.min(F.when(text & F.col("v").isNotNull(), F.struct((-n).alias("o"), F.col("v").alias("v"))))["v"].alias("mode"), F.min(date).alias("first_date"), F.max(date).alias("last_date"),
     )
+    return out.join(F.broadcast(numeric_profiles(counted)), "column_name", "left")  # a row a column
 
 
 def column_labels(df: DataFrame, top: int = TOP_CATEGORIES) -> DataFrame:

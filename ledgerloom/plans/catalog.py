@@ -421,9 +421,10 @@ def daily_gl_vs_sub(spark, d):
     return profile.daily_both(ledger.gl(spark, d), ledger.sub(spark, d), "transaction_date")
 
 
-_TEXT = "SELECT '{c}' AS column_name, 'string' AS type, count(DISTINCT {c}) AS distinct_count, count(*) - count({c}) AS null_count, min(len({c}::VARCHAR)) AS min_length, max(len({c}::VARCHAR)) AS max_length, count(*) FILTER (trim({c}::VARCHAR) = '') AS blanks, (SELECT {c}::VARCHAR FROM gl WHERE {c} IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS mode, NULL::DOUBLE AS min, NULL::DOUBLE AS max, NULL::DOUBLE AS mean, NULL::DOUBLE AS std, NULL::VARCHAR AS first_date, NULL::VARCHAR AS last_date FROM gl"
-_DATE = "SELECT '{c}', 'date', count(DISTINCT {c}), count(*) - count({c}), NULL, NULL, 0, NULL, NULL, NULL, NULL, NULL, strftime(min({c}), '%Y-%m-%d'), strftime(max({c}), '%Y-%m-%d') FROM gl"
-_NUMBER = f"SELECT '{{c}}', 'numeric', count(DISTINCT {{c}}), count(*) - count({{c}}), NULL, NULL, 0, NULL, {r('min({c})')}, {r('max({c})')}, {r('avg({c})')}, {r('stddev_samp({c})')}, NULL, NULL FROM gl"
+_TEXT = "SELECT '{c}' AS column_name, 'string' AS type, count(DISTINCT {c}) AS distinct_count, count(*) - count({c}) AS null_count, min(len({c}::VARCHAR)) AS min_length, max(len({c}::VARCHAR)) AS max_length, count(*) FILTER (trim({c}::VARCHAR) = '') AS blanks, (SELECT {c}::VARCHAR FROM gl WHERE {c} IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS mode, NULL::DOUBLE AS min, NULL::DOUBLE AS max, NULL::DOUBLE AS mean, NULL::DOUBLE AS std, NULL::VARCHAR AS first_date, NULL::VARCHAR AS last_date, NULL::DOUBLE AS median, NULL::DOUBLE AS sum, NULL::VARCHAR AS histogram FROM gl"
+_DATE = "SELECT '{c}', 'date', count(DISTINCT {c}), count(*) - count({c}), NULL, NULL, 0, NULL, NULL, NULL, NULL, NULL, strftime(min({c}), '%Y-%m-%d'), strftime(max({c}), '%Y-%m-%d'), NULL, NULL, NULL FROM gl"
+_HIST = "(SELECT string_agg(coalesce(k, 0)::VARCHAR, '|' ORDER BY i) FROM range(1, 9) q(i) LEFT JOIN (SELECT greatest(1, least(8, ceil(({c} - lo) / ((hi - lo) / 8))))::INT AS bin, count(*) AS k FROM gl, (SELECT min({c}) AS lo, max({c}) AS hi FROM gl) WHERE {c} IS NOT NULL GROUP BY 1) ON bin = i)"
+_NUMBER = f"SELECT '{{c}}', 'numeric', count(DISTINCT {{c}}), count(*) - count({{c}}), NULL, NULL, 0, NULL, {r('min({c})')}, {r('max({c})')}, {r('avg({c})')}, {r('stddev_samp({c})')}, NULL, NULL, {r('median({c})')}, {r('sum({c})', 2)}, {_HIST} FROM gl"
 
 
 @add(f"{_GLSUB} " + " UNION ALL ".join([_TEXT.format(c=c) for c in ("gl_id", "entity", "account_code", "vendor_name", "currency", "exception_flag")] + [_DATE.format(c="transaction_date"), _NUMBER.format(c="amount")]))

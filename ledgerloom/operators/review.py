@@ -15,8 +15,14 @@ DECISIONS = {"accept": "accepted", "reject": "rejected"}
 
 
 def decided(matches: DataFrame, decisions: DataFrame) -> DataFrame:
-    """matches with their new status; undecided ones keep theirs."""
-    last = decisions.groupBy("match_id").agg(F.max_by("decision", "ord").alias("__d"))
+    """matches with their new status; undecided ones keep theirs.
+
+    A decision on a match that doesn't exist fails the job that computes the result, so that nothing of it is written.
+    """
+    known = matches.select("match_id", F.lit(True).alias("__known"))
+    last = decisions.groupBy("match_id").agg(F.max_by("decision", "ord").alias("__d")).join(known, "match_id", "left")
+    refused = F.raise_error(F.concat(F.lit("unknown match: "), F.coalesce("match_id", F.lit("null")))).cast("string")
+    last = last.select("match_id", F.when(F.col("__known").isNull(), refused).otherwise(F.col("__d")).alias("__d"))
     new = F.when(F.col("__d") == "accept", "accepted").when(F.col("__d") == "reject", "rejected").otherwise(F.col("status"))
     return matches.join(last, "match_id", "left").withColumn("status", new).drop("__d")
 

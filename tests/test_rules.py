@@ -307,6 +307,24 @@ def test_whole_run_with_all_rejected(spark):
     assert (n.deterministic, n.probabilistic, n.ai, n.total, n.rejected, n.residual_gl, n.residual_sub) == (2, 0, 0, 2, 2, 2, 2)
 
 
+def test_decisions_on_unknown_matches_fail_the_run(spark):
+    strange = lambda m: m.select("match_id", F.lit("accept").alias("decision"), F.lit(1).alias("ord")).union(m.sparkSession.createDataFrame([("MX", "accept", 1)], "match_id string, decision string, ord int"))
+    for asked in ({"decide": strange}, {"advise": stub(), "decide_advised": strange}):
+        with pytest.raises(Exception, match="unknown match: MX"):
+            reconcile(spark, *p4(spark), **asked)
+
+
+def test_nothing_is_computed_again_in_a_review(spark):
+    s = Session(spark)
+    for state in STATES[1:]:
+        s.advance(state)
+        if state in ("deterministic_complete", "probabilistic_complete", "ai_suggested"):
+            with pytest.raises(TransitionError):
+                s.compute("deterministic", lambda: spark.range(1))
+        else:
+            assert s.compute(state, lambda: spark.range(1)) is s.frames[state]
+
+
 def test_whole_run_with_advised_vendor(spark):
     def which(payload):
         import json

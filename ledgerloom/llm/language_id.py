@@ -16,10 +16,13 @@ The last three are learnt from the rows themselves: sums of the text posteriors
 declared language, suffix, host and domain, in grouped aggregations that are summed
 within each task first.  A row's own posterior is taken out of all of them.  P(value |
 language) is over the values seen and one more for unseen ones, and sums to 1.  Only
-the table of declared two-letter codes (676 at most) and hosts with more than a thousandth
+the table of declared codes (18,252 of two or three letters at most) and hosts with more than a thousandth
 of all rows (so fewer than a thousand) are broadcast; other hosts are joined by a shuffle.
 
-Only two-letter language codes are learnt from, so the model has 676 languages at most.
+Labels and declarations are taken by their language code: capitals, regions and scripts are put
+aside, three-letter codes become the two-letter ones where there are such (code_of()), others
+stay as they are.  A label that is no code (a language's name, say) is not learnt from.  The model
+has one column of BUCKETS numbers for each language that is labelled in the corpus.
 Null or empty texts have no text evidence; a missing declaration, address or host gives
 no evidence of that kind.  Rows are never dropped, repeated ones stay repeated; ties go
 to the language first in order.  Without any labelled text the result's language is null.
@@ -44,6 +47,14 @@ BUCKETS, TEMPER, MOST = 16_384, 0.3, 20.0
 #: Pseudo-counts: of a trigram, of the overall prior in a domain's, of a domain's in a host's, of an evidence value.
 TRIGRAM, TO_ALL, TO_DOMAIN, VALUE = 0.5, 10.0, 5.0, 0.5
 HELD_OUT = "coalesce(crc32(cast(cast(doc_id as string) as binary)) % 3 = 1, false)"
+#: Three-letter codes of languages that have a two-letter one (fixed values).
+THREE_LETTERS = {
+    "ar": "ara", "bg": "bul", "bn": "ben", "ca": "cat", "cs": "ces cze", "da": "dan", "de": "deu ger", "el": "ell gre", "en": "eng", "es": "spa", "et": "est", "eu": "eus baq", "fa": "fas per",
+    "fi": "fin", "fr": "fra fre", "ga": "gle", "gl": "glg", "he": "heb", "hi": "hin", "hr": "hrv", "hu": "hun", "hy": "hye arm", "id": "ind", "is": "isl ice", "it": "ita", "ja": "jpn",
+    "ka": "kat geo", "kk": "kaz", "ko": "kor", "la": "lat", "lt": "lit", "lv": "lav", "mk": "mkd mac", "ml": "mal", "mr": "mar", "ms": "msa may", "nb": "nob", "ne": "nep", "nl": "nld dut", "nn": "nno",
+    "no": "nor", "pa": "pan", "pl": "pol", "pt": "por", "ro": "ron rum", "ru": "rus", "sk": "slk slo", "sl": "slv", "sq": "sqi alb", "sr": "srp", "sv": "swe", "sw": "swa", "ta": "tam", "te": "tel",
+    "th": "tha", "tl": "tgl", "tr": "tur", "uk": "ukr", "ur": "urd", "uz": "uzb", "vi": "vie", "zh": "zho chi",
+}
 _MARKUP = re.compile(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else 32 if c < 65 or 90 < c < 97 or 122 < c < 128 else c for c in range(256))
 
@@ -69,9 +80,16 @@ class Model:
         return min(TEMPER * len(t), MOST) * self.log[t].mean(axis=0) if len(t) else np.zeros(len(self.languages))
 
 
+def code_of(label: Column) -> Column:
+    """A label's language: in small letters, without region or script, two letters where there are two; null if it is none."""
+    bare = F.regexp_extract(F.lower(F.trim(label)), r"^([a-z]{2,3})(?:[-_].*)?$", 1)
+    short = F.create_map(*[F.lit(w) for two, threes in THREE_LETTERS.items() for three in threes.split() for w in (three, two)])
+    return F.when(bare != "", F.coalesce(F.try_element_at(short, bare), bare))
+
+
 def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     """Trigram counts of every labelled document, by language; the driver gets BUCKETS numbers a language."""
-    rows = docs.where(F.col(lang).rlike("^[a-z]{2}$") & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    rows = docs.select(code_of(F.col(lang)).alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null")
 
     def count(batches):
         sums: dict[str, np.ndarray] = {}
@@ -99,9 +117,8 @@ def host_of(url: Column) -> Column:
 
 
 def declared_in(markup: Column) -> Column:
-    """The two-letter code of the markup's lang attribute."""
-    x = F.lower(F.regexp_extract(markup, r"""(?is)<html\b[^>]*?\blang\s*=\s*["']?\s*([a-z]{2})(?![a-z])""", 1))
-    return F.when(x != "", x)
+    """The language code of the markup's lang attribute."""
+    return code_of(F.regexp_extract(markup, r"""(?is)<html\b[^>]*?\blang\s*=\s*["']?\s*([a-z]{2,3})(?![a-z])""", 1))
 
 
 def with_likelihood(rows: DataFrame, model: Model, text: str, markup: bool = False) -> DataFrame:
@@ -138,7 +155,7 @@ def fuse(rows: DataFrame, languages: tuple[str, ...]) -> DataFrame:
     nothing = F.lit(None).cast("array<double>")
     without = rows.where("host is null").withColumns({c: nothing for c in ("__host", "__of_domain", "__of_suffix")})
     rows = joined(rows.where("host is not null"), side, "host", all_rows).unionByName(without)
-    # declared is a two-letter code: 676 rows at most
+    # declared is a code of two or three letters: 18,252 rows at most
     rows = rows.join(F.broadcast(codes.select(F.col("declared").alias("__code"), F.col("v").alias("__of_code"))), F.col("declared") == F.col("__code"), "left")
     own = lambda i: F.col("__p")[i]
     others = lambda v, i: F.greatest(F.lit(0.0), v - own(i))

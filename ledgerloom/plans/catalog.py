@@ -5,7 +5,9 @@ Both forms start from the same ledger views (sources.ledger); the SQL is for Duc
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -860,34 +862,63 @@ def integrity_hash(spark, d):
     return matches(spark, d).select("match_id", F.sha2(text.cast("binary"), 256).alias("integrity_hash"))
 
 
+#: The logs' clock in the queries below: TICK seconds from one reading to the next.
+_BEGIN, _TICK = datetime(2024, 1, 1, tzinfo=timezone.utc), 30
+
+
 def _session(spark, d) -> session.Session:
-    s = session.Session(spark, frames={"gl": ledger.gl(spark, d), "sub": ledger.sub(spark, d)})
-    for state in session.STATES[1:6]:
+    """A session over the views and the fixed matches, up to its consolidation, under a clock that ticks at each snapshot."""
+    ticks = itertools.count()
+    s = session.Session(spark, clock=lambda: _BEGIN + timedelta(seconds=_TICK * next(ticks)))
+    m, (g, b) = matches(spark, d), sides(spark, d)
+    of = lambda layer: m.where(F.col("layer") == layer)
+    final = consolidate.final_results(m)
+    kept = {
+        "preprocessed": {"gl": lambda: g, "sub": lambda: b}, "deterministic_complete": {"deterministic": lambda: of("deterministic")}, "probabilistic_complete": {"probabilistic": lambda: of("probabilistic")},
+        "probabilistic_review_complete": {"probabilistic_accepted": lambda: of("probabilistic").where("status = 'accepted'")}, "ai_suggested": {"ai": lambda: of("ai")},
+        "ai_review_complete": {"residual_gl": lambda: review.unused(g, "id", final, "a"), "residual_sub": lambda: review.unused(b, "id", final, "b")},
+    }
+    for state in session.STATES[1:13]:
+        for name, make in kept.get(state, {}).items():
+            s.keep(name, make())
         s.advance(state)
     return s
 
 
-_LEFT = ", ".join(f"('{x}')" for x in session.STATES[:5])
+_AT = lambda k: (_BEGIN + timedelta(seconds=_TICK * k)).isoformat()
+_KEPT = f"""{_MATCHES}, kept AS (SELECT 4 AS since, 'gl' AS frame, (SELECT count(*) FROM g) AS rows UNION ALL SELECT 4, 'sub', (SELECT count(*) FROM s)
+  UNION ALL SELECT 6, 'deterministic', (SELECT count(*) FROM m WHERE layer = 'deterministic') UNION ALL SELECT 8, 'probabilistic', (SELECT count(*) FROM m WHERE layer = 'probabilistic')
+  UNION ALL SELECT 9, 'probabilistic_accepted', (SELECT count(*) FROM m WHERE layer = 'probabilistic' AND status = 'accepted') UNION ALL SELECT 10, 'ai', (SELECT count(*) FROM m WHERE layer = 'ai')
+  UNION ALL SELECT 11, 'residual_gl', (SELECT count(*) FROM g WHERE id NOT IN (SELECT unnest(a) FROM fin)) UNION ALL SELECT 11, 'residual_sub', (SELECT count(*) FROM s WHERE id NOT IN (SELECT unnest(b) FROM fin)))"""
+_STATE_ROWS = ", ".join(f"({k}, '{x}')" for k, x in enumerate(session.STATES[:12]))
 
 
-@add(f"SELECT * FROM (VALUES {_LEFT}) t(name)")
+@add(f"{_KEPT} SELECT name, frame, rows FROM (VALUES {_STATE_ROWS}) t(k, name) JOIN kept ON since <= k + 1")
 def snapshots(spark, d):
-    return _session(spark, d).snapshots().select("name")
+    return _session(spark, d).frame_rows()
+
 
+def _n(frame: str) -> str:
+    return f"(SELECT rows FROM kept WHERE frame = '{frame}')"
 
-_STEPS = ", ".join(f"('{x}')" for x in session.STATES[1:5])
+
+_BOTH, _RESIDUAL = f"({_n('gl')} + {_n('sub')})", f"({_n('residual_gl')} + {_n('residual_sub')})"
+_AFTER, _PROB_LEFT = f"({_BOTH} - 2 * {_n('deterministic')})", f"({_RESIDUAL} + 2 * {_n('probabilistic_accepted')})"
+_STEP = "SELECT '{step}' AS step_name, '{start}' AS step_start_time, '{end}' AS step_end_time, {took}::DOUBLE AS step_duration_seconds, {into} AS input_record_count, {rest} AS output_record_count, {made} AS matches_created, {rest} AS residual_records, 'success' AS status, '' AS error_message"
+_STEPS = " UNION ALL ".join(
+    _STEP.format(step=step, start=_AT(i), end=_AT(j), took=_TICK * (j - i), into=into, rest=rest, made=made)
+    for step, i, j, into, rest, made in (("preprocessing", 3, 4, _BOTH, _BOTH, "0"), ("deterministic", 4, 6, _BOTH, _AFTER, _n("deterministic")), ("probabilistic", 7, 8, _AFTER, _PROB_LEFT, _n("probabilistic")), ("ai", 9, 10, _RESIDUAL, _RESIDUAL, _n("ai")))
+)
 
 
-@add(f"SELECT * FROM (VALUES {_STEPS}) t(step)")
+@add(f"{_KEPT} {_STEPS}")
 def log_steps(spark, d):
-    return _session(spark, d).steps().select("step")
+    return _session(spark, d).steps_log()
 
 
-@add(f"{_MATCHES} SELECT (SELECT count(*) FROM g) AS gl_rows, (SELECT count(*) FROM s) AS sub_rows, (SELECT count(*) FROM fin) AS matches")
+@add(f"{_KEPT} SELECT 'S1' AS session_id, '{_AT(0)}' AS run_timestamp_start, '{_AT(12)}' AS run_timestamp_end, {_TICK * 12}::DOUBLE AS run_duration_seconds, {_n('gl')} AS gl_record_count, {_n('sub')} AS subledger_record_count, 'success' AS status")
 def log_run(spark, d):
-    g, s = sides(spark, d)
-    n = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
-    return n(g, "gl_rows").crossJoin(n(s, "sub_rows")).crossJoin(n(consolidate.final_results(matches(spark, d)), "matches"))  # one row each
+    return _session(spark, d).run_log("S1")
 
 
 _N = "format('{{:,}}', ({x})::BIGINT)"

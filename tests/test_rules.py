@@ -314,6 +314,21 @@ def test_decisions_on_unknown_matches_fail_the_run(spark):
             reconcile(spark, *p4(spark), **asked)
 
 
+def test_logs_of_the_whole_run(spark):
+    from datetime import datetime, timedelta, timezone
+
+    run = reconcile(spark, *p4(spark), advise=stub())
+    assert (run.rows["gl"], run.rows["sub"], run.rows["deterministic"], run.rows["probabilistic_accepted"], run.rows["ai"], run.rows["residual_gl"]) == (4, 4, 2, 1, 1, 0)
+    steps = {r.step_name: r for r in run.steps_log().collect()}
+    assert (steps["deterministic"].input_record_count, steps["deterministic"].residual_records, steps["probabilistic"].matches_created) == (8, 4, 1)
+    assert all(r.step_start_time <= r.step_end_time for r in steps.values())
+    assert run.run_log("x").first().gl_record_count == 4
+    begin = datetime(2024, 1, 1, tzinfo=timezone.utc)
+    s = Session(spark, clock=lambda: begin)
+    s.log = [{"name": "profiled_2", "captured_at": begin}, {"name": "profiled_x", "captured_at": begin + timedelta(1)}]
+    assert s.captured("profiled") == begin and s.captured("preprocessed") is None
+
+
 def test_nothing_is_computed_again_in_a_review(spark):
     s = Session(spark)
     for state in STATES[1:]:

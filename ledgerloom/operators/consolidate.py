@@ -6,7 +6,7 @@ gl and sub: id, vendor, vn, amount, date, entity, ord (canonical columns).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LAYERS = ("deterministic", "probabilistic", "ai", "manual")
@@ -90,6 +90,13 @@ def report_vendor(matches: DataFrame, gl: DataFrame, most: int = 10) -> DataFram
     return out.orderBy(F.desc("rows"), "vn").limit(most)
 
 
+def vendor_chart(matches: DataFrame, gl: DataFrame, shown: int = 5) -> DataFrame:
+    """The series of the report's vendor chart: the vendors with most GL rows, the smallest of those shown first; rows without one as Unknown."""
+    named = gl.withColumn("vn", F.coalesce(F.nullif("vn", F.lit("")), F.lit("Unknown")))
+    top = report_vendor(matches, named, shown)
+    return top.withColumn("place", F.row_number().over(Window.orderBy("rows", F.desc("vn"))))  # as many rows as are shown
+
+
 def by_vendor(matches: DataFrame, gl: DataFrame, test: Column, most: int = 10) -> DataFrame:
     """GL rows in the matches that pass the test, of the vendors with most of them."""
     hit = exploded(matches.where(test), "a").select("id").distinct()

@@ -340,6 +340,28 @@ def vendor_enrich(spark, d):
     return vendors.enrich(ledger.gl(spark, d), _vendor_map(spark, d)).select("gl_id", "vn")
 
 
+_ALIAS = "SELECT original, CASE o % 4 WHEN 0 THEN 'The ' || upper(norm) || ' Holdings Ltd' WHEN 1 THEN 'Acme-' || norm WHEN 2 THEN '' END AS alias FROM gv"
+
+
+@add(f"{_VENDORS}, al AS ({_ALIAS}) SELECT gl_id, {_vn('coalesce(al.alias, vendor_name)')} AS vn FROM gl LEFT JOIN al ON gl.vendor_name = al.original")
+def vendor_aliases(spark, d):
+    """Normal forms of names that an alias table renames beforehand."""
+    g, o = ledger.gl(spark, d), F.col("o") % 4
+    alias = F.when(o == 0, F.concat(F.lit("The "), F.upper("norm"), F.lit(" Holdings Ltd"))).when(o == 1, F.concat(F.lit("Acme-"), "norm")).when(o == 2, "")
+    table = vendors.distinct_vendors(g).select(F.col("original").alias("vendor_name"), alias.alias("alias"))
+    return g.join(table, "vendor_name", "left").select("gl_id", normalize_vendor(F.col("vendor_name"), F.col("alias")).alias("vn"))
+
+
+@add(f"{_VENDORS}, ov AS (SELECT '__sub__' || original AS key, CASE o % 3 WHEN 0 THEN ' Renamed ' || norm || ' ' WHEN 1 THEN '  ' END AS value FROM sv WHERE o % 5 < 4 UNION ALL SELECT original, 'of the other side' FROM sv) SELECT subledger_id, coalesce(nullif(trim(ov.value), ''), {_vn('vendor_name')}) AS vn FROM sub LEFT JOIN ov ON '__sub__' || sub.vendor_name = ov.key")
+def vendor_overrides_sub(spark, d):
+    """The subledger's side of overrides, whose keys have a prefix; keys without it are the other side's."""
+    b, o = ledger.sub(spark, d), F.col("o") % 3
+    found = vendors.distinct_vendors(b)
+    own = found.where("o % 5 < 4").select(F.concat(F.lit("__sub__"), "original").alias("key"), F.when(o == 0, F.concat(F.lit(" Renamed "), "norm", F.lit(" "))).when(o == 1, "  ").alias("value"))
+    table = own.union(found.select("original", F.lit("of the other side")))
+    return vendors.override(b.withColumn("vn", normalize_vendor(F.col("vendor_name"))), table, "sub").select("subledger_id", "vn")
+
+
 _OV = "SELECT original AS key, CASE o % 3 WHEN 0 THEN ' Renamed ' || norm || ' ' WHEN 1 THEN '  ' END AS value FROM gv WHERE o % 5 < 4"
 
 
@@ -457,6 +479,11 @@ def norm_vendor_dist(spark, d):
     return profile.top_by_rows(sides(spark, d)[0], "vn")
 
 
+@add(f"{_SIDES} SELECT vn AS vendor, {r('abs(sum(amount))', 2)} AS amount FROM g GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 15")
+def norm_vendor_amount(spark, d):
+    return profile.top_by_amount(sides(spark, d)[0], "vn")
+
+
 @add(f"{_GLSUB} SELECT date_diff('day', min(transaction_date), max(transaction_date)) AS span_days, {r('min(amount)', 2)} AS amount_min, {r('max(amount)', 2)} AS amount_max, {r('avg(amount)', 2)} AS amount_mean, {r('stddev_samp(amount)', 2)} AS amount_std, count(DISTINCT entity) AS entities, count(*) AS rows FROM gl")
 def data_characteristics(spark, d):
     return profile.characteristics(ledger.gl(spark, d))
@@ -588,6 +615,11 @@ def report_vendor(spark, d):
     return consolidate.report_vendor(matches(spark, d), sides(spark, d)[0])
 
 
+@add(f"{_MATCHES}, {_HIT}, y AS (SELECT coalesce(nullif(vn, ''), 'Unknown') AS vn, * EXCLUDE (vn) FROM x), t AS (SELECT vn, count(*) AS rows, {_SPLIT} FROM y GROUP BY vn ORDER BY rows DESC, vn LIMIT 5) SELECT *, row_number() OVER (ORDER BY rows, vn DESC) AS place FROM t")
+def vendor_chart(spark, d):
+    return consolidate.vendor_chart(matches(spark, d), sides(spark, d)[0])
+
+
 @add(f"{_MATCHES} SELECT count(*) FILTER (layer = 'ai') AS suggestions, count(*) FILTER (layer = 'ai' AND status = 'pending') AS pending, count(*) FILTER (layer = 'ai' AND status = 'accepted') AS accepted, count(*) FILTER (layer = 'ai' AND status = 'rejected') AS rejected, round_even(avg(advised) FILTER (layer = 'ai') * 10000, 0) / 10000 AS mean_confidence FROM m")
 def log_ai(spark, d):
     return consolidate.ai_log(matches(spark, d))

@@ -24,6 +24,7 @@ COLUMNS = {
     "op7_simhash": {"doc_id", "fingerprint", "component_id"},
     "op8_fingerprints": {"doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"},
     "op9_binary_output": {"doc_id", "start", "n_tokens", "ids_crc32"},
+    "op12_ngram_join": {"doc_id", "n_shingles", "component_id"},
 }
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.schemas import BOOLEANS, INTAKE, MISSING, SCHEMAS
+from ledgerloom.sources import ranges
 
 SAMPLE_ROWS, SAMPLE_VALUES = 20, 5
 
@@ -39,8 +40,8 @@ class ValidationResult:
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV file with a header, all columns as text."""
-    return spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    """A CSV file with a header, all columns as text; values may hold line ends."""
+    return ranges.read(spark, path)
 
 
 def present(column: str) -> Column:

@@ -11,6 +11,8 @@ PROBABLE_DAYS, MAX_GROUP, AMOUNT_PCT, AMOUNT_ABS = 60, 5, 0.10, 5.00
 THRESHOLD, VENDOR_LEAST = 0.80, 0.50
 FUZZY_VENDOR, ADVISED_VENDOR = 0.90, 0.70
 ADVISED_MATCH, ADVISED_ROWS = 0.40, 20
+#: Candidates that one question about a vendor shows, and the least similarity of those that are shown first.
+ADVISED_CANDIDATES, NEAR_VENDOR = 200, 0.70
 WEIGHTS = {"vendor": 0.45, "amount": 0.40, "date": 0.15}
 LARGE_AMOUNT = 10_000.0
 ROLES = ("id", "vendor", "amount", "date", "entity", "currency", "ignore")

@@ -63,7 +63,7 @@ def token_sort_ratio(a: str, b: str) -> float:
 
 
 @F.pandas_udf(T.DoubleType())
-def _similarity(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+def similarity(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for a, b in batches:
         yield pd.Series([token_sort_ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
@@ -73,6 +73,6 @@ def with_similarity(pairs: DataFrame, a: str, b: str, name: str = "vendor_simila
     x, y = F.coalesce(F.col(a), F.lit("None")), F.coalesce(F.col(b), F.lit("None"))
     keyed = pairs.withColumns({"__x": x, "__y": y})
     unequal = keyed.where("__x <> __y").select("__x", "__y").distinct()
-    scored = unequal.withColumn("__s", _similarity("__x", "__y")).withColumnsRenamed({"__x": "__u", "__y": "__v"})
+    scored = unequal.withColumn("__s", similarity("__x", "__y")).withColumnsRenamed({"__x": "__u", "__y": "__v"})
     joined = keyed.join(scored, (F.col("__x") == F.col("__u")) & (F.col("__y") == F.col("__v")), "left")
     return joined.withColumn(name, F.when(F.col("__x") == F.col("__y"), F.lit(1.0)).otherwise(F.col("__s"))).drop("__x", "__y", "__u", "__v", "__s")

@@ -13,11 +13,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.config import ADVISED_MATCH, ADVISED_ROWS
+from ledgerloom.config import ADVISED_CANDIDATES, ADVISED_MATCH, ADVISED_ROWS, ADVISED_VENDOR, NEAR_VENDOR
 from ledgerloom.functions.scores import clamped, grouping_type
-from ledgerloom.functions.text import with_similarity
+from ledgerloom.functions.text import similarity, with_similarity
 from ledgerloom.operators.greedy import greedy_groups
-from ledgerloom.sources.shared import cut
+from ledgerloom.operators.vendors import near_texts, sorted_words
+from ledgerloom.sources.shared import cut, numbered
 
 VENDOR_ANSWER = "matched_vendor string, confidence double"
 ANSWER = "matches array<struct<gl_ids array<string>, sub_ids array<string>, confidence double, reasoning string>>"
@@ -74,19 +75,50 @@ def parsed(answer: Column) -> Column:
     return F.from_json(bare(answer), ANSWER)["matches"]
 
 
-def vendor_payloads(left: DataFrame, sub: DataFrame) -> DataFrame:
-    """A row for each vendor left over, with all of the subledger's vendors to choose from as JSON.
+def vendor_pages(sub: DataFrame, most: int = ADVISED_CANDIDATES) -> DataFrame:
+    """The subledger's vendors in order of appearance, at most so many a page: page (from 1 on) and candidates."""
+    paged = numbered(sub.select("o", "original"), F.asc("o"), F.asc("original")).withColumn("page", F.ceil(F.col("place") / most))
+    return paged.groupBy("page").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "original"))), lambda x: x["original"]).alias("candidates"))
+
+
+def near_pages(left: DataFrame, sub: DataFrame, most: int = ADVISED_CANDIDATES, least: float = NEAR_VENDOR) -> DataFrame:
+    """For each vendor left over that has any: page 0 with the most similar of the subledger's vendors."""
+    form = lambda df, name: df.select(F.col("original").alias(name), F.when(F.col("norm") == "", F.lower("original")).otherwise(F.col("norm")).alias("q" + name))
+    mine, theirs = (form(df, name).withColumn(at, sorted_words(F.col("q" + name))) for df, name, at in ((left, "vendor", "x"), (sub, "candidate", "y")))
+    near = near_texts(mine.select("x").distinct(), theirs.select("y").distinct(), least)
+    scored = mine.join(near, "x").join(theirs, "y").withColumn("s", similarity("qvendor", "qcandidate")).where(F.col("s") >= least)
+    place = F.row_number().over(Window.partitionBy("vendor").orderBy(F.desc("s"), "candidate"))
+    first = scored.withColumn("place", place).where(F.col("place") <= most)
+    return first.groupBy(F.col("vendor").alias("original")).agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "candidate"))), lambda x: x["candidate"]).alias("candidates")).withColumn("page", F.lit(0).cast("long"))
 
-    Every payload holds the whole list, as one call decides a vendor.
-    """
-    names = sub.agg(F.transform(F.sort_array(F.collect_list(F.struct("o", "original"))), lambda x: x["original"]).alias("candidates"))
-    return left.crossJoin(names).select("original", F.to_json(F.struct(F.col("original").alias("vendor"), "candidates")).alias("payload"))  # names is one row
 
+def vendor_payloads(paged: DataFrame) -> DataFrame:
+    """original and page, with the vendor and the page's candidates as JSON."""
+    return paged.select("original", "page", F.to_json(F.struct(F.col("original").alias("vendor"), "candidates")).alias("payload"))
 
-def vendor_advice(left: DataFrame, sub: DataFrame, advisor: Advisor) -> DataFrame:
-    """original, matched_to, confidence: the advisor's answer (JSON text with matched_vendor and confidence) on each vendor."""
-    said = answers(vendor_payloads(left, sub), advisor).select("original", F.from_json(bare(F.col("answer")), VENDOR_ANSWER).alias("x"))
-    return said.select("original", F.col("x.matched_vendor").alias("matched_to"), F.col("x.confidence").alias("confidence"))
+
+def vendor_advice(left: DataFrame, sub: DataFrame, advisor: Advisor, most: int = ADVISED_CANDIDATES, sure: float = ADVISED_VENDOR) -> DataFrame:
+    """original, matched_to, confidence: the advisor's answer (JSON text with matched_vendor and confidence) on each vendor.
+
+    A payload holds at most so many candidates.  Where the subledger's vendors need several pages, each vendor is asked with its
+    nearest ones first; those that this doesn't settle (a vendor of the page, and confidently) are asked with every page.  An answer
+    counts if it names a vendor of its page; the most confident one decides, ties the earliest page.
+    """
+    left, pages = cut(left.select("original", "norm")), cut(vendor_pages(sub, most))
+    count = pages.count()
+
+    def asked(paged: DataFrame) -> DataFrame:
+        said = answers(vendor_payloads(paged), advisor).withColumn("x", F.from_json(bare(F.col("answer")), VENDOR_ANSWER)).select("original", "page", F.col("x.matched_vendor").alias("matched_to"), F.col("x.confidence").alias("confidence"))
+        return cut(said.join(paged.select("original", "page", F.explode("candidates").alias("matched_to")), ["original", "page", "matched_to"], "left_semi"))
+
+    with_all = lambda df: df.select("original", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(max(count, 1)).cast("long"))).alias("page")).join(pages, "page")
+    if count <= 1:
+        found = asked(with_all(left))
+    else:
+        near = asked(cut(near_pages(left, sub, most)))
+        settled = near.where(F.col("confidence") >= sure).select("original")
+        found = near.union(asked(with_all(left.join(settled, "original", "left_anti"))))
+    return found.groupBy("original").agg(F.max_by(F.struct("matched_to", "confidence"), F.struct(F.coalesce("confidence", F.lit(-1.0)), -F.col("page"))).alias("x")).select("original", "x.matched_to", "x.confidence")
 
 
 def advised_matches(gl: DataFrame, sub: DataFrame, advisor: Advisor = silent) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.config import ADVISED_VENDOR, FUZZY_VENDOR
-from ledgerloom.functions.text import _similarity, composed, normalize_vendor, tidy
+from ledgerloom.functions.text import similarity, composed, normalize_vendor, tidy
 from ledgerloom.sources.shared import cut
 
 
@@ -30,15 +30,15 @@ def tier_2(left: DataFrame, sub: DataFrame, least: float = FUZZY_VENDOR) -> Data
 
     Candidates come from near_texts() before any Python runs; its bounds are exact: no pair outside can pass.
     """
-    query = left.withColumn("q", F.when(F.col("norm") == "", F.lower("original")).otherwise(F.col("norm"))).select("original", "q", _sorted_words(F.col("q")).alias("x"))
-    forms = sub.where("norm <> ''").groupBy("norm").agg(F.max_by("original", "o").alias("matched_to"), F.min("o").alias("o")).withColumn("y", _sorted_words(F.col("norm")))
+    query = left.withColumn("q", F.when(F.col("norm") == "", F.lower("original")).otherwise(F.col("norm"))).select("original", "q", sorted_words(F.col("q")).alias("x"))
+    forms = sub.where("norm <> ''").groupBy("norm").agg(F.max_by("original", "o").alias("matched_to"), F.min("o").alias("o")).withColumn("y", sorted_words(F.col("norm")))
     near = near_texts(query.select("x").distinct(), forms.select("y").distinct(), least)
-    best = query.join(near, "x").join(forms, "y").withColumn("s", _similarity("q", "norm")).where(F.col("s") >= least)
+    best = query.join(near, "x").join(forms, "y").withColumn("s", similarity("q", "norm")).where(F.col("s") >= least)
     first = Window.partitionBy("original").orderBy(F.desc("s"), "o")
     return best.withColumn("rn", F.row_number().over(first)).where("rn = 1").select("original", F.col("norm").alias("matched_norm"), "matched_to", F.lit("nlp").alias("match_source"), F.col("s").alias("similarity_score"))
 
 
-def _sorted_words(x: Column) -> Column:
+def sorted_words(x: Column) -> Column:
     return F.array_join(F.array_sort(F.filter(F.split(x, r"(?U)\s+"), lambda w: w != "")), " ")
 
 

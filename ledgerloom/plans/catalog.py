@@ -325,6 +325,31 @@ def vendor_tier3(spark, d):
     return _vendor_map(spark, d).where("match_source = 'ai'").select("original", "key", "matched_to")
 
 
+def _by_number(payload: str) -> str:
+    """A fixed advisor: a vendor named Unlisted ACCn has the brand n; of several vendors the one whose digest is the largest."""
+    import hashlib
+    import json
+
+    asked = json.loads(payload)
+    brand = "Brand#" + asked["vendor"].removeprefix("Unlisted ACC")
+    score = lambda c: int(hashlib.md5(c.encode()).hexdigest()[:6], 16)
+    mine = [c for c in asked["candidates"] if c.endswith(brand)]
+    best = max(mine, key=score, default=None)
+    return json.dumps({"matched_vendor": best, "confidence": 0.7 + score(best) / 2**25 if mine else 0.0})
+
+
+_DIGEST = "('0x' || substr(md5({x}), 1, 6))::BIGINT"
+
+
+@add(f"""{_VENDORS}, asked AS (SELECT vm.original, arg_max(sv.original, {_DIGEST.format(x='sv.original')}) AS best FROM vm JOIN sv ON ends_with(sv.original, 'Brand#' || replace(vm.original, 'Unlisted ACC', '')) WHERE match_source = 'ai' GROUP BY 1)
+  SELECT vm.original, coalesce(sv.norm, vm.key) AS key, sv.original AS matched_to, coalesce(0.7::DOUBLE + {_DIGEST.format(x='sv.original')}::DOUBLE / 33554432, 0) AS similarity_score FROM vm LEFT JOIN asked USING (original) LEFT JOIN sv ON sv.original = best WHERE match_source = 'ai'""")
+def vendor_advised(spark, d):
+    """Tier 3 with an advisor that is asked page by page."""
+    mine, theirs = (vendors.distinct_vendors(df) for df in (ledger.gl(spark, d), ledger.sub(spark, d)))
+    mapped = vendors.vendor_map(mine, theirs, advised=lambda left, sub: shared.cut(advisor.vendor_advice(left, sub, _by_number)))
+    return mapped.where("match_source = 'ai'").select("original", "key", "matched_to", "similarity_score")
+
+
 @add(f"{_VENDORS} SELECT match_source, count(*) AS count FROM vm GROUP BY 1")
 def vendor_tiers(spark, d):
     return vendors.tiers(_vendor_map(spark, d))

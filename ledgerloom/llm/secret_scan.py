@@ -33,6 +33,8 @@ replaced; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -108,10 +110,10 @@ def _blanked(text: Column, pattern: str, group: int = 0, least: int = 0) -> Colu
     return F.array_join(kept, "")
 
 
-def normal(z: Column) -> Column:
-    """The normal distribution function, by a logistic curve of an odd cubic (error below 0.0002)."""
-    z = F.greatest(F.lit(-8.0), F.least(F.lit(8.0), z))
-    return 1 / (1 + F.exp(-1.5976 * z - 0.070565992 * z * z * z))
+def upper_tail(b: Column) -> Column:
+    """The normal distribution's share from a bin's lower edge on, exact in the tail as well: one constant a bin."""
+    edges = range(LEAST_Z * BINS, MOST_Z * BINS + 1)
+    return F.element_at(F.array(*[F.lit(math.erfc(e / BINS / math.sqrt(2)) / 2) for e in edges]), (b - edges[0] + 1).cast("int"))
 
 
 def _by_encoding(which: Column, make) -> Column:
@@ -184,7 +186,7 @@ def thresholds(tested: DataFrame, rate: float = RATE) -> dict[int, int]:
     """The least accepted bin of each family in the column tested, where there is one: at most one number an encoding and length class."""
     counts = tested.select(F.explode_outer("tested").alias("x")).groupBy("x.family", "x.bin").agg(F.count("*").alias("n"))
     whole = Window.partitionBy("family")
-    p = 1 - normal(F.col("bin") / BINS)
+    p = upper_tail(F.col("bin"))
     counts = counts.where("family is not null")
     upper = F.sum(F.when(F.col("bin") < 0, F.col("n")).otherwise(0)).over(whole)
     counted = counts.withColumn("m", F.sum("n").over(whole)).withColumn("nulls", F.least(F.col("m"), 2 * (upper + 1))).withColumn("r", F.sum("n").over(whole.orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0)))

@@ -327,6 +327,20 @@ def test_secrets(spark, docs, empty):
     assert secret_scan.scan(empty).count() == 0 and secret_scan.scan(docs).count() == docs.count()
 
 
+def test_secrets_tail(spark):
+    """The bins' p-values, against ten times as many digits from the tail's continued fraction."""
+    bins = list(range(secret_scan.LEAST_Z * secret_scan.BINS, secret_scan.MOST_Z * secret_scan.BINS + 1))
+    got = dict(spark.createDataFrame([(b,) for b in bins], "b int").select("b", secret_scan.upper_tail(F.col("b"))).collect())
+    for b in bins:
+        z = b / secret_scan.BINS
+        if z >= 3:
+            below = z
+            for k in range(200, 0, -1):
+                below = z + k / below
+            assert abs(got[b] * below * math.sqrt(2 * math.pi) * math.exp(z * z / 2) - 1) < 1e-6
+    assert got[0] == 0.5 and sorted(got.values(), reverse=True) == [got[b] for b in bins]
+
+
 def test_secrets_recall_and_false_discoveries(spark):
     r = random.Random(66)
     upper, lower, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"

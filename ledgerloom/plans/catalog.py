@@ -16,8 +16,8 @@ from ledgerloom import config as C
 from ledgerloom.functions import scores
 from ledgerloom.functions.text import STOPWORDS, SUFFIXES, normalize_vendor, with_similarity
 from ledgerloom.operators import advisor, consolidate, deterministic, export, probabilistic, profile, review, vendors
-from ledgerloom.plans import session
-from ledgerloom.sources import intake, ledger, shared, sinks
+from ledgerloom.plans import exports, session
+from ledgerloom.sources import folder, intake, ledger, shared, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -896,14 +896,6 @@ def sink_json(spark, d):
     return spark.createDataFrame([(text,)], "criteria string")
 
 
-@add()
-def export_manifest(spark, d):
-    """Digests of the exported CSV files."""
-    path = shared.fresh(spark, "export")
-    sinks.write_csv(export.audit(matches(spark, d)), path)
-    return sinks.manifest(spark, path).where("filename like 'part-%'").select("sha256", "size_bytes")
-
-
 @add("SELECT 'gl' AS file, 'GL.csv is missing' AS problem UNION ALL SELECT 'subledger', 'Subledger.csv is missing'")
 def intake_contract(spark, d):
     try:
@@ -1008,3 +1000,81 @@ _WHOLE = lambda f: _N.format(x=f"round_even({r(f + '(amount)')}, 0)")  # noqa: E
 )
 def profile_narrative(spark, d):
     return profile.narrative(ledger.gl(spark, d))
+
+
+# --- the export folder: files by name, as their bytes' digests
+
+
+def _fixed_export(spark, d) -> tuple[str, DataFrame, session.Session]:
+    """The folder, manifest and session of an export of the fixed matches: some residual rows linked by hand, some matches rejected by hand."""
+    s = _session(spark, d)
+    m = matches(spark, d).withColumn("confidence", F.expr("CASE scenario_id WHEN 1 THEN 1.0D WHEN 2 THEN 0.95D WHEN 3 THEN 0.9D END"))
+    s.frames |= {"raw_gl": ledger.gl(spark, d), "raw_sub": ledger.sub(spark, d), "matches": m, "summary": consolidate.summary(m, s.frames["residual_gl"], s.frames["residual_sub"])}
+    links = s.frames["residual_gl"].where("ord % 6 = 0").select(F.col("id").alias("gl_id"), F.array(F.concat(F.lit("S"), F.col("ord").cast("string")), F.lit(" S2 ")).alias("sub_ids"))
+    path = shared.fresh(spark, "export")
+    return path, exports.write(s, path, "S1", links, m.where("overridden").select("match_id", "a", "b")), s
+
+
+def _line(columns: str) -> str:
+    texts = [f"CAST({c} AS VARCHAR)" for c in columns.split()]
+    one = "CASE WHEN {x} IS NULL THEN '' WHEN {x} = '' THEN '\"\"' WHEN contains({x}, ',') OR contains({x}, '\"') THEN '\"' || replace({x}, '\"', '\"\"') || '\"' ELSE {x} END"
+    return " || ',' || ".join(one.format(x=x) for x in texts)
+
+
+def _file(name: str, rows: str, columns: str, order: str) -> str:
+    by = ", ".join([*(f"{c} NULLS FIRST" for c in order.split()), "line"])
+    body = f"SELECT '{columns.replace(' ', ',')}' || chr(10) || coalesce(string_agg(line || chr(10), '' ORDER BY {by}), '') AS body FROM (SELECT *, {_line(columns)} AS line FROM ({rows}))"
+    return f"SELECT '{name}' AS filename, sha256(body) AS sha256, strlen(body) AS size_bytes FROM ({body})"
+
+
+_MATCH = " ".join(exports.MATCH_COLUMNS)
+_GL_COLS, _SUB_COLS = "gl_id entity account_code vendor_name transaction_date amount currency exception_flag", "subledger_id entity vendor_name transaction_date amount currency reference_id"
+_ALL_COLS = " ".join([_MATCH, *(f"gl_{c}" for c in _GL_COLS.split()), *(f"sub_{c}" for c in _SUB_COLS.split())])
+_KINDS = "CASE WHEN len(a) <= 1 AND len(b) <= 1 THEN 'one_to_one' WHEN len(b) <= 1 THEN 'many_to_one' WHEN len(a) <= 1 THEN 'one_to_many' ELSE 'many_to_many' END"
+_EXPORTED = f"""{_KEPT},
+links AS (SELECT id AS gl_id, list_value('S' || ord, 'S2') AS bs FROM g WHERE id NOT IN (SELECT unnest(a) FROM fin) AND ord % 6 = 0),
+told AS (SELECT match_id, layer AS source_layer, {_KINDS} AS grouping_type, status AS user_status, coalesce(CASE scenario_id WHEN 1 THEN 1.0 WHEN 2 THEN 0.95 WHEN 3 THEN 0.9 END::DOUBLE, nullif(similarity, 0), nullif(advised, 0)) AS confidence, overridden AS override_flag, a, b FROM m),
+hand AS (SELECT 'MANUAL_' || gl_id || '_' || x AS match_id, 'manual' AS source_layer, 'one_to_many' AS grouping_type, 'manual_override' AS user_status, 1.0::DOUBLE AS confidence, true AS override_flag, list_value(gl_id) AS a, list_value(x) AS b FROM (SELECT gl_id, unnest(bs) AS x FROM links)),
+told_all AS (SELECT 'm' AS part, * FROM told UNION ALL SELECT 'h', * FROM hand UNION ALL SELECT 'r', match_id, 'rejected', grouping_type, user_status, confidence, override_flag, a, b FROM told WHERE user_status = 'rejected'
+  UNION ALL SELECT 'r', match_id, 'rejected', 'one_to_one', 'ui_rejected', NULL, false, a, b FROM m WHERE overridden),
+wide AS (SELECT p.*, {", ".join(f"x.{c} AS gl_{c}" for c in _GL_COLS.split())}, {", ".join(f"y.{c} AS sub_{c}" for c in _SUB_COLS.split())}
+  FROM (SELECT * EXCLUDE (b), unnest(b) AS sb FROM (SELECT *, unnest(a) AS ga FROM told_all)) p LEFT JOIN gl x ON x.gl_id = ga LEFT JOIN sub y ON y.subledger_id = sb)"""
+_PAIR = "match_id gl_gl_id sub_subledger_id"
+_BACK = "id IN (SELECT unnest({x}) FROM m WHERE overridden)"
+_EXPORT_FILES = {
+    "uploaded_gl.csv": ("SELECT * FROM gl", _GL_COLS, "ord"),
+    "uploaded_subledger.csv": ("SELECT * FROM sub", _SUB_COLS, "ord"),
+    "preprocessing_output.csv": (
+        f"SELECT 'GL' AS source, {_GL_COLS.replace(' ', ', ')}, vn AS Vendor_Normalized, NULL AS subledger_id, NULL AS reference_id, ord FROM gl JOIN (SELECT ord, vn FROM g) USING (ord) UNION ALL SELECT 'Subledger', NULL, entity, NULL, vendor_name, transaction_date, amount, currency, NULL, vn, subledger_id, reference_id, ord FROM sub JOIN (SELECT ord, vn FROM s) USING (ord)",
+        f"source {_GL_COLS} Vendor_Normalized subledger_id reference_id", "source ord",
+    ),
+    "deterministic_matches.csv": ("SELECT * FROM wide WHERE part = 'm' AND source_layer = 'deterministic'", _ALL_COLS, _PAIR),
+    "probabilistic_matches.csv": ("SELECT * FROM wide WHERE part = 'm' AND source_layer = 'probabilistic' AND user_status = 'accepted'", _ALL_COLS, _PAIR),
+    "ai_matches.csv": ("SELECT * FROM wide WHERE part = 'm' AND source_layer = 'ai' AND user_status = 'accepted'", _ALL_COLS, _PAIR),
+    "final_results.csv": ("SELECT * FROM wide WHERE part = 'h' OR part = 'm' AND (source_layer = 'deterministic' OR user_status = 'accepted')", _ALL_COLS, _PAIR),
+    "rejected_matches.csv": ("SELECT * FROM wide WHERE part = 'r'", _ALL_COLS, _PAIR),
+    "residual_unmatched_gl.csv": (f"SELECT * FROM (SELECT *, gl_id AS id FROM gl) WHERE id NOT IN (SELECT gl_id FROM links) AND (id NOT IN (SELECT unnest(a) FROM fin) OR {_BACK.format(x='a')})", _GL_COLS, "ord"),
+    "residual_unmatched_sub.csv": (f"SELECT * FROM (SELECT *, subledger_id AS id FROM sub) WHERE id NOT IN (SELECT unnest(bs) FROM links) AND (id NOT IN (SELECT unnest(b) FROM fin) OR {_BACK.format(x='b')})", _SUB_COLS, "ord"),
+    "audit_log.csv": ("SELECT *, array_to_string(a, ',') AS record_ids_A, array_to_string(b, ',') AS record_ids_B FROM told", " ".join(exports.AUDIT_COLUMNS), "match_id"),
+    "process_log_run.csv": (ORACLE_SQL["log_run"].removeprefix(_KEPT), "session_id run_timestamp_start run_timestamp_end run_duration_seconds gl_record_count subledger_record_count status", ""),
+    "process_log_steps.csv": (_STEPS, "step_name step_start_time step_end_time step_duration_seconds input_record_count output_record_count matches_created residual_records status error_message", "step_start_time step_name"),
+    "process_log_ai.csv": ("SELECT 'S1' AS session_id, " + ORACLE_SQL["log_ai"].removeprefix(f"{_MATCHES} SELECT "), "session_id suggestions pending accepted rejected mean_confidence", ""),
+}
+
+
+def _digests(names) -> str:
+    return f"{_EXPORTED} " + " UNION ALL ".join(_file(n, *_EXPORT_FILES[n]) for n in names)
+
+
+@add(_digests(exports.FILES))
+def export_manifest(spark, d):
+    """Digests and sizes of all exported tables' files."""
+    return _fixed_export(spark, d)[1].where(F.col("filename").isin(*exports.FILES)).select("filename", "sha256", "size_bytes")
+
+
+@add(_digests(("final_results.csv", "audit_log.csv", "rejected_matches.csv")))
+def export_archive(spark, d):
+    """Digests and sizes of an archive's members, as unpacked."""
+    path, listed, s = _fixed_export(spark, d)
+    exports.download(s, listed, path, ["final_results.csv", "audit_log.csv", "rejected_matches.csv"], f"{path}.zip")
+    return folder.members(spark, f"{path}.zip")

@@ -11,7 +11,7 @@ from dataclasses import replace
 
 from pyspark.sql import DataFrame
 
-from ledgerloom.config import ROLES, MatchingConfig, Scenario
+from ledgerloom.config import ROLES, ColumnMap, MatchingConfig, Scenario
 from ledgerloom.operators.advisor import Advisor, fenced
 from ledgerloom.operators.export import sample_rows, serialized
 from ledgerloom.operators.profile import characteristics, chat_facts, column_metadata
@@ -45,6 +45,13 @@ def column_roles(df: DataFrame, advisor: Advisor, order: str = "ord") -> dict[st
     return roles
 
 
+def column_map(df: DataFrame, default: ColumnMap, advisor: Advisor, order: str = "ord") -> ColumnMap:
+    """The roles that the advisor gives as a map; the default if it leaves a mandatory one open."""
+    of = {role: c for c, role in column_roles(df, advisor, order).items() if role != "ignore"}
+    said = ColumnMap(**{r: of.get(r) for r in ROLES[:-1]})
+    return default if said.problems(df.columns) else said
+
+
 def scenario_of(said: dict) -> Scenario | None:
     """A scenario from an answer, vendor and amount put in where they are missing; none if it names no known field."""
     named = said.get("match_fields")

@@ -6,6 +6,7 @@ Both forms start from the same ledger views (sources.ledger); the SQL is for Duc
 from __future__ import annotations
 
 import itertools
+import json
 from collections.abc import Callable
 from datetime import datetime, timedelta, timezone
 
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from ledgerloom import config as C
 from ledgerloom.functions import scores
 from ledgerloom.functions.text import STOPWORDS, SUFFIXES, normalize_vendor, with_similarity
-from ledgerloom.operators import advisor, consolidate, deterministic, export, probabilistic, profile, review, vendors
+from ledgerloom.operators import advice, advisor, consolidate, deterministic, export, probabilistic, profile, review, vendors
 from ledgerloom.plans import exports, session
 from ledgerloom.sources import folder, intake, ledger, shared, sinks
 
@@ -890,8 +891,6 @@ def sink_csv(spark, d):
 
 @add("SELECT '{\"amount\":0.4,\"date\":0.15,\"vendor\":0.45}' AS criteria")
 def sink_json(spark, d):
-    import json
-
     text = json.dumps(json.loads(sinks.criteria_json(C.WEIGHTS)), sort_keys=True, separators=(",", ":"))
     return spark.createDataFrame([(text,)], "criteria string")
 
@@ -1078,3 +1077,92 @@ def export_archive(spark, d):
     path, listed, s = _fixed_export(spark, d)
     exports.download(s, listed, path, ["final_results.csv", "audit_log.csv", "rejected_matches.csv"], f"{path}.zip")
     return folder.members(spark, f"{path}.zip")
+
+
+# --- set up by an advisor: roles, scenarios and chat changes from the facts that it is shown
+
+
+def _roles_by_facts(payload: str) -> str:
+    """Roles from the columns' metadata alone: distinct values, null shares and samples."""
+    columns = json.loads(payload)["columns"]
+    most = max(c["distinct_count"] for c in columns)
+    number = lambda x: x.replace(".", "", 1).isdigit()
+    roles = {}
+    for c in columns:
+        name, samples = c["column_name"], c["samples"].split("|")
+        if name.endswith("_id") and c["distinct_count"] == most and c["null_pct"] == 0:
+            roles[name] = "id"
+        elif c["distinct_count"] == 1:
+            roles[name] = "currency"
+        elif all(map(number, samples)):
+            roles[name] = "amount"
+        elif all(len(x) == 10 and x[4] == "-" for x in samples):
+            roles[name] = "date"
+        elif c["null_pct"] > 0:
+            roles[name] = "vendor"
+        elif any("-" in x for x in samples):
+            roles[name] = "entity"
+    return json.dumps({"roles": roles})
+
+
+_ROLES = """SELECT '{side}' AS side, c.column_name, c.role FROM (SELECT count(DISTINCT {id}) AS n, greatest(count(DISTINCT vendor_name), count(DISTINCT amount), count(DISTINCT entity)) AS other, count(DISTINCT currency) AS kinds, count(*) - count(vendor_name) AS gone FROM {side}) f,
+  LATERAL (VALUES ('{id}', CASE WHEN n >= other THEN 'id' ELSE 'ignore' END), ('entity', 'entity'), ('vendor_name', CASE WHEN gone > 0 THEN 'vendor' ELSE 'ignore' END), ('transaction_date', 'date'), ('amount', 'amount'), ('currency', CASE WHEN kinds = 1 THEN 'currency' ELSE 'ignore' END), ('{rest}', 'ignore')) c(column_name, role)"""
+
+
+@add(f"{_GLSUB} {_ROLES.format(side='gl', id='gl_id', rest='account_code')} UNION ALL {_ROLES.format(side='sub', id='subledger_id', rest='reference_id')}")
+def advised_roles(spark, d):
+    """Column roles of both sides under an advisor that goes by the metadata it is sent."""
+    frames = {"gl": ledger.gl(spark, d).drop("exception_flag"), "sub": ledger.sub(spark, d)}
+    found = [(side, c, role) for side, df in frames.items() for c, role in advice.column_roles(df, _roles_by_facts).items()]
+    return spark.createDataFrame(found, "side string, column_name string, role string")
+
+
+def _scenarios_by_facts(payload: str) -> str:
+    """A date band of a fiftieth of the shorter span, and an amount band of a thousandth of the ledger's greatest amount."""
+    facts = json.loads(payload)
+    days = min(facts["gl"]["span_days"], facts["sub"]["span_days"]) // 50
+    return json.dumps({"scenarios": [{"match_fields": ["date"], "date_days": days}, {"match_fields": ["entity", "nothing"], "amount_abs": round(facts["gl"]["amount_max"] / 1000, 2)}], "threshold": 0.9})
+
+
+@add(
+    f"{_GLSUB}, f AS (SELECT (SELECT date_diff('day', min(transaction_date), max(transaction_date)) FROM gl) AS x, (SELECT date_diff('day', min(transaction_date), max(transaction_date)) FROM sub) AS y, (SELECT max(amount) FROM gl) AS most)"
+    f" SELECT 1 AS place, 'vendor,amount,date' AS match_fields, least(x, y) // 50 AS date_days, NULL::DOUBLE AS amount_abs, 0.9 AS threshold FROM f UNION ALL SELECT 2, 'vendor,amount,entity', NULL, {r('most / 1000', 2)}, 0.9 FROM f"
+)
+def advised_config(spark, d):
+    """Scenarios and threshold under an advisor that goes by both sides' characteristics; vendor and amount are put in."""
+    config = advice.matching_config(ledger.gl(spark, d), ledger.sub(spark, d), _scenarios_by_facts)
+    found = [(i, ",".join(x.match_fields), x.date_days, x.amount_abs, config.threshold) for i, x in enumerate(config.scenarios, 1)]
+    return spark.createDataFrame(found, "place int, match_fields string, date_days long, amount_abs double, threshold double")
+
+
+def _chat_by_facts(payload: str) -> str:
+    said = json.loads(payload)
+    gl, sub = said["gl"], said["sub"]
+    reply = f"{said['message']}: {len(gl['rows'])} and {len(sub['rows'])} rows shown, {gl['facts']['min_date']} to {sub['facts']['max_date']}, at most {gl['facts']['amount_max']}"
+    return json.dumps({"reply": reply, "config_update": {"scenarios": [{"match_fields": ["currency"], "confidence": 0.7}], "weights": {"vendor": 3}}})
+
+
+@add(
+    f"{_GLSUB} SELECT 'by currency: ' || (SELECT least(count(*), 500) FROM gl) || ' and ' || (SELECT least(count(*), 500) FROM sub) || ' rows shown, ' || (SELECT strftime(min(transaction_date), '%Y-%m-%d') FROM gl) || ' to ' || (SELECT strftime(max(transaction_date), '%Y-%m-%d') FROM sub) || ', at most ' || (SELECT ({r('max(amount)', 2)})::VARCHAR FROM gl) AS reply,"
+    " 'vendor,amount,currency' AS match_fields, 0.7 AS confidence, 0.45 AS vendor_weight"
+)
+def chat_update(spark, d):
+    """A chat's reply on what it is shown, and the settings after it: vendor and amount put in, weights that don't sum to 1 left out."""
+    reply, config = advice.chat("by currency", ledger.gl(spark, d), ledger.sub(spark, d), C.MatchingConfig(), _chat_by_facts)
+    first = config.scenarios[0]
+    return spark.createDataFrame([(reply, ",".join(first.match_fields), first.confidence, config.weights["vendor"])], "reply string, match_fields string, confidence double, vendor_weight double")
+
+
+@add(
+    f"{_GLSUB} SELECT 'gl' AS file, count(*) AS rows, {r('sum(amount)', 2)} AS amount, count(transaction_date) AS dates, 8 AS columns FROM gl UNION ALL SELECT 'subledger', count(*), {r('sum(amount)', 2)}, count(transaction_date), 7 FROM sub UNION ALL SELECT 'chart_of_accounts', 0, NULL, NULL, 4"
+)
+def intake_files(spark, d):
+    """Both files written by name and taken in; the chart of accounts, which isn't there, as an empty frame."""
+    path = shared.fresh(spark, "intake")
+    folder.write_file(ledger.gl(spark, d), path, "GL.csv", "ord", without=("ord",))
+    folder.write_file(ledger.sub(spark, d), path, "Subledger.csv", "ord", without=("ord",))
+    frames, _ = intake.intake(spark, {"gl": f"{path}/GL.csv", "subledger": f"{path}/Subledger.csv"})
+    facts = lambda k, df: df.agg(F.lit(k).alias("file"), F.count(F.lit(1)).alias("rows"), profile.rounded(F.sum("amount"), 2).alias("amount"), F.count("transaction_date").alias("dates"), F.lit(len(df.columns)).alias("columns"))
+    coa = frames["chart_of_accounts"]
+    empty = coa.agg(F.lit("chart_of_accounts").alias("file"), F.count(F.lit(1)).alias("rows"), F.lit(None).cast("double").alias("amount"), F.lit(None).cast("long").alias("dates"), F.lit(len(coa.columns)).alias("columns"))
+    return facts("gl", frames["gl"]).unionByName(facts("subledger", frames["subledger"])).unionByName(empty)

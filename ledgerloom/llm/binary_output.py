@@ -126,12 +126,15 @@ class PieceEncoder:
 
     def _learn(self, new: pa.Array) -> pa.Array:
         """Ids of new pre-tokens; none for what stands between texts."""
-        tokenize, letters = self.tok.model.tokenize, self.letters
+        tokenize, items = self.tok.model.tokenize, new.to_pylist()
+        whole = b"".join(items).decode("latin-1").translate(self.letters)  # a letter a byte, so that lengths hold
         flat: list[int] = []
-        ends = [0]
-        for p in new.to_pylist():
+        ends, at = [0], 0
+        for p in items:
+            piece = whole[at : at + len(p)]
+            at += len(p)
             if p[0] != 255:
-                flat += [t.id for t in tokenize(p.decode("latin-1").translate(letters))]
+                flat += [t.id for t in tokenize(piece)]
             ends.append(2 * len(flat))
         return pa.Array.from_buffers(pa.binary(), len(new), [None, pa.py_buffer(np.array(ends, dtype=np.int32)), pa.py_buffer(np.array(flat, dtype="<u4").astype("<u2"))])
 
@@ -140,15 +143,16 @@ class PieceEncoder:
         if len(self.known) > KNOWN:
             stay = np.sort(np.argsort(self.used, kind="stable")[len(self.used) // 2 :])
             self.known, self.ids, self.used = self.known.take(pa.array(stay)), self.ids.take(pa.array(stay)), self.used[stay]
-        at = pc.index_in(pieces, value_set=self.known)
-        if at.null_count:
-            new = pieces.filter(at.is_null())
-            places = np.asarray(at.fill_null(-1)).astype(np.int64)
-            places[places < 0] = len(self.known) + np.arange(len(new))
+        # the known ones are looked up in the few asked for: that table is small
+        at = pc.index_in(self.known, value_set=pieces)
+        places = np.full(len(pieces), -1, dtype=np.int64)
+        places[np.asarray(at.drop_null())] = np.flatnonzero(np.asarray(at.is_valid()))
+        absent = np.flatnonzero(places < 0)
+        if len(absent):
+            new = pieces.take(pa.array(absent))
+            places[absent] = len(self.known) + np.arange(len(new))
             self.known, self.ids = pa.concat_arrays([self.known, new]), pa.concat_arrays([self.ids, self._learn(new)])
             self.used = np.append(self.used, np.zeros(len(new), dtype=np.int64))
-        else:
-            places = np.asarray(at).astype(np.int64)
         self.turn += 1
         self.used[places] = self.turn
         return self.ids.take(pa.array(places))

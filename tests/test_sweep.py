@@ -84,3 +84,25 @@ def test_free_rows_against_a_plain_list():
             want = min(fit, key=lambda i: right[i][2], default=None)
             assert free.take(amount, day) == want
             alive.discard(want)
+
+
+def test_single_pairs_are_compared_without_a_walk(spark, monkeypatch):
+    side = np.array([0, 1, 0, 1, 1, 0, 0, 1])
+    day, amount = np.array([0, 30, 0, 31, 30, 5, 6, 7]), np.array([1.0] * 8)
+    monkeypatch.setattr(sweep, "walked", None)  # trees for stretches of a row or two took most of the time
+    a, b = sweep.matched(side, amount, day, np.array([0, 2, 5]), sweep.Bands(30))
+    assert sorted(zip(a.tolist(), b.tolist())) == [(0, 1), (2, 4), (5, 7)]
+
+
+def test_zeros_of_both_signs_and_keys_that_are_no_numbers_meet(spark):
+    schema = "k double, e string, id string, ord long, amount double, day long"
+    nan = float("nan")
+    left = spark.createDataFrame([(0.0, None, "a", 1, 1.0, 1), (nan, "x", "b", 2, 1.0, 1), (None, "", "c", 3, 1.0, 1), (1.0, None, "d", 4, 1.0, 1)], schema)
+    right = spark.createDataFrame([(-0.0, None, "A", 1, 1.0, 9), (nan, "x", "B", 2, 1.0, 9), (None, "", "C", 3, 1.0, 9), (1.0, "", "D", 4, 1.0, 9)], schema)
+    for batch in ("10000", "1"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        try:
+            found = sweep.assigned(left, right, ["k", "e"], sweep.Bands(30)).collect()
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert sorted((r.a, r.b) for r in found) == [("a", "A"), ("b", "B"), ("c", "C")]

@@ -105,5 +105,5 @@ def greedy_groups(candidates: DataFrame, order: list[str], members: str = "membe
 
 def unused(pool: DataFrame, id_column: str, matches: DataFrame, ids: str) -> DataFrame:
     """Rows of pool whose id is in no match's array of ids."""
-    gone = matches.select(F.explode(ids).alias("__id")).distinct()
+    gone = matches.select(F.explode(ids).alias("__id"))  # repeated ids make no difference to the join, and to find them takes a task's memory
     return pool.join(gone, F.col(id_column).cast("string") == F.col("__id"), "left_anti")

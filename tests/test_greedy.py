@@ -63,3 +63,14 @@ def test_pairs_with_small_components_only_in_rounds(spark):
     df = spark.createDataFrame([(*e, k) for k, e, _ in rows], "a string, b string, k int")
     for bound in (10**6, 2):
         assert {tuple(x) for x in greedy.greedy_pairs(df, ["k"], bound=bound).collect()} == walk(rows)
+
+
+def test_unused_rows_without_a_table_of_the_ids(spark):
+    """Repeated ids take a row once, and no aggregation holds the distinct ones in a task's memory."""
+    from ledgerloom.operators.greedy import unused
+
+    pool = spark.createDataFrame([("a",), ("b",), ("c",), (None,)], "id string")
+    matches = spark.createDataFrame([(["a", "b"],), (["b", "b"],), ([],), (None,)], "ids array<string>")
+    left = unused(pool, "id", matches, "ids")
+    assert sorted(left.collect(), key=str) == sorted([("c",), (None,)], key=str)
+    assert "Aggregate" not in left._jdf.queryExecution().executedPlan().toString()

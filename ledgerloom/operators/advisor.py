@@ -136,10 +136,12 @@ def advised_matches(gl: DataFrame, sub: DataFrame, advisor: Advisor = silent) ->
 def suggestions(answered: DataFrame, gl: DataFrame, sub: DataFrame) -> DataFrame:
     """Suggestions that count: known ids of their own group, no id twice, confident enough; in order of the answers.
 
-    Ranked by materiality (sum of absolute GL amounts), then confidence.
+    Ranked by materiality (sum of absolute GL amounts), then confidence.  Answers are parsed once, and each side is read once, for the rows
+    that some answer names.
     """
     each = answered.select("entity", "vn", F.posexplode(parsed(F.col("answer"))).alias("pos", "m")).select("entity", "vn", "pos", F.col("m.gl_ids").alias("a"), F.col("m.sub_ids").alias("b"), clamped(F.col("m.confidence")).alias("confidence"), F.col("m.reasoning").alias("reasoning"))
-    each = each.where((F.col("confidence") >= ADVISED_MATCH) & (F.size("a") > 0) & (F.size("b") > 0))
+    each = cut(each.where((F.col("confidence") >= ADVISED_MATCH) & (F.size("a") > 0) & (F.size("b") > 0)))
+    gl, sub = (cut(df.join(each.select(F.explode(ids).alias("id")), "id", "left_semi").select("id", "entity", "vn", "date", "amount")) for ids, df in (("a", gl), ("b", sub)))
     key = F.concat_ws("|", "entity", "vn", F.col("pos").cast("string"))
     for ids, df in (("a", gl), ("b", sub)):
         named = each.select("entity", "vn", "pos", F.explode(ids).alias("id"))

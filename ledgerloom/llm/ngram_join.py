@@ -22,10 +22,16 @@ tenth at most; T and B go by classes of sizes, and a set near the next class is
 Equal sets are one node from the start, known by their digests, so copies are never compared.
 Within a first-level node each set is first held against the smallest one, which is enough where a
 group of near copies is linked throughout (first in each task, so that a large group
-comes as one row a task into its node).  Of nodes that hold several components after that,
-the rest of the tree is built (boxes, split at the widest coordinate, in cells of chunk against chunk
-where a node is large), and sets of different components are searched in it.  So every link
-between sets of different components is verified, and components are exact.
+comes as one row a task into its node).  Of nodes that hold several components after that
+(of nodes with the same sets, one), the rest of the tree is built (boxes, split at the widest
+coordinate, in cells of chunk against chunk where a node is large), and sets of different
+components are searched in it.  The pairs found there grow with the square of a group of near
+copies, so they stay within the cell, which gives only as many of them as connect the sets they
+hold.  Sets that hang together by these are a family; any linked pair that is still missing is
+within one.  A family's sets meet once, in cells of bounded size, where all their pairs are
+verified and again only those given that connect something.  So every link between sets of
+different components is verified, components are exact, and no step gives more rows than its
+cells hold.
 
 Handling: null texts count as empty; documents without words are linked with nothing.
 Repeated rows stay repeated, and rows with the same doc_id are documents of their own.
@@ -36,7 +42,7 @@ Other columns are left out; an empty table gives an empty table.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +64,8 @@ BAND_GROUPS = 4096
 POINT_GROUPS, PER_GROUP = 64, 32
 #: Rows (key, set) that a task combines at a time; sets of a node that a cell takes; points of a leaf.
 COMBINED, CELL, LEAF = 1 << 19, 4096, 16
+#: Bytes of a family's sets that a cell takes on each side.
+PORTION = 1 << 22
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -282,35 +290,43 @@ class Tree:
                 yield hit, np.full(len(hit), row)
 
 
-def searched(rows: DataFrame, cell: int = CELL) -> DataFrame:
-    """Pairs (a, b) of sets with different roots, in the same first-level node, whose points allow for a link; rows: key, node, root, n, point."""
-    large = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / cell).cast("int").alias("cells"))
+def spanning(pairs: Iterator[tuple[np.ndarray, int]], n: int) -> Iterator[tuple[int, int]]:
+    """Those of the pairs (each of some of n sets with one) that connect sets which the ones before don't."""
+    part = np.arange(n)
+    for some, one in pairs:
+        some = some[part[some] != part[one]]
+        if len(some):
+            apart, first = np.unique(part[some], return_index=True)
+            part[np.isin(part, apart)] = part[one]
+            yield from ((x, one) for x in some[first].tolist())
+
+
+def in_cells(rows: DataFrame, key: str, cells: DataFrame, columns: list, found: Callable[..., Iterator[tuple[int, int]]]) -> DataFrame:
+    """Distinct pairs (a, b) of nodes that found gives for the rows of each cell; cells: key and cells, the number of chunks of a key's sets.
+
+    A cell is a chunk against another one, or within itself.  found gets the chunks' rows that ask and those that are asked, and
+    lists of the columns; a pair is two rows' numbers.
+    """
     chunk = F.pmod(F.xxhash64("node"), F.col("cells")).cast("int")
-    sized = rows.join(large, "key").withColumn("own", chunk).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
-    dealt = sized.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", F.xxhash64("root").alias("root"), "n", "point")
-    dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    sized = rows.join(cells, key).withColumn("own", chunk).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
+    dealt = sized.select(key, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", *columns)
+    dealt = dealt.repartition(key, "i", "j").sortWithinPartitions(key, "i", "j")
 
-    def of_cell(j: int, own: list, node: list, root: list, n: list, raw: list) -> pa.RecordBatch | None:
-        points = [np.frombuffer(p, dtype="<u2") for p in raw]
-        groups = min(map(len, points))
-        points = np.stack([folded(p, groups) for p in points])
-        sizes, root, own = np.array(n, dtype=np.int64), np.array(root, dtype=np.int64), np.array(own)
-        indexed = np.flatnonzero(own == j)
-        asking = np.flatnonzero(own != j) if (own != j).any() else indexed
-        if not len(indexed):
-            return None
-        tree = Tree(points[indexed], sizes[indexed], root[indexed])
-        found = {(min(x, y), max(x, y)) for q, r in tree.pairs(points[asking], sizes[asking], root[asking]) for x, y in zip((node[k] for k in asking[q]), (node[k] for k in indexed[r]), strict=True)}
-        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.binary()), pa.array([y for _, y in found], pa.binary())], names=["a", "b"]) if found else None
+    def of_cell(j: int, own: list, node: list, *held: list) -> pa.RecordBatch | None:
+        own = np.array(own)
+        asked = np.flatnonzero(own == j)
+        asking = np.flatnonzero(own != j) if (own != j).any() else asked
+        pairs = {(min(node[x], node[y]), max(node[x], node[y])) for x, y in found(asking, asked, *held)} if len(asked) else None
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.binary()), pa.array([y for _, y in pairs], pa.binary())], names=["a", "b"]) if pairs else None
 
     def run(batches):
         now, held = None, None
-        for b in batches:
-            for key, i, j, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if (key, i, j) != now:
+        for b in sliced(batches):
+            for of, i, j, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (of, i, j) != now:
                     if held and (x := of_cell(now[2], *held)):
                         yield x
-                    now, held = (key, i, j), [[] for _ in row]
+                    now, held = (of, i, j), [[] for _ in row]
                 for column, v in zip(held, row, strict=True):
                     column.append(v)
         if held and (x := of_cell(now[2], *held)):
@@ -319,6 +335,60 @@ def searched(rows: DataFrame, cell: int = CELL) -> DataFrame:
     return dealt.mapInArrow(lean(run), "a binary, b binary").distinct()
 
 
+def searched(rows: DataFrame, cell: int = CELL, whole: bool = True) -> DataFrame:
+    """Pairs (a, b) of sets with different roots, in the same first-level node, whose points allow for a link; rows: key, node, root, n, point.
+
+    If not whole, only as many of each cell's pairs as connect the sets that its pairs connect.
+    """
+
+    def found(asking: np.ndarray, asked: np.ndarray, root: list, n: list, raw: list) -> Iterator[tuple[int, int]]:
+        points = [np.frombuffer(p, dtype="<u2") for p in raw]
+        groups = min(map(len, points))
+        points = np.stack([folded(p, groups) for p in points])
+        sizes, root = np.array(n, dtype=np.int64), np.array(root, dtype=np.int64)
+        tree = Tree(points[asked], sizes[asked], root[asked])
+        pairs = ((asking[q], int(asked[r[0]])) for q, r in tree.pairs(points[asking], sizes[asking], root[asking]) if len(q))
+        return ((x, y) for some, y in pairs for x in some.tolist()) if whole else spanning(pairs, len(points))
+
+    cells = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / cell).cast("int").alias("cells"))
+    return in_cells(rows, "key", cells, [F.xxhash64("root").alias("root"), "n", "point"], found)
+
+
+def linked_sets(some: list[np.ndarray], asking: np.ndarray, asked: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
+    """Of some sets, those asking that are linked with each one asked.
+
+    What more than half of the sets hold is their base; a set is its difference from it, so that lists of the sets that differ
+    in an n-gram are short.  Two sets differ in what is in one only of their differences.
+    """
+    n = np.array([len(x) for x in some])
+    value, at = np.unique(np.concatenate(some), return_inverse=True)
+    usual = np.bincount(at, minlength=len(value)) * 2 > len(some)
+    base = np.flatnonzero(usual)
+    own = [np.concatenate([x[~usual[x]], np.setdiff1d(base, x, assume_unique=True)]) for x in np.split(at, np.cumsum(n)[:-1])]
+    size = np.array([len(x) for x in own])
+    gram = np.concatenate(own)
+    order = np.argsort(gram, kind="stable")
+    begins = np.searchsorted(gram[order], np.arange(len(value) + 1))
+    holds = np.repeat(np.arange(len(some)), size)[order]
+    for y in asked.tolist():
+        shared = np.bincount(np.concatenate([holds[:0], *(holds[begins[v] : begins[v + 1]] for v in own[y].tolist())]), minlength=len(some))
+        differ, both = size + size[y] - 2 * shared, n + n[y]
+        linked = UNION * (both - differ) >= LEAST * (both + differ)  # both - differ: twice what is common
+        linked[y] = False
+        yield asking[linked[asking]], y
+
+
+def within(families: DataFrame, known: DataFrame, portion: int = PORTION, cell: int = CELL) -> DataFrame:
+    """Links (a, b) between sets of the same family, enough to connect what is linked there; families: node, root, n, known: node, set."""
+
+    def found(asking: np.ndarray, asked: np.ndarray, raw: list) -> Iterator[tuple[int, int]]:
+        some = [np.frombuffer(x, dtype=np.uint64) for x in raw]
+        return spanning(linked_sets(some, asking, asked), len(some))
+
+    cells = families.groupBy("root").agg(F.greatest(F.ceil(F.sum("n") * 8 / portion), F.ceil(F.count(F.lit(1)) / cell)).cast("int").alias("cells"))
+    return in_cells(families.join(known, "node"), "root", cells, ["set"], found)
+
+
 def bounded(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs (a, b) whose points allow for a link."""
     a, b = (nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("point").alias(f"p{c}")) for c in "ab")
@@ -376,10 +446,11 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     found = cut(verified(stars, known))
     roots = components(found)
     labelled = members.select("key", "node").distinct().join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    several = labelled.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
+    members_of = [F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("node")).alias("s"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("t")]  # nodes that agree in these have the same sets
+    several = labelled.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), *members_of).where("x <> y").groupBy("c", "s", "t").agg(F.min("key").alias("key")).select("key")
     rows = labelled.join(several, "key").join(nodes.select("node", "n", "point"), "node")
-    across = searched(rows.select("key", "node", "root", "n", "point")).join(stars, ["a", "b"], "left_anti")
-    return found.union(verified(across, known))
+    families = components(searched(rows.select("key", "node", "root", "n", "point"), whole=False))
+    return found.union(within(cut(families.join(nodes.select("node", "n"), "node")), known))
 
 
 def near_sets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

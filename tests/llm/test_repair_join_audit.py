@@ -9,6 +9,7 @@ import re
 import zlib
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -216,6 +217,57 @@ def test_join_finds_links_beside_the_stars(spark, monkeypatch):
     assert sorted([(r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.near_sets(df).collect()], key=str) == direct_join(rows)
 
 
+def variants(count):
+    """A text of 300 words and variants of it, most of them too far from each other and linked through it only."""
+    rng = random.Random(count)
+    base = [f"w{i}" for i in range(300)]
+    out = [" ".join(base)]
+    for k in range(count):
+        own = list(base)
+        for at in rng.sample(range(1, 299), 3 + k % 3):
+            own[at] = f"x{rng.randint(0, 10**9)}"
+        out.append(" ".join(own))
+    return out
+
+
+def test_join_search_gives_no_more_pairs_than_its_cells_have_rows(spark, monkeypatch):
+    """27,344 rows of 641 sets in the cells; 59,104 pairs of them are near enough to be verified."""
+    asked, made, search = [], [], ngram_join.searched
+    monkeypatch.setattr(ngram_join, "searched", lambda *a, **k: asked.append(a[0]) or made.append(search(*a, **k)) or made[-1])
+    rows = list(enumerate(variants(640)))
+    got = ngram_join.near_sets(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted([(r.doc_id, r.n_shingles, r.component_id) for r in got], key=str) == direct_join(rows)
+    assert 0 < made[0].count() < asked[0].count()
+
+
+def test_join_cells_connect_what_their_pairs_connect(spark):
+    """Families in one cell and in many give the components of all their linked pairs; so do the pairs given by a cell of points."""
+    rng = random.Random(4)
+    some = sorted({*variants(50), *near_texts(rng, 30, 9), "one two three four five six seven eight nine ten eleven"})
+    sets = [ngram_join.shingles(t) for t in some]
+    node = [ngram_join.node_of(x) for x in sets]
+
+    def parts(pairs):
+        part = list(range(len(some)))
+        for x, y in pairs:
+            part = [part[x] if p == part[y] else p for p in part]
+        return [part.index(p) for p in part]
+
+    linked = [(x, y) for x, y in itertools.combinations(range(len(some)), 2) if 100 * len(c := set(sets[x].tolist()) & set(sets[y].tolist())) >= 90 * (len(sets[x]) + len(sets[y]) - len(c))]
+    everyone = list(range(len(some)))
+    given = [(x, y) for xs, y in ngram_join.linked_sets(sets, np.array(everyone), np.array(everyone)) for x in xs.tolist()]
+    assert sorted((x, y) for x, y in given if x < y) == linked and len(given) == 2 * len(linked)
+    own = spark.createDataFrame(list(zip(node, [b"all"] * len(some), [len(x) for x in sets], strict=True)), "node binary, root binary, n long")
+    known = spark.createDataFrame([(k, x.tobytes()) for k, x in zip(node, sets, strict=True)], "node binary, set binary")
+    for portion, cell in ((1 << 22, 4096), (1 << 22, 7), (1 << 12, 4096)):
+        found = [(node.index(bytes(r.a)), node.index(bytes(r.b))) for r in ngram_join.within(own, known, portion, cell).collect()]
+        assert {(min(x), max(x)) for x in found} <= set(linked) and parts(found) == parts(linked)
+    rows = own.select(F.lit(1).alias("key"), "node", F.col("node").alias("root"), "n").join(spark.createDataFrame([(k, ngram_join.point(x).tobytes()) for k, x in zip(node, sets, strict=True)], "node binary, point binary"), "node")
+    for cell in (4096, 16):
+        whole, few = ([(node.index(bytes(r.a)), node.index(bytes(r.b))) for r in ngram_join.searched(rows, cell, x).collect()] for x in (True, False))
+        assert set(few) <= set(whole) and len(few) < len(whole) and parts(few) == parts(whole)
+
+
 def test_join_query(spark, data):
     rows = [(r.doc_id, r.text) for r in table(spark, data, "documents").collect()]
     got = queries.QUERIES["op12_ngram_join"](spark, data).collect()

@@ -78,6 +78,17 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+#: Small rows (some keys and numbers) that a task takes at least.
+FEW = 1 << 16
+
+
+def fewer(df: DataFrame, n: int, rows: int = FEW) -> DataFrame:
+    """df, of about n rows, in no more tasks than so many rows each give, or one a core: each task of a step leaves files and
+    events, however few rows it has, so that many steps over a small table would fill the disk.  Tasks grow in number with n, not in size.
+    """
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-n // rows)))
+
+
 #: A key with more than this part of all rows is joined by broadcast.
 HOT = 1000
 
@@ -87,7 +98,7 @@ def joined(left: DataFrame, right: DataFrame, key: str, total: int) -> DataFrame
 
     Keys with more than a HOT-th of all rows, fewer than HOT in number, are broadcast, so that their rows stay where they are.
     """
-    hot = F.broadcast(right.where(F.col("n") * HOT > total).drop("n"))
+    hot = F.broadcast(fewer(right.where(F.col("n") * HOT > total).drop("n"), total))
     rest = right.where(F.col("n") * HOT <= total).drop("n")
     return left.join(hot, key).unionByName(left.join(hot, key, "left_anti").join(rest, key))
 

@@ -50,7 +50,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import cut, joined, lean, sliced, stored, table, texts
+from ledgerloom.llm.common import cut, fewer, joined, lean, sliced, stored, table, texts
 from ledgerloom.llm.simhash import components
 
 WORDS = 3
@@ -66,6 +66,8 @@ POINT_GROUPS, PER_GROUP = 64, 32
 COMBINED, CELL, LEAF = 1 << 19, 4096, 16
 #: Bytes of a family's sets that a cell takes on each side.
 PORTION = 1 << 22
+#: Sets (or pairs of them) that a task takes at least.
+SOME = 1 << 13
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -389,10 +391,10 @@ def within(families: DataFrame, known: DataFrame, portion: int = PORTION, cell:
     return in_cells(families.join(known, "node"), "root", cells, ["set"], found)
 
 
-def bounded(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose points allow for a link."""
+def bounded(pairs: DataFrame, nodes: DataFrame, count: int) -> DataFrame:
+    """The pairs (a, b) whose points allow for a link; count: of the nodes."""
     a, b = (nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("point").alias(f"p{c}")) for c in "ab")
-    both = pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "pa", "pb")
+    both = fewer(fewer(pairs.join(a, "a"), count, SOME).join(b, "b").select("a", "b", "na", "nb", "pa", "pb"), count, SOME)
 
     def run(batches):
         for batch in batches:
@@ -406,8 +408,8 @@ def bounded(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.mapInArrow(lean(run), "a binary, b binary")
 
 
-def full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node and set (its hashes) of nodes (h, first: their text's hash and one of the doc_ids it has), read from docs again."""
+def full_sets(docs: DataFrame, nodes: DataFrame, count: int) -> DataFrame:
+    """node and set (its hashes) of nodes (h, first: their text's hash and one of the doc_ids it has), read from docs again; count: of all nodes."""
     wanted = nodes.select(F.col("h").alias("wanted_h"), F.col("id").alias("wanted_id"))
     found = docs.join(wanted, (F.col("h") == F.col("wanted_h")) & F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi").select("text")
 
@@ -416,13 +418,13 @@ def full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             some = [shingles(x) for x in texts(b)]
             yield pa.RecordBatch.from_arrays([pa.array([node_of(x) for x in some], pa.binary()), pa.array([x.tobytes() for x in some], pa.binary())], names=["node", "set"])
 
-    return found.mapInArrow(lean(run), "node binary, set binary").dropDuplicates(["node"])
+    return fewer(fewer(found, count, SOME).mapInArrow(lean(run), "node binary, set binary").dropDuplicates(["node"]), count, SOME)
 
 
-def verified(pairs: DataFrame, known: DataFrame) -> DataFrame:
-    """The linked ones of pairs (a, b)."""
+def verified(pairs: DataFrame, known: DataFrame, count: int) -> DataFrame:
+    """The linked ones of pairs (a, b); count: of the sets."""
     a, b = (known.select(F.col("node").alias(c), F.col("set").alias(f"set_{c}")) for c in "ab")
-    both = pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b")
+    both = fewer(fewer(pairs.join(a, "a"), count, SOME).join(b, "b").select("a", "b", "set_a", "set_b"), count, SOME)
 
     def run(batches):
         for batch in sliced(batches, 64):
@@ -438,19 +440,22 @@ def verified(pairs: DataFrame, known: DataFrame) -> DataFrame:
 
 def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Verified links (a, b) between sets, enough to connect every component; docs: doc_id, text, h, nodes: node, n, point, h, id."""
+    count = nodes.count()
     members = stored(gathered(placed(docs)))
-    stars = bounded(members.where("leader <> node").select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct(), nodes)
-    stars = cut(stars)
-    near = nodes.join(members.select("node").distinct(), "node", "left_semi")
-    known = stored(full_sets(docs, near))
-    found = cut(verified(stars, known))
+    stars = members.where("leader <> node").select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b"))
+    stars = cut(bounded(fewer(stars.distinct(), count, SOME), nodes, count))
+    near = fewer(nodes.join(members.select("node").distinct(), "node", "left_semi"), count, SOME)
+    known = stored(full_sets(docs, near, count))
+    found = cut(verified(stars, known, count))
     roots = components(found)
-    labelled = members.select("key", "node").distinct().join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placings = members.count()
+    labelled = fewer(fewer(members.select("key", "node").distinct(), placings).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), placings)
     members_of = [F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("node")).alias("s"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("t")]  # nodes that agree in these have the same sets
-    several = labelled.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), *members_of).where("x <> y").groupBy("c", "s", "t").agg(F.min("key").alias("key")).select("key")
-    rows = labelled.join(several, "key").join(nodes.select("node", "n", "point"), "node")
+    several = fewer(labelled.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), *members_of).where("x <> y"), placings)
+    several = fewer(several.groupBy("c", "s", "t").agg(F.min("key").alias("key")).select("key"), placings)
+    rows = fewer(fewer(labelled.join(several, "key"), placings).join(nodes.select("node", "n", "point"), "node"), placings, SOME)
     families = components(searched(rows.select("key", "node", "root", "n", "point"), whole=False))
-    return found.union(within(cut(families.join(nodes.select("node", "n"), "node")), known))
+    return found.union(within(cut(fewer(families.join(nodes.select("node", "n"), "node"), count)), known))
 
 
 def near_sets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -460,10 +465,11 @@ def near_sets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     full = own.where("node is not null")
     nodes = stored(full.groupBy("node").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows"), F.min("n_shingles").alias("n"), F.min("point").alias("point"), F.min(F.struct("doc_id", "h")).alias("r")).select("node", "first", "rows", "n", "point", F.col("r.h").alias("h"), F.col("r.doc_id").alias("id")))
     roots = components(cut(links(rows, nodes)))
-    known = cut(nodes.select("node", "first", "rows").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    count, every = nodes.count(), full.count()
+    known = cut(fewer(nodes.select("node", "first", "rows").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), count))
     best = known.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("n"))
-    of_node = joined(known.select("node", "root", "rows"), best, "root", known.count()).select("node", "component_id", F.col("rows").alias("n"))
-    linked = joined(full.select("doc_id", "n_shingles", "node"), of_node, "node", full.count()).select("doc_id", "n_shingles", "component_id")
+    of_node = fewer(joined(known.select("node", "root", "rows"), best, "root", count).select("node", "component_id", F.col("rows").alias("n")), count)
+    linked = fewer(joined(full.select("doc_id", "n_shingles", "node"), of_node, "node", every), every).select("doc_id", "n_shingles", "component_id")
     return linked.union(own.where("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 

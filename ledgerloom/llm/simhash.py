@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.llm.common import append, cut, joined, lean, stored, texts
+from ledgerloom.llm.common import append, cut, fewer, joined, lean, stored, texts
 
 SHINGLE, MOST_BITS = 4, 4
 #: Rows of an anchor's bucket that one task takes whole; distinct fingerprints from which pairs of segments are used.
@@ -216,19 +216,24 @@ def components(edges: DataFrame) -> DataFrame:
     smallest one, until nothing changes; the edges are cut() after each round.
     """
     now = cut(edges.select("a", "b"))
+    n = now.count()
+    now = fewer(now, n)
     while True:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         up = both.where("b > a")  # larger neighbours to the smallest
         low = both.groupBy("a").agg(F.min("b").alias("m"), F.sum((F.col("b") > F.col("a")).cast("int")).alias("n")).select("a", F.least("a", "m").alias("m"), "n")
-        down = cut(joined(up, low, "a", now.count()).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct().where("a <> b"))
+        large = fewer(joined(up, low, "a", n), n).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        down = cut(fewer(large.distinct(), n).where("a <> b"))
+        n = down.count()
         low2 = down.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-        small = joined(down, low2, "a", down.count()).select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
-        new = cut(small)
+        small = fewer(joined(down, low2, "a", n), n).select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b")
+        now = cut(fewer(small.distinct(), n))
+        n = now.count()
         # done when every node hangs on one root and no root hangs on another
-        more = new.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a").union(new.select("a").join(new.select(F.col("b").alias("a")).distinct(), "a", "left_semi"))
-        now = new
+        several = fewer(now.groupBy("a").agg(F.count("*").alias("n")), n).where("n > 1").select("a")
+        more = several.union(fewer(now.select("a").join(now.select(F.col("b").alias("a")).distinct(), "a", "left_semi"), n))
         if more.isEmpty():
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+            return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(fewer(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct(), n))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most_bits: int = MOST_BITS, bucket: int = BUCKET, pairs: int = PAIRS) -> DataFrame:

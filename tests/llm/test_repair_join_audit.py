@@ -13,8 +13,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import filter_audit, ngram_join, queries, repair
-from ledgerloom.llm.common import table
+from ledgerloom.llm import filter_audit, ngram_join, queries, repair, simhash
+from ledgerloom.llm.common import cut, table
 
 
 def cheapest(rows):
@@ -268,6 +268,30 @@ def test_join_cells_connect_what_their_pairs_connect(spark):
         assert set(few) <= set(whole) and len(few) < len(whole) and parts(few) == parts(whole)
 
 
+def test_join_of_few_rows_leaves_few_files(spark, monkeypatch):
+    """With 48 shuffle partitions that Spark doesn't put together, what is stored in rounds over small tables is in a file a core."""
+    held, kept = [], {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    for module in (ngram_join, simhash):
+        monkeypatch.setattr(module, "cut", lambda df: held.append(cut(df)) or held[-1])
+    few = spark.sparkContext.defaultParallelism
+    rows = list(enumerate(variants(30)))
+    try:
+        for k, v in zip(kept, ("48", "false")):
+            spark.conf.set(k, v)
+        pairs = [(x, x + 1) for x in range(60) if x % 7] + [(x, 99) for x in range(0, 60, 14)]
+        roots = {r.node: r.root for r in simhash.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+        assert all(roots[a] == roots[b] for a, b in pairs) and set(roots.values()) == {0, 1, 15, 29, 43, 57}
+        assert few < 48 and all(x.rdd.getNumPartitions() <= few for x in held[1:])
+        held.clear()
+        got = ngram_join.near_sets(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert sorted([(r.doc_id, r.n_shingles, r.component_id) for r in got], key=str) == direct_join(rows)
+        small = [x.rdd.getNumPartitions() <= few for x in held]
+        assert len(small) - sum(small) <= 3  # the search's pairs, and the families' links (stored twice), whose cells are dealt over all tasks
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+
+
 def test_join_query(spark, data):
     rows = [(r.doc_id, r.text) for r in table(spark, data, "documents").collect()]
     got = queries.QUERIES["op12_ngram_join"](spark, data).collect()

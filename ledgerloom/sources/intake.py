@@ -39,9 +39,9 @@ class ValidationResult:
     errors: dict[str, int] = field(default_factory=dict)
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV file with a header, all columns as text; values may hold line ends."""
-    return ranges.read(spark, path)
+def read_csv(spark: SparkSession, path: str, empties: bool = False) -> DataFrame:
+    """A CSV file with a header, all columns as text; values may hold line ends.  With empties, quoted empty values are not null."""
+    return ranges.read(spark, path, empties)
 
 
 def present(column: str) -> Column:

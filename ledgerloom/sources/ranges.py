@@ -15,6 +15,7 @@ end in LF or CR LF; within values both stay as they are.  Blank lines are no rec
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -124,8 +125,11 @@ def records(spark: SparkSession, path: str) -> DataFrame:
     return found.where("not headless and not endless").select("file", "block", "seq", "text").union(whole.select("file", "at.block", "at.seq", "text"))
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV file, or a folder of them, with a header in each: all columns as text, named as the first header has them."""
+def read(spark: SparkSession, path: str, empties: bool = False) -> DataFrame:
+    """A CSV file, or a folder of them, with a header in each: all columns as text, named as the first header has them.
+
+    With empties, a quoted empty value is an empty text, and only one without quotes is null; otherwise both are null.
+    """
     names = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path).columns
     schema = StructType([StructField(n, StringType()) for n in names])
     if not names:
@@ -135,4 +139,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     header = rows.groupBy("file").agg(F.min(F.struct("block", "seq")).alias("at")).select("file", "at.block", "at.seq")  # a row a file
     rows = rows.join(header, ["file", "block", "seq"], "left_anti")
     quoted = ", ".join("`{}` string".format(n.replace("`", "``")) for n in names)
-    return rows.select(F.from_csv("text", quoted, {"escape": '"'}).alias("x")).select("x.*")
+    # unless the quote is what escapes its own escape, the parser takes NUL for that and drops it before quotes
+    options = {"escape": '"', "charToEscapeQuoteEscaping": '"'}
+    if empties:
+        options["nullValue"] = uuid.uuid4().hex  # stands for values without anything; no value is equal to it
+    return rows.select(F.from_csv("text", quoted, options).alias("x")).select("x.*")

@@ -6,6 +6,7 @@ import random
 
 import pytest
 
+from ledgerloom.plans import catalog
 from ledgerloom.sources import ranges
 
 
@@ -69,3 +70,15 @@ def test_folder_with_a_header_in_each_file(spark, tmp_path, small):
     for n in range(3):
         (tmp_path / f"part-{n}.csv").write_text(f'a,b\n{n},"x\ny"\n{n},z\n')
     assert texts(ranges.read(spark, str(tmp_path))) == sorted((str(n), v) for n in range(3) for v in ("x\ny", "z"))
+
+
+def test_texts_come_back_as_they_were(spark, duck, tmp_path, small):
+    """Empty texts, nulls and NULs next to quotes."""
+    small(64)
+    rng = random.Random(2)
+    made = [None, "", " ", '"', '""', "\0", '"\0', '\0"', '"\0"', "\0,", "a\r", "\r\n", "\\", '\\"', "\u2028", "\u0085", "null"]
+    made += ["".join(rng.choice(['"', ",", "\n", "\r", "\0", "\\", " ", "a", "é", "#"]) for _ in range(rng.randrange(8))) for _ in range(150)]
+    rows = [(k, text, rng.choice(["web", 'a"b', "", None, "x,y"])) for k, text in enumerate(made)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(2).write.parquet(str(tmp_path / "documents.parquet"))
+    want = duck.sql(catalog.ORACLE_SQL["scan_csv_texts"].replace("FROM documents", f"FROM '{tmp_path}/documents.parquet/*.parquet'")).fetchall()
+    assert texts(catalog.QUERIES["scan_csv_texts"](spark, str(tmp_path))) == sorted(want, key=repr)
